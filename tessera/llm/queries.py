@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, url_filter
+from tessera.llm import bpe, mixing, quality, token_counts, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +27,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The byte-level tokenizer file of the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies and words that the mix takes of every document."""
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; digests of both."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.round_trip(docs, tokenizer_path())
+    return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with its suffix sums."""
+    return token_counts.suffix_sums(token_counts.histogram(_read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mixing": op3_source_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op5_url_filter": op5_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
