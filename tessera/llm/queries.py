@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, token_counts, url_filter
+from tessera.llm import bpe, html_text, mixing, quality, token_counts, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +51,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    records = warc.round_trip(_read(spark, sf_dir, "pages"))
+    number = lambda c: F.col(c).try_cast("long").alias("page_id" if c == "record_id" else c)
+    return records.select(number("record_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
+    "op4_html_text": op4_html_text,
     "op3_source_mixing": op3_source_mixing,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
@@ -62,6 +76,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULE_ROWS = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES)
 
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first, sha1(h) AS d FROM p GROUP BY h),
+e AS (
+  SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(d, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)) AS b FROM f)
+SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, array_to_string(b, '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN e ON p.h = e.h
+""",
     "op5_url_filter": rf"""
 WITH rules(h, p, v) AS (VALUES {_RULE_ROWS}),
 parts AS (
