@@ -107,12 +107,11 @@ def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("sid", F.when(~F.col("full"), F.round("tilt", 9)).alias("tilt"), "mean")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", payload: Column | None = None) -> DataFrame:
-    """id, size, source_size, target, rate, copies and taken of every row; payload: a column to pass on as payload."""
+def _rounded_rows(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, size, source_size, target, rate, key (a hash of id and text) and copies of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    extra = [] if payload is None else [payload.alias("payload")]
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("key"), *extra)
-    d = materialize(d, "sized") if payload is None else d
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("key"))
+    d = materialize(d, "sized")
     goals = materialize(targets(d.select("source", "size")), "targets")
     named = goals.withColumnRenamed("source", "s_source")
     d = d.join(named, d.source.eqNullSafe(F.col("s_source"))).drop("source", "s_source")
@@ -121,13 +120,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     d = d.withColumn("rate", F.when(F.col("size") > 0, rate_of(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(1.0))
     d = d.withColumn("salt", F.pmod(F.col("key"), F.ceil(F.col("docs") / GROUP)))
     small = d.select("id", "size", "source_size", "target", "rate", "sid", "salt", "key")
-    out = small.groupBy("sid", "salt").applyInPandas(
-        _rounded, "id " + docs.schema[id_col].dataType.simpleString() + ", size long, source_size long, target double, rate double, key long, copies int"
-    )
-    out = out.withColumn("taken", F.col("copies") * F.col("size"))
-    if payload is None:
-        return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", "taken")
-    return out
+    kind = docs.schema[id_col].dataType.simpleString()
+    return small.groupBy("sid", "salt").applyInPandas(_rounded, f"id {kind}, size long, source_size long, target double, rate double, key long, copies int")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, size, source_size, target, rate, copies and taken of every row."""
+    out = _rounded_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def _rounded(group):
@@ -146,3 +146,16 @@ def _rounded(group):
         copies[k] = c = min(CAP, max(0, round(owed / n)))
         owed -= c * n
     return group.assign(copies=copies)[["id", "size", "source_size", "target", "rate", "key", "copies"]]
+
+
+def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it has copies. Rows equal in id and text share their copies."""
+    #: materialize() gives both sides of the join the same rounding.
+    mixed = materialize(_rounded_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col).select("key", "copies"), "mixed")
+    totals = mixed.groupBy("key").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    j = keyed.join(totals, keyed._key == totals.key).drop("key")
+    once = j.where("_rows = 1")
+    repeated = j.where("_rows > 1").dropDuplicates(["_key"])
+    both = once.unionByName(repeated)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

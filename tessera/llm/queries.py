@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
+from tessera.llm import ann, bpe, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,7 +74,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ann": op6_ann,
     "op1_toxicity": op1_toxicity,
     "op7_simhash": op7_simhash,
     "op2_warc": op2_warc,
