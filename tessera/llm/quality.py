@@ -132,5 +132,7 @@ def keep(docs: DataFrame, *, text_col: str = "text", host_col: str = "source") -
     names = docs.columns
     base = base_statistics(docs, text_col=text_col, keep=[F.struct(*[F.col(f"`{c}`") for c in names]), F.col(host_col), _text_key(F.coalesce(F.col(text_col), F.lit("")))])
     lost = depleted(docs, text_col=text_col, host_col=host_col).select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"))
-    left = base.where(~F.col("base_failed")).join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left_anti")
+    #: A filter isn't pushed below a generator; below the projections it would work the arrays out again for each element.
+    base = base.select("_k0", "_k1", "_k2", F.explode(F.array("base_failed")).alias("failed"))
+    left = base.where(~F.col("failed")).join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left_anti")
     return left.select(*[F.col("_k0").getField(c).alias(c) for c in names])
