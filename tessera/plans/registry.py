@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import catalog_plans
+
 
 def modules() -> tuple:
     """The plan modules, each with QUERIES and ORACLES."""
-    return ()
+    return (catalog_plans,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,3 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
     return {name: sql for m in modules() for name, sql in m.ORACLES.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's metadata, inherited from the sidecars of its directories."""
+    return catalog_plans.metadata_inherit(spark, sf_dir)
