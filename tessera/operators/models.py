@@ -84,8 +84,8 @@ def regressors(events: DataFrame, keys: list[str], *, frames: int, tr: float, mo
     end = F.least(F.round((F.col("onset") + F.col("duration")) / dt), F.lit(n - 1)).cast("int")
     #: Events without length are impulses of one fine sample.
     e = events.select(*keys, start.alias("_a"), F.greatest(end, start + 1).alias("_b"), F.col("amplitude").cast("double").alias("_x"))
-    steps = e.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("at"), F.col("_x").alias("d")), F.struct(F.col("_b").alias("at"), (-F.col("_x")).alias("d")))).alias("s"))
-    steps = steps.groupBy(*keys, "s.at").agg(F.sum("s.d").alias("d")).where("d != 0")
+    steps = e.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("at"), F.col("_x").alias("d")), F.struct(F.col("_b").alias("at"), (-F.col("_x")).alias("d")))).alias("_step"))
+    steps = steps.groupBy(*keys, "_step.at").agg(F.sum("_step.d").alias("d")).where("d != 0")
     rows = steps.where(F.col("at") <= (frames - 1) * oversampling).withColumn("frame", F.explode(F.sequence(F.ceil(F.col("at") / oversampling).cast("int"), F.lit(frames - 1))))
     lag = F.col("frame") * oversampling - F.col("at")
     out = []
