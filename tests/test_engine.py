@@ -116,7 +116,8 @@ def test_stream_equals_table(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         if name == "tumbling":
-            assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, f(e).collect()))
+            shown = lambda df: sorted(str((r.start, r.event_type, r.n, round(r.total, 6))) for r in df.collect())
+            assert shown(spark.table(name)) == shown(f(e))
     s = e.select(F.col("user_id").alias("rec"), F.col("event_id").alias("idx"), (F.floor("value") % 3).cast("long").alias("status"))
     s.repartitionByRange(3, "idx").sortWithinPartitions("idx").write.parquet(str(tmp_path / "s"))
     q = windows.triggers(spark.readStream.schema(s.schema).parquet(str(tmp_path / "s"))).writeStream.format("memory").queryName("triggers").option("checkpointLocation", str(tmp_path / "t")).start()
