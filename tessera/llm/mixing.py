@@ -6,7 +6,7 @@ the order of cap to weight).
 
 Rates: for each source, the rates closest in entropy to one copy of each document, between 0 and CAP, whose
 words sum up to the target: min(CAP, exp(lambda * size / mean size)). The dual in lambda is convex; each
-Newton iteration is one aggregation over the histogram of (source, size), which holds all that the dual
+Newton iteration (on the logarithm of the words) is one aggregation over the histogram of (source, size), which holds all that the dual
 needs, and a step that leaves the bracket of the solution halves it instead.
 
 Copies: in groups of about GROUP documents of a source, from the largest to the smallest, each document takes
@@ -33,8 +33,8 @@ BUDGET = 1.5
 CAP = 2
 #: Documents that are rounded together.
 GROUP = 4096
-#: Newton iterations at most, and the part of a target that may be missed before rounding.
-ITERATIONS, TOLERANCE = 100, 1e-9
+#: Newton iterations at most, the part of a target that may be missed before rounding, iterations between two tables.
+ITERATIONS, TOLERANCE, STEPS = 96, 1e-9, 4
 
 
 def size_of(text: Column) -> Column:
@@ -82,31 +82,31 @@ def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
         F.lit(0.0).alias("tilt"),
         F.lit(float("inf")).alias("missed"),
     )
-    state = materialize(state, "tilts")
-    for _ in range(ITERATIONS):
-        open_ = state.where(f"NOT full AND missed > {TOLERANCE}")
-        if open_.isEmpty():
+    for _ in range(0, ITERATIONS, STEPS):
+        for _ in range(STEPS):
+            state = _newton(state, h)
+        state = materialize(state, "tilts")
+        if state.where(f"NOT full AND missed > {TOLERANCE}").isEmpty():
             break
-        rate, z = rate_of(F.col("tilt"), F.col("size"), F.col("mean")), F.col("size") / F.col("mean")
-        words = F.col("n") * F.col("size") * rate
-        moved = (
-            h.join(open_.select("sid", "tilt", "mean"), "sid")
-            .groupBy("sid")
-            .agg(F.sum(words).alias("words"), F.sum(F.when(rate < CAP, words * z).otherwise(0.0)).alias("slope"))
-        )
-        s = open_.drop("missed").join(moved, "sid").withColumn("gap", F.col("words") - F.col("target"))
-        s = s.withColumn("low", F.when(F.col("gap") <= 0, F.greatest("low", "tilt")).otherwise(F.col("low")))
-        s = s.withColumn("high", F.when(F.col("gap") >= 0, F.least("high", "tilt")).otherwise(F.col("high")))
-        step = F.col("tilt") - F.try_divide("gap", "slope")
-        halved = (F.col("low") + F.col("high")) / 2
-        missed = F.abs("gap") / F.col("target")
-        following = F.when(missed <= TOLERANCE, F.col("tilt")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise(halved)
-        s = s.select("sid", "target", "mean", "full", "low", "high", following.alias("tilt"), missed.alias("missed"))
-        state = materialize(s.unionByName(state.where(f"full OR missed <= {TOLERANCE}")), "tilts")
     #: Rounded, so that the order of floating-point sums can't change a result.
     return state.select("sid", F.when(~F.col("full"), F.round("tilt", 9)).alias("tilt"), "mean")
 
 
+def _newton(state: DataFrame, h: DataFrame) -> DataFrame:
+    """One step of every source that isn't solved, on the logarithm of its words; halves the bracket where a step leaves it."""
+    keys = ["sid", "target", "mean", "full", "low", "high", "tilt"]
+    rate, z = rate_of(F.col("tilt"), F.col("size"), F.col("mean")), F.col("size") / F.col("mean")
+    words = F.col("n") * F.col("size") * rate
+    s = h.join(state.select(*keys), "sid").groupBy(*keys).agg(F.sum(words).alias("words"), F.sum(F.when(rate < CAP, words * z).otherwise(0.0)).alias("slope"))
+    s = s.withColumn("missed", F.abs(F.col("words") - F.col("target")) / F.col("target"))
+    s = s.withColumn("low", F.when(F.col("words") <= F.col("target"), F.greatest("low", "tilt")).otherwise(F.col("low")))
+    s = s.withColumn("high", F.when(F.col("words") >= F.col("target"), F.least("high", "tilt")).otherwise(F.col("high")))
+    step = F.col("tilt") - F.try_divide(F.col("words") * F.log(F.col("words") / F.col("target")), F.col("slope"))
+    halved = (F.col("low") + F.col("high")) / 2
+    following = F.when(F.col("full") | (F.col("missed") <= TOLERANCE), F.col("tilt")).when((step > F.col("low")) & (step < F.col("high")), step).otherwise(halved)
+    return s.select("sid", "target", "mean", "full", "low", "high", following.alias("tilt"), "missed")
+
+
 def _rounded_rows(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, size, source_size, target, rate, key (a hash of id and text) and copies of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -152,9 +152,9 @@ def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """The mix itself: each row of docs as often as it has copies. Rows equal in id and text share their copies."""
     #: materialize() gives both sides of the join the same rounding.
     mixed = materialize(_rounded_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col).select("key", "copies"), "mixed")
-    totals = mixed.groupBy("key").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
+    totals = mixed.groupBy(F.col("key").alias("_mixed_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    j = keyed.join(totals, keyed._key == totals.key).drop("key")
+    j = keyed.join(totals, F.col("_key") == F.col("_mixed_key"))
     once = j.where("_rows = 1")
     repeated = j.where("_rows > 1").dropDuplicates(["_key"])
     both = once.unionByName(repeated)

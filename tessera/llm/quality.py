@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OTHER_SPACE, ascii_lower, words_of
+from tessera.llm.common import OTHER_SPACE, ascii_lower, materialize, words_of
 
 #: Base rules.
 MIN_WORDS = 10
@@ -78,7 +78,9 @@ def base_statistics(docs: DataFrame, *, text_col: str, keep: list[Column]) -> Da
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_p")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", failed)
+    #: A filter isn't pushed below a generator; below the projections it would work the arrays out again for each element.
+    numbers = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return d.select(*kept, F.inline(F.array(F.struct(*numbers, failed.alias("base_failed")))))
 
 
 def normalised(line: Column) -> Column:
@@ -131,8 +133,7 @@ def keep(docs: DataFrame, *, text_col: str = "text", host_col: str = "source") -
     """The rows of docs that pass the base rules and aren't depleted, with all their columns."""
     names = docs.columns
     base = base_statistics(docs, text_col=text_col, keep=[F.struct(*[F.col(f"`{c}`") for c in names]), F.col(host_col), _text_key(F.coalesce(F.col(text_col), F.lit("")))])
-    lost = depleted(docs, text_col=text_col, host_col=host_col).select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"))
-    #: A filter isn't pushed below a generator; below the projections it would work the arrays out again for each element.
-    base = base.select("_k0", "_k1", "_k2", F.explode(F.array("base_failed")).alias("failed"))
-    left = base.where(~F.col("failed")).join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left_anti")
+    #: As a table its size is known before the join: where it is small, the texts aren't shuffled.
+    lost = materialize(depleted(docs, text_col=text_col, host_col=host_col), "depleted").select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"))
+    left = base.where(~F.col("base_failed")).join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left_anti")
     return left.select(*[F.col("_k0").getField(c).alias(c) for c in names])

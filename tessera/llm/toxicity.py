@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ LEAST_DOCS = 3
 #: Every FOLDS-th id, by crc32 of its digits, is held out.
 FOLDS = 5
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters that are taken off both ends of a word.
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -61,9 +62,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
     totals = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     chosen = [ids.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most) for c, most in ((1, POSITIVES), (0, NEGATIVES))]
     picked = known.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").dropDuplicates(["_id"]).toPandas().sort_values("_id", ignore_index=True)
-    for c in (0, 1):
-        n = int((picked["toxic"] == c).sum())
-        picked.loc[picked["toxic"] == c, "weight"] = totals.get(c, 0) / max(n, 1)
+    chosen_of = picked["toxic"].value_counts().to_dict()
+    picked["weight"] = [totals[c] / chosen_of[c] for c in picked["toxic"].tolist()]
     return picked, totals
 
 
@@ -73,19 +73,23 @@ def train(texts: list[str], toxic, weight):
 
     toxic, weight = np.asarray(toxic, "i8"), np.asarray(weight, "f4")
     weight = weight / weight.mean()
-    known: dict[str, list[int]] = {}
+    known: dict[str, array] = {}
     columns, values = [], []
     for t in texts:
         counts = Counter(t.lower().split())
         total = sum(counts.values())
-        at, x = [], []
+        at, x, sizes = array("i"), [], []
         for w, c in counts.items():
             f = known.get(w)
             if f is None:
-                f = known[w] = features(w)
+                f = known[w] = array("i", features(w))
             at += f
-            x += [c / total / len(f)] * len(f)
+            sizes.append(len(f))
+            x.append(c / total / len(f))
+        x = np.repeat(np.asarray(x, "f8"), sizes)
         one, where = np.unique(np.asarray(at, "i4"), return_inverse=True)
+        if len(known) > REMEMBERED:
+            known.clear()
         columns.append(one)
         values.append(np.bincount(where, x, minlength=len(one)).astype("f4") if len(one) else np.empty(0, "f4"))
     known.clear()
@@ -164,14 +168,15 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if picked["toxic"].nunique() < 2:
         value = F.lit(totals.get(1, 0) / max(1, sum(totals.values())))
     else:
-        numbers, bias = train(picked["text"].tolist(), picked["toxic"], picked["weight"])
-        del picked
+        numbers, bias = train(picked.pop("text").tolist(), picked["toxic"], picked["weight"])
 
-        @F.pandas_udf("double")
+        @F.arrow_udf("double")
         def scored(texts):
-            import pandas as pd
+            import pyarrow as pa
 
-            return pd.Series([1 / (1 + math.exp(-min(max(z, -700), 700))) for z in logits(texts, numbers, bias)])
+            #: A few texts of the batch at a time are Python strings.
+            parts = (logits(texts.slice(k, 200).to_pylist(), numbers, bias) for k in range(0, len(texts), 200))
+            return pa.array([1 / (1 + math.exp(-min(max(z, -700), 700))) for p in parts for z in p], pa.float64())
 
         value = scored("_text")
     d = d.withColumn("score", value)
