@@ -52,14 +52,15 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
 
 def limits(sums: DataFrame, context: list[int]) -> DataFrame:
     """For each context limit: limit, docs_over, truncated_total and tokens_lost."""
-    c = sums.sparkSession.createDataFrame([(n,) for n in context], "limit long")
-    over = F.col("n_tokens") > F.col("limit")
-    s = sums.select("n_tokens", "n_docs", "tokens").crossJoin(F.broadcast(c)) if context else sums.select("n_tokens", "n_docs", "tokens", F.lit(0).alias("limit")).limit(0)
-    return s.groupBy("limit").agg(
-        F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.when(over, F.col("limit") * F.col("n_docs")).otherwise(F.col("tokens"))).alias("truncated_total"),
-        F.sum(F.when(over, F.col("tokens") - F.col("limit") * F.col("n_docs")).otherwise(0)).alias("tokens_lost"),
-    )
+    picks = []
+    for k, n in enumerate(context):
+        over, held = F.col("n_tokens") > n, F.lit(n) * F.col("n_docs")
+        parts = {"docs_over": F.when(over, F.col("n_docs")), "truncated_total": F.when(over, held).otherwise(F.col("tokens")), "tokens_lost": F.when(over, F.col("tokens") - held)}
+        picks += [F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(f"{name}{k}") for name, x in parts.items()]
+    if not picks:
+        return sums.sparkSession.createDataFrame([], "limit long, docs_over long, truncated_total long, tokens_lost long")
+    rows = [F.struct(F.lit(n).cast("long").alias("limit"), *[F.col(f"{c}{k}").alias(c) for c in ("docs_over", "truncated_total", "tokens_lost")]) for k, n in enumerate(context)]
+    return sums.agg(*picks).select(F.inline(F.array(*rows)))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
