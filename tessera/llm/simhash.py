@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return d.join(fps, "fp").select(F.col("id").alias(id_col), "fp", F.col("least").alias("component_id"))
     stars = components.stars(links(fps.select("fp"), plan(n, both, distance), distance))
     rooted = fps.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    #: Only components of several fingerprints have anything to look up.
-    many = rooted.where("root != fp").select("root").distinct()
-    least = rooted.join(many, "root").groupBy("root").agg(F.min("least").alias("component_id"))
+    #: The members' ids are combined before the shuffle, so a large component is one row of each task; its root's own id joins once.
+    members = rooted.where("root != fp").groupBy("root").agg(F.min("least").alias("others"))
+    least = fps.join(members, F.col("fp") == F.col("root")).select("root", F.least("others", "least").alias("component_id"))
     named = rooted.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return d.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
