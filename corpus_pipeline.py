@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, quality, simhash, toxicity
+from tessera.llm import bpe, jaccard, mixing, quality, toxicity
 from tessera.llm.common import scratch_path
 from tessera.llm.queries import tokenizer_path
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id of each group linked by five-word shingles of similarity 0.8 and more."""
+    return jaccard.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
