@@ -34,7 +34,13 @@ DROPPED_WORDS = {
     "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "popup", "modal", "widget", "toolbar", "pagination", "pager",
     "complementary", "contentinfo", "search", "copyright",
 }
-#: Such words don't count on a part that these, or its tag, name as the article's own.
+#: These drop a part whatever else it is named.
+STRICT_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "sidebar", "sidenav",
+    "footer", "contentinfo", "comment", "comments", "commentlist", "respond", "disqus", "newsletter", "subscribe",
+}
+#: These don't count on a part with one of OWN_WORDS, the others only not where one of OWN_WORDS is a name of its own.
+AMBIGUOUS_WORDS = {"header", "masthead", "notice", "notices"}
 OWN_WORDS = {"article", "post", "entry", "story", "content"}
 BLOCKS = {
     "html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead",
@@ -54,6 +60,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Such names tell what is beside a part, not what it is.
+_STATE = re.compile(r"(?:has|with|no|without)[-_]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
@@ -62,8 +70,14 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    words = {w for v in _NAMES.findall(attributes) for w in _WORD.findall(v.lower())}
-    return bool(words & DROPPED_WORDS) and not (words & OWN_WORDS or tag in ("article", "main", "body", "html"))
+    if tag in ("article", "main", "body", "html"):
+        return False
+    names = {x for v in _NAMES.findall(attributes) for x in v.lower().strip("\"'").split() if not _STATE.match(x)}
+    words = {w for x in names for w in _WORD.findall(x)}
+    if words & STRICT_WORDS:
+        return True
+    found = words & DROPPED_WORDS
+    return bool(found) and not (names & OWN_WORDS or (found <= AMBIGUOUS_WORDS and words & OWN_WORDS))
 
 
 def nodes(page: str) -> list[tuple[str, str, int, str]]:

@@ -90,6 +90,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><
 <form><p>Name:</p><input></form></article></div><section id="comments"><p>Reader says, hello there, friend.</p></section><aside><p>Side, note.</p></aside><footer>&copy; me</footer>"""
 
 
+def test_html_text_drops_compound_names():
+    prose = "A long line of prose, with commas; and a stop. " * 4
+    lost = ["post-comments", "article-comments", "comment-content", "article-sidebar", "entry-footer", "content-ad", "cookie-content", "post comments", "post-newsletter", "story-related", "post-navigation"]
+    kept = ["post", "entry-header", "story-notice", "content has-sidebar", "article", "post social", "content_no"]
+    parts = [f'<div class="{c}"><p>{prose}{k}</p></div>' for k, c in enumerate(lost + kept)]
+    got = html_text.main_text(f"<body class='with-sidebar comments'>{''.join(parts)}<main class='sidebar'><p>{prose}main</p></main></body>")
+    assert got.split("\n") == [f"{prose}{k}" for k in range(len(lost), len(lost + kept))] + [f"{prose}main"]
+
+
 def test_html_text(spark):
     want = "Title & more\nOne, two three. four\nFive <six> é\nitem one\nitem two"
     assert html_text.main_text(PAGE) == want
