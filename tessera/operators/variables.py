@@ -41,16 +41,27 @@ def sparse_to_dense(events: DataFrame, rate: int, keys: list[str]) -> DataFrame:
     return e.groupBy(*keys, "bin").agg(F.max_by("amplitude", F.struct("onset", "event_id")).alias("value"))
 
 
+#: Milliseconds whose distinct values are put into one array.
+RANGE = 65_536
+
+
 def bin_rate(events: DataFrame, keys: list[str]) -> DataFrame:
     """keys, bin_ms: the greatest common divisor of positive onsets and durations in milliseconds."""
     ms = events.select(*keys, F.explode(F.array(F.round(F.col("onset") * 1000).cast("long"), F.round(F.col("duration") * 1000).cast("long"))).alias("ms")).where("ms > 0").distinct()
 
     def gcd(a: Column, b: Column) -> Column:
         step = lambda s, _: F.when(s.b == 0, s).otherwise(F.struct(s.b.alias("a"), (s.a % F.greatest(s.b, F.lit(1).cast("long"))).alias("b")))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s.a)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s.a)
+
+    def divisor(d: DataFrame, by: list[str]) -> DataFrame:
+        per = d.groupBy(*by).agg(F.array_sort(F.collect_set("ms")).alias("all"))
+        return per.select(*by, F.aggregate("all", F.lit(0).cast("long"), lambda a, b: gcd(b, a)).alias("ms"))
 
-    per = ms.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("ms") <= 86_400_000, F.col("ms")))).alias("all"))
-    return per.select(*keys, F.aggregate("all", F.lit(0).cast("long"), lambda a, b: gcd(b, a)).alias("bin_ms"))
+    #: No array holds more than RANGE distinct values of a key: the divisor of each range, of salted groups of these, then of those.
+    d = ms
+    for part in (F.floor(F.col("ms") / RANGE), F.pmod(F.xxhash64("ms"), F.lit(4096))):
+        d = divisor(d.withColumn("_part", part), [*keys, "_part"]).drop("_part")
+    return divisor(d, keys).withColumnRenamed("ms", "bin_ms")
 
 
 def lag_zero(df: DataFrame, n: int, keys: list[str], order: list[str], value: str = "value") -> DataFrame:

@@ -130,3 +130,10 @@ def test_every_query_has_a_stable_schema(spark):
     found = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_bin_rate_beyond_a_day(spark):
+    rows = [("a", 90_000.25, 0.5), ("a", 90_001.0, 0.5), ("b", 100_000.0, 90_000.0), ("c", 2.0, 4e6), ("c", 3.0, 0.0), ("d", 0.0, 0.0)]
+    rows += [("e", 200_000 + k * 0.75, 1.5) for k in range(3000)]
+    e = spark.createDataFrame(rows, "g string, onset double, duration double")
+    assert {r.g: r.bin_ms for r in variables.bin_rate(e, ["g"]).collect()} == {"a": 250, "b": 10_000_000, "c": 1000, "e": 250}
