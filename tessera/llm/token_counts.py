@@ -3,6 +3,7 @@
 Documents are aggregated by encoded length. With suffix sums over the lengths, a limit's truncated total is
 the tokens of the documents up to it and the limit times the documents above it, and a quantile is the first
 length that enough documents reach. The sums run over blocks of BLOCK lengths, and then over the blocks.
+The histogram is a table before its sums: it has a row for each length at most, and no text is encoded twice.
 
 Defined results: a null or empty text has length 0. Repeated rows count each. An empty table gives an empty
 histogram, totals of 0 and null quantiles. Other columns are not read.
@@ -14,15 +15,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
+from tessera.llm.common import materialize
 
 #: Lengths that are summed in one task.
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
     """n_tokens and n_docs, one row for each length that occurs."""
     counted = bpe.lengths(docs.select(F.col(text_col).alias("text")), tokenizer)
-    return counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return materialize(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def suffix_sums(lengths: DataFrame) -> DataFrame:
