@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space other than the blank: tab, line feed, vertical tab, form feed, carriage return.
 OTHER_SPACE = "\t\n\x0b\x0c\r"
+#: All white space, in a pattern.
+SPACE = r" \t\n\x0B\f\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:

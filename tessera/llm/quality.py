@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OTHER_SPACE, ascii_lower, materialize, words_of
+from tessera.llm.common import OTHER_SPACE, SPACE, materialize
 
 #: Base rules.
 MIN_WORDS = 10
@@ -30,8 +30,8 @@ LINE_DOCS = 20
 KEEP_SHARE = 0.3
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
 
 
 def base_statistics(docs: DataFrame, *, text_col: str, keep: list[Column]) -> DataFrame:
@@ -39,22 +39,26 @@ def base_statistics(docs: DataFrame, *, text_col: str, keep: list[Column]) -> Da
 
     Arrays that a lambda indexes are columns of an earlier projection, so that they are computed once.
     """
-    text = F.col("_text")
+    text = _text(text_col)
     kept = [f"_k{i}" for i in range(len(keep))]
-    d = docs.select(*[c.alias(k) for c, k in zip(keep, kept, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, " " + OTHER_SPACE)) > 0)
+    d = docs.select(
+        *[c.alias(k) for c, k in zip(keep, kept, strict=True)],
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"),
+        F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"),
+    )
     d = d.select(
         *kept,
-        F.length(_without(text, " " + OTHER_SPACE)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-        F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("_w"),
+        "n_symbols",
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_w"),
     )
     d = d.select(
         *kept,
         "word_chars",
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "n_dup_lines",
         F.size("_w").cast("long").alias("n_words"),
         F.when(
             F.size("_w") > WINDOW,
@@ -83,10 +87,17 @@ def base_statistics(docs: DataFrame, *, text_col: str, keep: list[Column]) -> Da
     return d.select(*kept, F.inline(F.array(F.struct(*numbers, failed.alias("base_failed")))))
 
 
-def normalised(line: Column) -> Column:
-    """A line as it is compared across documents."""
-    flat = F.translate(ascii_lower(line), "123456789" + OTHER_SPACE, "000000000" + " " * len(OTHER_SPACE))
-    return F.array_join(F.array_remove(F.split(flat, " "), ""), " ")
+def _lines(docs: DataFrame, *, text_col: str, host_col: str) -> DataFrame:
+    """host, text_key and lines (hash and words of each normalised line with a word) of every row, as a table.
+
+    White space and case are levelled over the whole text before it is cut into lines.
+    """
+    blanks = OTHER_SPACE.replace("\n", "")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    flat = F.translate(_text(text_col), upper + "123456789" + blanks, upper.lower() + "000000000" + " " * len(blanks))
+    words = F.filter(F.transform(F.split(flat, "\n"), lambda x: F.array_remove(F.split(x, " "), "")), lambda w: F.size(w) > 0)
+    lines = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("line_hash"), F.size(w).alias("n")))
+    return materialize(docs.select(F.col(host_col).alias("host"), _text_key(_text(text_col)).alias("text_key"), lines.alias("lines")), "lines")
 
 
 def _text_key(text: Column) -> Column:
@@ -94,33 +105,30 @@ def _text_key(text: Column) -> Column:
 
 
 def depleted(docs: DataFrame, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """host, text_key of the distinct documents that lose too many words with the lines above the limits."""
-    d = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.select("host", _text_key(F.col("text")).alias("text_key"), F.split("text", "\n").alias("lines"))
-    line = d.select("host", "text_key", F.explode("lines").alias("line")).select("host", "text_key", normalised(F.col("line")).alias("line")).where("line != ''")
-    line = line.select("host", "text_key", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(_without(F.col("line"), " ")) + 1).alias("n"))
+    """host, text_key of the distinct documents that lose too many words with the lines above the limits, as a table."""
+    d = _lines(docs, text_col=text_col, host_col=host_col)
+    line = d.select("host", "text_key", F.inline("lines"))
     #: Copies of a document are one document, whose repeated lines count once.
-    distinct = line.select("host", "line_hash", "text_key").distinct()
-    counts = distinct.groupBy("host", "line_hash").count().where(F.col("count") > LINE_DOCS)
-    hosts = d.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("n_docs"))
+    counts = line.select("host", "line_hash", "text_key").distinct().groupBy("host", "line_hash").count().where(F.col("count") > LINE_DOCS)
+    copies = materialize(d.groupBy("host", "text_key").agg(F.count("*").alias("copies")), "copies")
+    hosts = copies.groupBy("host").agg(F.count("*").alias("n_docs"))
     above = (
         counts.join(hosts, counts.host.eqNullSafe(hosts.host))
         .where(F.col("count") > LINE_SHARE * F.col("n_docs"))
         .select(counts.host.alias("a_host"), F.col("line_hash").alias("a_hash"), F.lit(True).alias("above"))
     )
-    marked = line.join(above, line.host.eqNullSafe(F.col("a_host")) & (line.line_hash == F.col("a_hash")), "left")
+    marked = line.join(materialize(above, "above"), line.host.eqNullSafe(F.col("a_host")) & (line.line_hash == F.col("a_hash")), "left")
     #: Each copy counts its own lines, so the shares are those of one text.
     sums = marked.groupBy("host", "text_key").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("above"), F.lit(0)).otherwise(F.col("n"))).alias("left_words"), F.count("above").alias("removed"))
-    copies = d.groupBy("host", "text_key").agg(F.count("*").alias("copies"))
     lost = sums.where("removed > 0").join(copies, sums.host.eqNullSafe(copies.host) & (sums.text_key == copies.text_key))
     few = (F.col("left_words") < MIN_WORDS * F.col("copies")) | (F.col("left_words") < KEEP_SHARE * F.col("words"))
-    return lost.where(few).select(sums.host, sums.text_key)
+    #: As a table its size is known before it is joined: where it is small, the documents aren't shuffled.
+    return materialize(lost.where(few).select(sums.host, sums.text_key), "depleted")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The base statistics, base_failed and kept of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = base_statistics(docs, text_col=text_col, keep=[F.col(id_col), F.col(host_col), _text_key(text)])
+    base = base_statistics(docs, text_col=text_col, keep=[F.col(id_col), F.col(host_col), _text_key(_text(text_col))])
     lost = depleted(docs, text_col=text_col, host_col=host_col).select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"), F.lit(True).alias("lost"))
     joined = base.join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left")
     return joined.select(
@@ -132,8 +140,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
 def keep(docs: DataFrame, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that pass the base rules and aren't depleted, with all their columns."""
     names = docs.columns
-    base = base_statistics(docs, text_col=text_col, keep=[F.struct(*[F.col(f"`{c}`") for c in names]), F.col(host_col), _text_key(F.coalesce(F.col(text_col), F.lit("")))])
-    #: As a table its size is known before the join: where it is small, the texts aren't shuffled.
-    lost = materialize(depleted(docs, text_col=text_col, host_col=host_col), "depleted").select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"))
-    left = base.where(~F.col("base_failed")).join(lost, F.col("_k1").eqNullSafe(F.col("l_host")) & (F.col("_k2") == F.col("l_key")), "left_anti")
-    return left.select(*[F.col("_k0").getField(c).alias(c) for c in names])
+    base = base_statistics(docs, text_col=text_col, keep=[*[F.col(f"`{c}`") for c in names], _text_key(_text(text_col))])
+    host, key = F.col(f"_k{names.index(host_col)}"), F.col(f"_k{len(names)}")
+    lost = depleted(docs, text_col=text_col, host_col=host_col).select(F.col("host").alias("l_host"), F.col("text_key").alias("l_key"))
+    left = base.where(~F.col("base_failed")).join(lost, host.eqNullSafe(F.col("l_host")) & (key == F.col("l_key")), "left_anti")
+    return left.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(names)])
