@@ -1,8 +1,9 @@
 """The catalog: files and tags from paths, and conjunctive queries on the tags.
 
-All tag values are text. A query is a list of conditions on entities; its plan reads the tags of these
-entities once, checks all conditions in one aggregation per path, and leaves anti conditions to the rows
-without a tag.
+All tag values are text. A query is a list of conditions on entities. On a stored tag table its plan reads the
+tags of these entities once, checks all conditions in one aggregation per path, and leaves anti conditions to
+the rows without a tag. Without a tag table (CatalogQuery.of_paths) each condition is a filter on the path itself:
+only the patterns of the entities asked for are matched, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import config
 from tessera.functions import paths
 
 
@@ -30,8 +32,18 @@ def wide(df: DataFrame, *, derivatives: bool = False) -> DataFrame:
 
 def tags(df: DataFrame, *, derivatives: bool = False) -> DataFrame:
     """path, entity, value: a row for each entity that a path has."""
+    return df.select("path", F.explode(_tag_array(derivatives)).alias("t")).select("path", "t.entity", "t.value")
+
+
+def _tag_array(derivatives: bool) -> Column:
+    """The tags of a path as array<struct<entity, value>>."""
     found = [F.struct(F.lit(n).alias("entity"), c.alias("value")) for n, c in paths.entities(F.col("path"), derivatives=derivatives).items()]
-    return df.select("path", F.explode(F.filter(F.array(*found), lambda x: x.value.isNotNull())).alias("t")).select("path", "t.entity", "t.value")
+    return F.filter(F.array(*found), lambda x: x.value.isNotNull())
+
+
+def entity_counts(tags_: DataFrame) -> DataFrame:
+    """entity, n_tags, n_values of a tag table."""
+    return tags_.groupBy("entity").agg(F.count("*").alias("n_tags"), F.countDistinct("value").alias("n_values"))
 
 
 def zarr_directories(df: DataFrame) -> DataFrame:
@@ -63,12 +75,22 @@ class Condition:
 
 @dataclass(frozen=True)
 class CatalogQuery:
-    """A conjunction of conditions over a catalog; every method returns a new query."""
+    """A conjunction of conditions over a catalog; every method returns a new query. tags: None reads them off the paths."""
 
     files: DataFrame
-    tags: DataFrame
+    tags: DataFrame | None
     conditions: tuple[Condition, ...] = ()
 
+    @staticmethod
+    def of_paths(files: DataFrame) -> CatalogQuery:
+        """A query on files whose entities are read off their paths."""
+        return CatalogQuery(files, None)
+
+    def value(self, entity: str) -> Column:
+        """The entity of a path; null for entities that no path can have."""
+        pattern = dict(config.ENTITIES + config.DERIVATIVE_ENTITIES).get(entity)
+        return paths.entity(F.col("path"), pattern) if pattern else F.lit(None).cast("string")
+
     def _with(self, *c: Condition) -> CatalogQuery:
         return replace(self, conditions=(*self.conditions, *c))
 
@@ -128,6 +150,32 @@ class CatalogQuery:
         """See subject()."""
         return self.equals("suffix", v)
 
+    def acquisition(self, v: str) -> CatalogQuery:
+        """See subject()."""
+        return self.equals("acquisition", v)
+
+    def recording(self, v: str) -> CatalogQuery:
+        """See subject()."""
+        return self.equals("recording", v)
+
+    def space(self, v: str) -> CatalogQuery:
+        """See subject()."""
+        return self.equals("space", v)
+
+    def checked(self, unknown: str = "error") -> CatalogQuery:
+        """The query with its entities checked against those of the catalog: unknown ones are an error, dropped or allowed."""
+        if unknown not in ("error", "drop", "allow"):
+            raise ValueError(f"unknown must be error, drop or allow, not {unknown}")
+        wrong = [] if unknown == "allow" else unknown_entities(self)
+        if wrong and unknown == "error":
+            raise ValueError("; ".join(f"no file has the entity {w}" + (f", did you mean {', '.join(near)}?" if near else "") for w, near in wrong))
+        names = {w for w, _ in wrong}
+        return replace(self, conditions=tuple(c for c in self.conditions if c.entity not in names))
+
+    def count(self) -> DataFrame:
+        """n: the number of files found."""
+        return self.paths().agg(F.count("*").alias("n"))
+
     def scope(self, scope: str) -> CatalogQuery:
         """Files with the column pipeline null (raw), not null (derivatives), equal (a name), or all."""
         where = {"all": F.lit(True), "raw": F.col("pipeline").isNull(), "derivatives": F.col("pipeline").isNotNull()}
@@ -135,6 +183,12 @@ class CatalogQuery:
 
     def paths(self) -> DataFrame:
         """The files that satisfy every condition."""
+        if self.tags is None:
+            out = self.files
+            for c in self.conditions:
+                v = self.value(c.entity)
+                out = out.where(v.isNull() if c.kind == "none" else c.holds(v))
+            return out
         need = [c for c in self.conditions if c.kind != "none"]
         bar = [c.entity for c in self.conditions if c.kind == "none"]
         out = self.files
@@ -151,6 +205,8 @@ class CatalogQuery:
 
     def unique(self, entity: str) -> DataFrame:
         """The distinct values of an entity among the files found."""
+        if self.tags is None:
+            return self.any(entity).paths().select(self.value(entity).alias("value")).distinct()
         return self.tags.where(F.col("entity") == entity).join(self.paths().select("path"), "path", "left_semi").select("value").distinct()
 
     def directories(self, entity: str) -> DataFrame:
@@ -159,13 +215,15 @@ class CatalogQuery:
 
     def collect_maps(self) -> DataFrame:
         """The files found with their tags as a map."""
+        if self.tags is None:
+            return self.paths().select("path", F.map_from_entries(F.array_sort(_tag_array(False))).alias("entities"))
         found = self.tags.join(self.paths().select("path"), "path", "left_semi")
         return found.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("entity", "value")))).alias("entities"))
 
 
 def unknown_entities(query: CatalogQuery) -> list[tuple[str, list[str]]]:
     """Entities of the conditions that no tag has, each with up to three near names; entity names are few."""
-    known = [r.entity for r in query.tags.select("entity").distinct().collect()]
+    known = [n for n, _ in config.ENTITIES] if query.tags is None else [r.entity for r in query.tags.select("entity").distinct().collect()]
     wrong = sorted({c.entity for c in query.conditions} - set(known))
     if not wrong:
         return []
@@ -195,8 +253,15 @@ def matches_entities(entities: Column, target: dict[str, str], *, strict: bool =
     return test & (F.size(entities) == len(target)) if strict else test
 
 
+#: Entities in which files of one group may differ.
+_ALIKE = ("echo", "part", "ch", "direction", "suffix")
+
+
 def associated_groups(df: DataFrame) -> DataFrame:
-    """path and group: files that differ only in echo, part, channel, direction or suffix share a group."""
-    left = ~F.col("entity").isin("echo", "part", "ch", "direction", "suffix")
+    """path and group: files that differ only in echo, part, channel, direction or suffix share a group. df: files, or their tags."""
+    if "entity" not in df.columns:
+        named = [F.concat(F.lit(f"{n}="), c) for n, c in paths.entities(F.col("path")).items() if n not in _ALIKE]
+        return df.select("path", F.array_join(F.array_sort(F.array_compact(F.array(*named))), "|").alias("group"))
+    left = ~F.col("entity").isin(*_ALIKE)
     key = F.array_join(F.array_sort(F.collect_set(F.when(left, F.concat_ws("=", "entity", "value")))), "|")
     return df.groupBy("path").agg(key.alias("group"))

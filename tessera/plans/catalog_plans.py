@@ -22,8 +22,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _query(spark: SparkSession, d: str) -> catalog.CatalogQuery:
-    f = _files(spark, d)
-    return catalog.CatalogQuery(f, catalog.tags(f))
+    return catalog.CatalogQuery.of_paths(_files(spark, d))
 
 
 def entity_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +41,11 @@ def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
     return _query(spark, d).suffix("bold").any("run").task("F").none("echo").paths()
 
 
+def stored_filter(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    return catalog.CatalogQuery(f, catalog.tags(f)).suffix("bold").any("run").task("F").none("echo").paths()
+
+
 def filter_in(spark: SparkSession, d: str) -> DataFrame:
     return _query(spark, d).one_of("suffix", "eeg", "meg").one_of("session", "1995", "1996").paths()
 
@@ -63,7 +67,7 @@ def directories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_names(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.tags(_files(spark, d)).groupBy("entity").agg(F.count("*").alias("n_tags"), F.countDistinct("value").alias("n_values"))
+    return catalog.entity_counts(catalog.tags(_files(spark, d)))
 
 
 def collected(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +100,7 @@ def path_build(spark: SparkSession, d: str) -> DataFrame:
 
 
 def associated_groups(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.associated_groups(catalog.tags(_files(spark, d)))
+    return catalog.associated_groups(_files(spark, d))
 
 
 def _sidecars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -136,9 +140,10 @@ def assoc_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def intended_for(spark: SparkSession, d: str) -> DataFrame:
     w = catalog.wide(_files(spark, d)).where("suffix = 'dwi'")
-    rel = F.regexp_replace("path", "^/ds/", "bids::")
-    inner = F.regexp_replace("path", "^/ds/sub-[^/]*/", "")
-    return associations.intended_for(w.select("path", "subject", F.array(rel, inner, F.lit("bids:other:x.nii")).alias("intended")), "/ds")
+    bold = F.replace(F.replace("path", F.lit("/dwi/"), F.lit("/func/")), F.lit("_dwi."), F.lit("_bold."))
+    eeg = F.replace(F.replace("path", F.lit("/dwi/"), F.lit("/eeg/")), F.lit("_dwi.nii.gz"), F.lit("_eeg.edf"))
+    intended = F.array(F.regexp_replace(bold, "^/ds/", "bids::"), F.regexp_replace(eeg, "^/ds/sub-[^/]*/", ""), F.lit("bids:other:x.nii"))
+    return associations.intended_for(w.select("path", "subject", intended.alias("intended")), "/ds")
 
 
 def companions(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +179,7 @@ def companion_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    entity_parse, catalog_tags, file_attributes, catalog_filter, filter_in, filter_regex, filter_any_none, unique_values, directories, entity_names, collected,
+    entity_parse, catalog_tags, file_attributes, catalog_filter, stored_filter, filter_in, filter_regex, filter_any_none, unique_values, directories, entity_names, collected,
     scope_union, natural_sort_rank, close_matches, path_build, associated_groups, metadata_inherit, metadata_inherit_strict, assoc_edges, intended_for,
     companions, nearest_file, fieldmap_theta, group_missing_keys, valid_paths, companion_paths,
 )}
@@ -193,9 +198,10 @@ ORACLES = {
     "file_attributes": f"""WITH {views.FILES_SQL} SELECT path, regexp_extract(path, '[^/]*$') AS filename, regexp_replace(path, '/[^/]*$', '') AS dirname,
       CASE WHEN path LIKE '%.nii.gz' THEN 'image' WHEN path LIKE '%.edf' THEN 'eeg' WHEN path LIKE '%.fif' THEN 'meg' ELSE 'generic' END AS file_type,
       CASE WHEN path LIKE '%.nii.gz' THEN '.nii.gz' ELSE regexp_extract(path, '\\.[^.]*$') END AS ext, regexp_extract(path, '_([^_.]*)\\.[^/]*$', 1) AS stem_suffix FROM f""",
-    "catalog_filter": f"""WITH {TAGS_SQL} SELECT path FROM f WHERE EXISTS (FROM t WHERE t.path = f.path AND entity = 'suffix' AND value = 'bold')
-      AND EXISTS (FROM t WHERE t.path = f.path AND entity = 'run') AND EXISTS (FROM t WHERE t.path = f.path AND entity = 'task' AND value = 'F')
-      AND NOT EXISTS (FROM t WHERE t.path = f.path AND entity = 'echo')""",
+    "catalog_filter": f"WITH {WIDE_SQL} SELECT path FROM w WHERE suffix = 'bold' AND run IS NOT NULL AND task = 'F' AND echo IS NULL",
+    "stored_filter": f"""WITH {TAGS_SQL.replace(", t AS (", ", t AS MATERIALIZED (")},
+      a AS (SELECT path FROM t WHERE entity = 'suffix' AND value = 'bold'), b AS (SELECT path FROM t WHERE entity = 'task' AND value = 'F')
+      SELECT path FROM f WHERE path IN (FROM a) AND path IN (FROM b) AND path IN (SELECT path FROM t WHERE entity = 'run') AND path NOT IN (SELECT path FROM t WHERE entity = 'echo')""",
     "filter_in": f"WITH {WIDE_SQL} SELECT path FROM w WHERE suffix IN ('eeg', 'meg') AND session IN ('1995', '1996')",
     "filter_regex": f"WITH {WIDE_SQL} SELECT path FROM w WHERE regexp_matches(subject, '^000[0-4]') AND extension = '.edf'",
     "filter_any_none": f"WITH {WIDE_SQL} SELECT path FROM w WHERE task IS NOT NULL AND acquisition IS NULL AND run::INT = 3",
@@ -222,7 +228,8 @@ j AS (SELECT DISTINCT w.path, sc.path AS origin, length(sc.dir) AS depth FROM w
 c AS (SELECT DISTINCT above, origin FROM (SELECT *, lag(origin) OVER (PARTITION BY path ORDER BY depth, origin) AS above FROM j) WHERE above IS NOT NULL),
 e AS (SELECT origin AS src, path AS dst, 'Metadata' AS kind FROM j UNION SELECT origin, above, 'Child' FROM c UNION SELECT above, origin, 'Parent' FROM c)
 SELECT kind, count(*) AS n, count(DISTINCT src) AS n_src FROM e GROUP BY kind""",
-    "intended_for": f"""WITH {WIDE_SQL} SELECT path AS src, path AS dst, 'IntendedFor' AS kind FROM w WHERE suffix = 'dwi' UNION ALL SELECT path, path, 'InformedBy' FROM w WHERE suffix = 'dwi'""",
+    "intended_for": f"""WITH {WIDE_SQL}, x AS (SELECT path, unnest([replace(replace(path, '/dwi/', '/func/'), '_dwi.', '_bold.'), replace(replace(path, '/dwi/', '/eeg/'), '_dwi.nii.gz', '_eeg.edf')]) AS other FROM w WHERE suffix = 'dwi')
+      SELECT path AS src, other AS dst, 'IntendedFor' AS kind FROM x UNION ALL SELECT other, path, 'InformedBy' FROM x""",
     "companions": f"WITH {WIDE_SQL} SELECT a.path AS src, b.path AS dst FROM w a JOIN w b ON a.suffix = 'eeg' AND b.suffix = 'meg' AND a.subject = b.subject AND a.session = b.session AND a.task = b.task",
     "nearest_file": f"""WITH {WIDE_SQL},
 c AS (SELECT path AS candidate, regexp_replace(path, '/[^/]*$', '') AS dir, subject, session, task, run FROM (SELECT path, subject, session, task, run FROM w WHERE suffix = 'meg'
