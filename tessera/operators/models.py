@@ -177,20 +177,22 @@ class Graph:
         lines = [f'  "{n.name}" [label="{n.name}\\n{n.level}"];' for n in self.nodes.values()]
         return "\n".join(["digraph model {", *lines, *(f'  "{a}" -> "{b}";' for a, b, _ in self.edges), "}"])
 
+    @staticmethod
+    def _filtered(df: DataFrame, values: dict) -> DataFrame:
+        for k, v in values.items():
+            df = df.where(F.col(k).isin(v)) if k in df.columns else df
+        return df
+
     def run(self, data: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-        """Each node's design with its contrasts, in order."""
+        """Each node's design with its contrasts, in order: of the rows of all its inputs, transformed within its groups."""
         out = {}
         for name in self.order():
             node = self.nodes[name]
-            source = next((a for a, b, _ in self.edges if b == name), None)
-            df = data if source is None else out[source]
-            for a, b, f in self.edges:
-                if b == name:
-                    for k, v in f.items():
-                        df = df.where(F.col(k).isin(v)) if k in df.columns else df
-            df = variables.transform(df, node.transformations, keys)
-            terms = tuple((str(t),) for t in node.x if t != 1)
+            inputs = [(out[a], f) for a, b, f in self.edges if b == name]
+            df = variables.merged([self._filtered(d, f) for d, f in inputs]) if inputs else data
             have = [k for k in dict.fromkeys([*keys, *node.group_by]) if k in df.columns]
+            df = variables.transform(df, node.transformations, keys, [k for k in node.group_by if k in df.columns])
+            terms = tuple((str(t),) for t in node.x if t != 1)
             d = design_matrix(df, Formula(None, terms, 1 in node.x), have)
             for c in node.contrasts:
                 d = apply_contrast(d, c["condition_list"], c["weights"], c["name"])
@@ -200,6 +202,27 @@ class Graph:
         return out
 
 
+def glm_spec(df: DataFrame, names: list[str], keys: list[str], model: dict) -> tuple[DataFrame, dict]:
+    """The columns of a linear model (missing values are 0) and its settings: kind glm or meta, family, link, formula."""
+    low = {k.lower(): v for k, v in model.items()}
+    settings = {"kind": low.get("type", "glm").lower(), "family": low.get("family", "gaussian"), "link": low.get("link", "identity"), "formula": low.get("formula")}
+    have = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) if n in df.columns else F.lit(0.0).alias(n) for n in names]
+    return df.select(*keys, *have), settings
+
+
+def auto_models(events: DataFrame, files: DataFrame) -> DataFrame:
+    """task, model (JSON): a run node of the trial types of each task, and a node for each higher level that has several values.
+
+    events: task, trial_type; files: task, run, session, subject.
+    """
+    factors = events.groupBy("task").agg(F.transform(F.array_sort(F.collect_set("trial_type")), lambda x: F.concat(F.lit("trial_type."), x)).alias("x"))
+    levels = files.groupBy("task").agg(*[F.countDistinct(c).alias(f"n_{c}") for c in ("run", "session", "subject")])
+    node = lambda name, level: F.struct(F.lit(name).alias("Name"), F.lit(level).alias("Level"))
+    higher = F.array_compact(F.array(F.when(F.col("n_session") > 1, node("session", "Session")), F.when(F.col("n_subject") > 1, node("subject", "Subject")), F.when(F.col("n_subject") > 1, node("dataset", "Dataset"))))
+    first = F.struct(F.lit("run").alias("Name"), F.lit("Run").alias("Level"), F.struct(F.col("x").alias("X")).alias("Model"))
+    return factors.join(levels, "task").select("task", F.to_json(F.struct(F.concat(F.lit("auto_"), "task").alias("Name"), first.alias("Run"), higher.alias("Higher"))).alias("model"))
+
+
 def standardized(df: DataFrame, name: str, by: list[str]) -> Column:
     """A column in units of its deviation within groups."""
     w = Window.partitionBy(*by)

@@ -161,8 +161,36 @@ def _names(x) -> list[str]:
     return x if isinstance(x, list) else [x]
 
 
-def transform(df: DataFrame, instructions: list[dict], order: list[str]) -> DataFrame:
-    """The instructions in order; order gives rows their order where it counts. Unknown ones raise."""
+def densify(events: DataFrame, rate: int, keys: list[str]) -> DataFrame:
+    """sparse_to_dense() of the events whose onset, duration and amplitude are finite numbers."""
+    finite = F.lit(True)
+    for c in ("onset", "duration", "amplitude"):
+        finite = finite & (F.abs(F.col(c)) < float("inf"))
+    return sparse_to_dense(events.where(finite), rate, keys)
+
+
+def sampling_rate(rates: DataFrame, requested: str | float | None) -> float:
+    """The rate of a collection: a number as it is, `highest`, or `TR` (one over the only repetition time). rates: rate, tr."""
+    if isinstance(requested, (int, float)):
+        return float(requested)
+    row = rates.agg(F.max("rate").alias("highest"), F.min("tr").alias("low"), F.max("tr").alias("high")).first()
+    if requested == "highest":
+        return float(row.highest)
+    if requested not in (None, "TR") or row.low is None or row.low != row.high:
+        raise ValueError(f"no single rate for {requested}: repetition times from {row.low} to {row.high}")
+    return 1.0 / row.low
+
+
+def merged(frames: list[DataFrame]) -> DataFrame:
+    """Variables of the same names from several sources, one below the other."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def transform(df: DataFrame, instructions: list[dict], order: list[str], by: list[str] = ()) -> DataFrame:
+    """The instructions in order, within by where they look at other rows; order gives rows their order. Unknown ones raise."""
     quoted = lambda c: F.col(f"`{c}`")
     for raw in instructions:
         i = {k.lower(): v for k, v in raw.items()}
@@ -183,7 +211,7 @@ def transform(df: DataFrame, instructions: list[dict], order: list[str]) -> Data
         elif name == "replace":
             each = lambda c: F.coalesce(*[F.when(c.cast("string") == k, F.lit(v)) for k, v in i["replace"].items()], c.cast("string"))
         elif name == "scale":
-            df = scale(df, inputs, demean=i.get("demean", True), rescale=i.get("rescale", True))
+            df = scale(df, inputs, demean=i.get("demean", True), rescale=i.get("rescale", True), by=list(by))
         elif name == "threshold":
             each = lambda c: threshold(c, i.get("threshold", 0.0), above=i.get("above", True), binarize=i.get("binarize", False))
         elif name == "dropna":
@@ -200,7 +228,7 @@ def transform(df: DataFrame, instructions: list[dict], order: list[str]) -> Data
                 df = orthogonalize(df, c, _names(i["other"]))
         elif name == "lag":
             for c in inputs:
-                df = lag_zero(df, i.get("n", 1), i.get("by", []), order, c)
+                df = lag_zero(df, i.get("n", 1), i.get("by", list(by)), order, c)
         elif name in ("and", "or"):
             test = [F.coalesce(quoted(c) != 0, F.lit(False)) for c in inputs]
             df = df.withColumn(outputs[0], (F.forall if name == "and" else F.exists)(F.array(*test), lambda x: x).cast("int"))
@@ -215,6 +243,9 @@ def transform(df: DataFrame, instructions: list[dict], order: list[str]) -> Data
             df = df.withColumn(outputs[0], total)
         elif name == "power":
             each = lambda c: F.pow(c, F.lit(float(i["value"])))
+        elif name == "convolve":
+            kernel, place = [float(x) for x in i["kernel"]], Window.partitionBy(*(i.get("by", list(by)) or [F.lit(0)])).orderBy(*order)
+            df = df.withColumns({o: sum((F.coalesce(F.lag(quoted(c), k).over(place), F.lit(0.0)) * x for k, x in enumerate(kernel)), F.lit(0.0)) for c, o in zip(inputs, outputs, strict=True)})
         elif name == "group":
             df = df.withColumn(outputs[0], group_key(*inputs))
         else:

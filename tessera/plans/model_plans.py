@@ -13,7 +13,6 @@ from tessera.plans.views import EVENTS_SQL
 
 _E = f"WITH {EVENTS_SQL}"
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_L = "WITH l AS (SELECT * FROM lineitem WHERE l_linenumber <= 7)"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +77,8 @@ def factor(spark: SparkSession, d: str) -> DataFrame:
 def scale(spark: SparkSession, d: str) -> DataFrame:
     df = _lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
     out = variables.transform(df, [{"name": "scale", "input": ["l_quantity"]}, {"name": "scale", "input": ["l_tax"], "rescale": False}], ["l_orderkey", "l_linenumber"])
-    return _rounded(out, "l_quantity", "l_tax")
+    #: Differences from the mean of hundredths are ties at seven digits.
+    return out.select("l_orderkey", "l_linenumber", *[(F.round(c, 9) + 0.0).alias(c) for c in ("l_quantity", "l_tax")])
 
 
 def threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -190,13 +190,18 @@ def fnv_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_session(spark: SparkSession, d: str) -> DataFrame:
-    s = views.events(spark, d).select("subject", F.month("run").alias("session")).distinct()
+    s = views.events(spark, d).select("subject", F.weekofyear("run").alias("session")).distinct()
     return datasets.leave_one_out(s, "session", ["subject"])
 
 
 def cross_subject(spark: SparkSession, d: str) -> DataFrame:
-    s = views.events(spark, d).select((F.col("subject") % 12).alias("subject"), F.month("run").alias("session")).distinct()
-    return datasets.leave_one_out(s, "subject")
+    s = views.events(spark, d).select("subject", F.weekofyear("run").alias("session")).distinct()
+    return datasets.subject_folds(s, "subject")
+
+
+def subject_k_fold(spark: SparkSession, d: str) -> DataFrame:
+    s = views.events(spark, d).select("subject", F.weekofyear("run").alias("session")).distinct()
+    return datasets.subject_k_fold(s, "subject", 4, rank=datasets.md5_rank(F.col("subject"), 3))
 
 
 def within_session_folds(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +226,7 @@ def label_dist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
-    return views.read(spark, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("n"))
+    return datasets.summary(views.read(spark, d, "documents"), F.col("source"))
 
 
 def pipeline_means(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +236,7 @@ def pipeline_means(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     melt, pivot_events, variable_types, sparse_to_dense, bin_rate, lag_zero, run_offset, dense_index, boxcar, common_entities, factor, scale, threshold,
     replace_values, dropna_split, concat_filter, orthogonalize, logic_ops, product_sum_power, correlation, vif_approx, design_matrix, auto_model, spm_hrf,
-    glover_hrf, regressors, model_graph, ratio_split, kfold, stratified, fnv_split, cross_session, cross_subject, within_session_folds, window_samples,
+    glover_hrf, regressors, model_graph, ratio_split, kfold, stratified, fnv_split, cross_session, cross_subject, subject_k_fold, within_session_folds, window_samples,
     manifest, label_dist, dataset_summary, pipeline_means,
 )}
 
@@ -269,7 +274,7 @@ ORACLES = {
     "boxcar": f"{_E}, s AS (SELECT subject, run, floor(onset / 60) AS t, amplitude AS d FROM e UNION ALL SELECT subject, run, floor(onset / 60) + 3, -amplitude FROM e), g AS (SELECT subject, run, t, sum(d) AS d FROM s GROUP BY ALL) SELECT subject, run, t, {_r('sum(d) OVER (PARTITION BY subject, run ORDER BY t)')} AS level FROM g",
     "common_entities": f"WITH {catalog_plans.TAGS_SQL}, g AS (SELECT path, value AS g FROM t WHERE entity = 'session'), j AS (SELECT g, t.path, entity, value FROM t JOIN g ON t.path = g.path WHERE entity <> 'extension'), n AS (SELECT g, count(DISTINCT path) AS n FROM j GROUP BY g), c AS (SELECT g, entity, value, count(DISTINCT path) AS k FROM j GROUP BY g, entity, value) SELECT c.g, entity, value FROM c JOIN n ON c.g = n.g WHERE k = n",
     "factor": "SELECT l_orderkey, l_linenumber, (l_returnflag = 'A')::INT AS is_a, (l_returnflag = 'N')::INT AS is_n, (l_returnflag = 'R')::INT AS is_r FROM lineitem",
-    "scale": f"SELECT l_orderkey, l_linenumber, {_r('(l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER ()')} AS l_quantity, {_r('l_tax - avg(l_tax) OVER ()')} AS l_tax FROM lineitem",
+    "scale": "SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 9) + 0.0 AS l_quantity, round(l_tax - avg(l_tax) OVER (), 9) + 0.0 AS l_tax FROM lineitem",
     "threshold": f"SELECT l_orderkey, l_linenumber, (l_quantity >= 25)::INT::DOUBLE AS l_quantity, {_r('CASE WHEN l_discount <= 0.05 THEN l_discount ELSE 0 END')} AS l_discount FROM lineitem",
     "replace_values": "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE l_returnflag END AS flag FROM lineitem",
     "dropna_split": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN l_quantity END AS q_f, CASE WHEN l_linestatus = 'O' THEN l_quantity END AS q_o FROM lineitem WHERE l_tax > 0",
@@ -284,12 +289,13 @@ ORACLES = {
     "spm_hrf": _hrf_sql(hrf.SPM),
     "glover_hrf": _hrf_sql(hrf.GLOVER),
     "regressors": _regressor_sql(),
-    "model_graph": f"WITH m AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER ()) - l_tax AS net FROM lineitem) SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS intercept, {_r('net')} AS net, {_r('net')} AS dummy_net FROM m",
+    "model_graph": f"WITH m AS (SELECT l_orderkey, l_linenumber, (l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey)) - l_tax AS net FROM lineitem) SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS intercept, {_r('net')} AS net, {_r('net')} AS dummy_net FROM m",
     "ratio_split": _U + _SPLIT.format(by="1", seed=42, train=0.7, val=0.15),
     "kfold": _U + " SELECT subject, label, ((row_number() OVER (ORDER BY md5('7:' || subject), subject) - 1) % 5)::INT AS fold FROM u",
     "stratified": _U + _SPLIT.format(by="label", seed=1, train=0.6, val=0.2),
-    "cross_session": f"{_E}, s AS (SELECT DISTINCT subject, month(run)::INT AS session FROM e), n AS (SELECT subject FROM s GROUP BY 1 HAVING count(*) > 1) SELECT a.subject, a.session, b.session AS held_out, CASE WHEN a.session = b.session THEN 'test' ELSE 'train' END AS role FROM s a JOIN s b ON a.subject = b.subject JOIN n ON n.subject = a.subject",
-    "cross_subject": f"{_E}, s AS (SELECT DISTINCT subject % 12 AS subject, month(run)::INT AS session FROM e), h AS (SELECT DISTINCT subject AS held_out FROM s) SELECT subject, session, held_out, CASE WHEN subject = held_out THEN 'test' ELSE 'train' END AS role FROM s, h",
+    "cross_session": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), n AS (SELECT subject FROM s GROUP BY 1 HAVING count(*) > 1) SELECT a.subject, a.session, b.session AS held_out, CASE WHEN a.session = b.session THEN 'test' ELSE 'train' END AS role FROM s a JOIN s b ON a.subject = b.subject JOIN n ON n.subject = a.subject",
+    "cross_subject": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run) AS session FROM e) SELECT subject AS held_out, count(*) AS n_test, (SELECT count(*) FROM s) - count(*) AS n_train FROM s GROUP BY subject",
+    "subject_k_fold": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), k AS (SELECT subject, ((row_number() OVER (ORDER BY md5('3:' || subject), subject) - 1) % 4)::INT AS fold FROM (SELECT DISTINCT subject FROM s)) SELECT subject, session, fold FROM s JOIN k USING (subject)",
     "window_samples": "SELECT p_partkey, p_size::DOUBLE AS duration, k::INT AS sample, k * 2.5::DOUBLE AS start, k * 2.5::DOUBLE + 10 AS \"end\" FROM part, range(0, 100) x(k) WHERE p_size >= 10 AND k <= floor((p_size - 10) / 2.5)",
     "manifest": f"WITH {catalog_plans.WIDE_SQL} SELECT 'ds' || datatype AS dataset, subject, session, task, run, datatype, suffix, extension, path, 'ds' || datatype || '_' || subject AS global_subject FROM w WHERE subject NOT IN ('00001', '00002') AND task = 'F'",
     "label_dist": "SELECT coalesce(quality::VARCHAR, '_unlabeled_') AS label, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
