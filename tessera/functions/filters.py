@@ -41,33 +41,39 @@ def notch(hertz: float, rate: float, quality: float) -> tuple[np.ndarray, np.nda
 
 
 def lfilter(b, a, x) -> np.ndarray:
-    """The recursion from rest, transposed direct form II."""
+    """The recursion from rest along the last axis, transposed direct form II; all channels of a block take a step together."""
     n = max(len(a), len(b))
     b, a = np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
-    y, state = np.empty(len(x)), np.zeros(n)
-    for i, v in enumerate(np.asarray(x, float)):
+    x = np.asarray(x, float)
+    y, state = np.empty(x.shape[::-1]), np.zeros((n, *x.shape[:-1][::-1]))
+    for i, v in enumerate(x.T):
         out = y[i] = b[0] * v + state[0]
-        state[:-1] = b[1:] * v - a[1:] * out + state[1:]
-    return y
+        state[:-1] = np.multiply.outer(b[1:], v) - np.multiply.outer(a[1:], out) + state[1:]
+    return y.T
 
 
 def filtfilt(b, a, x) -> np.ndarray:
-    """Forward and backward from rest, on the signal continued at both ends by its point reflection."""
+    """Forward and backward from rest, on the signals continued at both ends by their point reflection."""
     x = np.asarray(x, float)
-    if not len(x):
+    n = x.shape[-1]
+    if not n:
         return x
-    pad = min(3 * max(len(a), len(b)), len(x) - 1)
-    longer = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    return lfilter(b, a, lfilter(b, a, longer)[::-1])[::-1][pad : pad + len(x)]
+    pad = min(3 * max(len(a), len(b)), n - 1)
+    longer = np.concatenate([2 * x[..., :1] - x[..., 1 : pad + 1][..., ::-1], x, 2 * x[..., -1:] - x[..., n - 1 - pad : n - 1][..., ::-1]], axis=-1)
+    return lfilter(b, a, lfilter(b, a, longer)[..., ::-1])[..., ::-1][..., pad : pad + n]
 
 
 def resample(x, old_rate: float, new_rate: float) -> np.ndarray:
     """round(length * ratio) samples by linear interpolation; low-passed with order 8 before the rate falls."""
     x = np.asarray(x, float)
-    if not len(x) or old_rate <= 0 or new_rate <= 0 or abs(old_rate - new_rate) < 1e-10:
+    n = x.shape[-1]
+    if not n or old_rate <= 0 or new_rate <= 0 or abs(old_rate - new_rate) < 1e-10:
         return x
     ratio = new_rate / old_rate
     if ratio < 1:
         x = filtfilt(*butter_lowpass(8, min(0.99, ratio)), x)
-    at = np.arange(int(len(x) * ratio + 0.5)) / ratio
-    return np.interp(at[at < len(x)], np.arange(len(x)), x)
+    at = np.arange(int(n * ratio + 0.5)) / ratio
+    at = at[at < n]
+    low = np.minimum(at.astype(int), n - 1)
+    high, part = np.minimum(low + 1, n - 1), at - low
+    return x[..., low] * (1 - part) + x[..., high] * part

@@ -1,8 +1,8 @@
 """Operators on sampled signals in long form: rec, ch, idx, value.
 
 Statistics are aggregations, normalisations and references are windows, epochs are range joins on sample
-numbers. Only recursive filters and the spectrum, which carry state along a channel, run in Arrow groups, a
-channel of a recording each.
+numbers. Only recursive filters and the spectrum, which carry state along a channel, run in Arrow groups, on
+whole channels of a recording, many at once.
 """
 
 from __future__ import annotations
@@ -151,17 +151,43 @@ def convolve(a: Column, b: Column) -> Column:
 
 
 def _per_channel(s: DataFrame, f: Callable, keys: list[str]) -> DataFrame:
-    """f of the array of each channel's values; idx follows from its length."""
+    """f of the samples of channels (a row each, of one length); idx follows from the lengths.
+
+    Channels are whole in a task, in order; those of a batch that are equally long are worked on together.
+    """
     names = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(key, group):
+    def run(batches):
         import numpy as np
         import pandas as pd
 
-        out = f(group.sort_values("idx")["value"].to_numpy())
-        return pd.DataFrame({**dict(zip(keys, ([k] * len(out) for k in key), strict=True)), "idx": np.arange(len(out), dtype="i4"), "value": out})
-
-    return s.select(*keys, "idx", "value").groupBy(*keys).applyInPandas(run, f"{names}, idx int, value double")
+        def done(rows):
+            if not len(rows):
+                return
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[keys].iloc[1:].to_numpy() != rows[keys].iloc[:-1].to_numpy()).any(axis=1)
+            starts = np.flatnonzero(new)
+            sizes, value = np.diff(np.append(starts, len(rows))), rows["value"].to_numpy()
+            for n in np.unique(sizes):
+                at = starts[sizes == n]
+                out = f(value[at[:, None] + np.arange(n)])
+                named = {k: np.repeat(rows[k].to_numpy()[at], out.shape[1]) for k in keys}
+                yield pd.DataFrame({**named, "idx": np.tile(np.arange(out.shape[1], dtype="i4"), len(at)), "value": out.ravel()})
+
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            same = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+            yield from done(rows.iloc[:cut])
+            held = rows.iloc[cut:].reset_index(drop=True)
+        if held is not None:
+            yield from done(held)
+
+    dealt = s.select(*keys, "idx", "value").repartition(*keys).sortWithinPartitions(*keys, "idx")
+    return dealt.mapInPandas(run, f"{names}, idx int, value double")
 
 
 def iir(s: DataFrame, b: list[float], a: list[float], keys: list[str] = KEYS, *, zero_phase: bool = True) -> DataFrame:

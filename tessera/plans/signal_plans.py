@@ -144,18 +144,10 @@ def csp_features(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signal.csp_transform(s, names, weights), "feature")
 
 
-def label_encode(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = views.events(spark, d)
-    labels = e.select("trial_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("trial_type")) - 1)
-    return e.join(F.broadcast(labels), "trial_type").select("event_id", "trial_type", "code")
-
-
 QUERIES = {f.__name__: f for f in (
     channel_stats, zscore, zscore_pop, minmax, time_window, tumbling_epochs, sliding_epochs, avg_ref, chan_ref, baseline, covariance, evoked, unit_conversion,
     resample_linear, convolution, welch_psd, epoch_extract, annotation_reject, harmonize_intersect, harmonize_union, iir_filter, notch_filter, resample_signal,
-    csp_features, label_encode,
+    csp_features,
 )}
 
 _SETS = f"{_S}, r AS (SELECT *, rec // 8 AS set FROM s)"
@@ -197,5 +189,4 @@ ORACLES = {
     "harmonize_intersect": f"WITH {EVENTS_SQL} SELECT trial_type AS channel FROM e WHERE trial_type <> 'view' GROUP BY 1 HAVING count(DISTINCT subject % 5) = (SELECT count(DISTINCT subject % 5) FROM e)",
     "harmonize_union": f"""WITH {EVENTS_SQL}, k AS (SELECT * FROM e WHERE subject % 3 <> 0 OR trial_type <> 'view'), v AS (SELECT subject, trial_type AS channel, sum(amplitude) AS value FROM k GROUP BY ALL)
       SELECT g.subject, 0 AS idx, g.channel, {_r('coalesce(v.value, 0)')} AS value FROM (SELECT * FROM (SELECT DISTINCT subject FROM k), (SELECT DISTINCT trial_type AS channel FROM k)) g LEFT JOIN v USING (subject, channel)""",
-    "label_encode": f"WITH {EVENTS_SQL} SELECT event_id, trial_type, (dense_rank() OVER (ORDER BY trial_type) - 1)::INT AS code FROM e",
 }
