@@ -86,3 +86,20 @@ PREFIXES = {
 
 # Vocabularies.
 DATATYPES = ["anat", "beh", "dwi", "eeg", "fmap", "func", "ieeg", "meg", "micr", "motion", "mrs", "nirs", "perf", "pet"]
+SUFFIXES = [
+    "T1w", "T2w", "T2star", "FLAIR", "PD", "PDT2", "inplaneT1", "inplaneT2", "angio", "defacemask", "bold", "cbv", "sbref", "phase", "dwi", "phasediff",
+    "magnitude1", "magnitude2", "phase1", "phase2", "fieldmap", "epi", "events", "physio", "stim", "channels", "electrodes", "coordsystem", "eeg", "ieeg",
+    "meg", "headshape", "photo", "pet", "blood", "asl", "m0scan", "aslcontext", "asllabeling", "motion", "nirs", "optodes", "svs", "mrsi", "unloc", "mrsref",
+    "TEM", "SEM", "uCT", "BF", "DF", "PC", "DIC", "FLUO", "CONF", "participants", "scans", "sessions", "regressors", "timeseries",
+]
+EXTENSIONS = [
+    ".nii", ".nii.gz", ".json", ".tsv", ".tsv.gz", ".bval", ".bvec", ".edf", ".bdf", ".set", ".fdt", ".vhdr", ".vmrk", ".eeg", ".fif", ".dat", ".pos", ".sqd",
+    ".con", ".ds", ".snirf", ".mefd", ".nwb", ".png", ".tif", ".ome.tif", ".ome.btf", ".jpg",
+]
+
+# Suffixes and datatypes of the recordings of a modality.
+MODALITIES = {
+    "eeg": (["eeg"], ["eeg"]), "ieeg": (["ieeg"], ["ieeg"]), "meg": (["meg"], ["meg"]), "nirs": (["nirs"], ["nirs"]), "pet": (["pet"], ["pet"]), "asl": (["asl"], ["perf"]),
+    "m0scan": (["m0scan"], ["perf"]), "motion": (["motion"], ["motion"]), "mrs": (["svs", "mrsi", "unloc", "mrsref"], ["mrs"]),
+    "micr": (["TEM", "SEM", "uCT", "BF", "DF", "PC", "DIC", "FLUO", "CONF"], ["micr"]), "beh": (["beh", "events"], ["beh"]),
+}

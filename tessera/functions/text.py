@@ -44,7 +44,7 @@ IRREGULAR = [
 # Words whose singular and plural are the same.
 SAME = ["equipment", "information", "rice", "money", "species", "series", "fish", "sheep", "deer", "aircraft", "news"]
 #: Endings of plurals and their singulars, the first that fits counts; and the other way.
-TO_SINGULAR = [("(ss|us|is)$", "$1"), ("(x|ch|sh|ss|zz)es$", "$1"), ("([^aeiou])ies$", "$1y"), ("ves$", "f"), ("(o)es$", "$1"), ("s$", "")]
+TO_SINGULAR = [("(ss|us|is)$", "$1"), ("(x|ch|sh|ss|zz|us)es$", "$1"), ("([^aeiou])ies$", "$1y"), ("ves$", "f"), ("(o)es$", "$1"), ("s$", "")]
 TO_PLURAL = [("(x|ch|sh|ss|zz|s)$", "$1es"), ("([^aeiou])y$", "$1ies"), ("(?:fe|f)$", "ves"), ("([^aeiou]o)$", "$1es"), ("$", "s")]
 
 

@@ -66,7 +66,7 @@ ORACLES = {
     "letter_case": "SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda x: upper(x[1:1]) || x[2:]), '') AS camel FROM part",
     "grammatical_number": """WITH w AS (SELECT n_nationkey, ['box', 'city', 'leaf', 'child', 'series', 'key', 'bus', 'axis', 'run'][1 + n_nationkey % 9] AS word FROM nation)
       SELECT n_nationkey, word, CASE word WHEN 'box' THEN 'boxes' WHEN 'city' THEN 'cities' WHEN 'leaf' THEN 'leaves' WHEN 'child' THEN 'children' WHEN 'series' THEN 'series' WHEN 'key' THEN 'keys'
-        WHEN 'bus' THEN 'buses' WHEN 'axis' THEN 'axes' WHEN 'run' THEN 'runs' END AS plural, CASE word WHEN 'bus' THEN 'buse' ELSE word END AS back FROM w""",
+        WHEN 'bus' THEN 'buses' WHEN 'axis' THEN 'axes' WHEN 'run' THEN 'runs' END AS plural, word AS back FROM w""",
     "version_compat": """WITH v AS (SELECT n_nationkey, printf('%d.%d.%d', n_regionkey, n_nationkey % 12, n_nationkey % 2) AS version, n_regionkey AS a, n_nationkey % 12 AS b, n_nationkey % 2 AS c FROM nation)
       SELECT n_nationkey, version, CASE WHEN a <> 1 THEN 'incompatible' WHEN b = 10 AND c = 0 THEN 'exact' WHEN b < 10 THEN 'compatible' ELSE 'newer' END AS compatibility FROM v""",
     "methods_report_rows": f"""WITH {catalog_plans.WIDE_SQL}, g AS (SELECT datatype, suffix, count(DISTINCT subject) AS n, count(*) AS k, list_sort(list(DISTINCT task)) AS t FROM w GROUP BY ALL)
