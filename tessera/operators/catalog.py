@@ -227,7 +227,7 @@ def unknown_entities(query: CatalogQuery) -> list[tuple[str, list[str]]]:
     wrong = sorted({c.entity for c in query.conditions} - set(known))
     if not wrong:
         return []
-    spark = query.tags.sparkSession
+    spark = query.files.sparkSession
     pairs = close_matches(spark.createDataFrame([(w,) for w in wrong], "word string"), spark.createDataFrame([(k,) for k in known], "candidate string"), 3)
     near = {r.word: list(r.names) for r in pairs.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x.candidate).alias("names")).collect()}
     return [(w, near.get(w, [])) for w in wrong]
