@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,18 @@ from tessera.sources import files as listings
 
 
 def scan(spark: SparkSession, root: str, *, ignore: list[str] = (r"/\.", "/code/", "/sourcedata/", "/stimuli/"), force: list[str] = ()) -> DataFrame:
-    """path, length, modified of a dataset's files; ignored ones go unless forced; a .zarr directory is one file."""
+    """path, length, modified of a dataset's files; ignored ones go unless forced; a .zarr directory is one file.
+
+    The root's own derivatives/ is left to a scan of its own; a root without dataset_description.json is an error.
+    """
     found = listings.listing(spark, root)
+    top = re.escape(re.sub(r"^file:/+", "/", root).rstrip("/"))
+    if found.where(F.col("path").rlike(f"^{top}/dataset_description\\.json$")).isEmpty():
+        raise ValueError(f"{root} isn't a dataset: it has no dataset_description.json")
     keep = ~paths.matches_any(F.col("path"), list(ignore))
     if force:
         keep = keep | paths.matches_any(F.col("path"), list(force))
-    found = found.where(keep & ~F.col("path").rlike(r"/derivatives/"))
+    found = found.where(keep & ~F.col("path").rlike(f"^{top}/derivatives/"))
     plain = found.where(~F.col("path").rlike(r"\.zarr/"))
     stores = found.withColumn("path", F.regexp_extract("path", r"^(.*?\.zarr)/", 1)).where("path != ''").groupBy("path").agg(F.sum("length").alias("length"), F.max("modified").alias("modified"))
     return plain.unionByName(stores)

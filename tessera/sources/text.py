@@ -138,3 +138,77 @@ def head_shape(lines: DataFrame) -> DataFrame:
     low = F.lower("label")
     kind = F.when(low.rlike("nas|lpa|rpa|fid"), "fiducial").when(low.rlike("hpi|coil"), "hpi").when(low.rlike("eeg"), "eeg").otherwise("extra")
     return rows.select(label.alias("label"), *xyz).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").withColumn("kind", kind)
+
+
+def read_long(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, row, name, value of the cells of tab-separated tables, each with a header of its own; empty cells go.
+
+    For the small tables of a dataset, whose columns differ from file to file; a file is read whole.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    head = whole.select("path", F.split(F.get("lines", F.lit(0)), "\t").alias("names"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line")).where("line != ''")
+    cells = head.select("path", "row", F.posexplode(F.split("line", "\t")).alias("k", "value"), "names")
+    return cells.select("path", "row", F.trim(F.get("names", F.col("k"))).alias("name"), F.trim("value").alias("value")).where("name IS NOT NULL AND value NOT IN ('', 'n/a')")
+
+
+# Tables of variables, by the end of their names: kind and level.
+VARIABLES = {
+    "participants.tsv": ("participants", "dataset"), "_sessions.tsv": ("sessions", "subject"), "_scans.tsv": ("scans", "session"), "_events.tsv": ("events", "run"),
+    "_regressors.tsv": ("regressors", "run"), "_timeseries.tsv": ("regressors", "run"),
+}
+
+
+def load_variables(spark: SparkSession, root: str, *, kinds: list[str] | None = None, level: str | None = None) -> DataFrame:
+    """kind, level, path, row, name, value of a dataset's tables of variables, of some kinds or of a level only.
+
+    pivot() and sparse_to_dense() of tessera.operators.variables go on from here; recordings without a header
+    (physio, stim) are read by read_headerless_tsv() with their sidecar's columns.
+    """
+    chosen = {e: kl for e, kl in VARIABLES.items() if (kinds is None or kl[0] in kinds) and level in (None, kl[1])}
+    if not chosen:
+        return spark.createDataFrame([], "kind string, level string, path string, row int, name string, value string")
+    names = "{" + ",".join(f"*{e}" for e in chosen) + "}"
+    cells = read_long_under(spark, root, names)
+    kind, at = F, F
+    for e, (k, lv) in chosen.items():
+        fits = F.col("path").endswith(e)
+        kind, at = kind.when(fits, k), at.when(fits, lv)
+    return cells.select(kind.alias("kind"), at.alias("level"), "path", "row", "name", "value")
+
+
+def read_long_under(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """read_long() of the files under root whose names fit a glob."""
+    from tessera.sources.files import listing
+
+    found = [r.path for r in listing(spark, root, pattern).select("path").collect()]
+    return read_long(spark, found) if found else spark.createDataFrame([], "path string, row int, name string, value string")
+
+
+def read_asl_context(spark: SparkSession, path: str) -> DataFrame:
+    """path, volume and its type (label, control, m0scan ...)."""
+    return read_long(spark, path).where("name = 'volume_type'").select("path", F.col("row").alias("volume"), F.col("value").alias("volume_type"))
+
+
+# Fields of coordinate-system files.
+COORDSYSTEM = {
+    "EEG": "EEGCoordinateSystem string, EEGCoordinateUnits string, EEGCoordinateSystemDescription string, FiducialsDescription string, FiducialsCoordinates map<string, array<double>>, "
+    "FiducialsCoordinateSystem string, FiducialsCoordinateUnits string, AnatomicalLandmarkCoordinates map<string, array<double>>, IntendedFor string",
+    "iEEG": "iEEGCoordinateSystem string, iEEGCoordinateUnits string, iEEGCoordinateSystemDescription string, iEEGCoordinateProcessingDescription string, iEEGCoordinateProcessingReference string, IntendedFor string",
+}
+
+
+def read_coordsystem(spark: SparkSession, path: str, kind: str = "EEG") -> DataFrame:
+    """path and the typed fields of coordinate-system files of EEG or iEEG."""
+    df = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.from_json("value", COORDSYSTEM[kind]).alias("d"))
+    return df.select("path", "d.*")
+
+
+def read_genetic_info(spark: SparkSession, path: str) -> DataFrame:
+    """dataset (a link), databases and the descriptors of a dataset's genetic_info.json."""
+    d = F.from_json("value", "Dataset string, Database string, Descriptors string, GeneticLevel string, AnalyticalApproach string, SampleOrigin string, TissueOrigin string")
+    return spark.read.text(path, wholetext=True).select(d.alias("d")).select("d.*")
+
+
+def write_manifest(df: DataFrame, path: str, *, mode: str = "error") -> None:
+    """A manifest as CSV with a header; values with commas or quotes are quoted. A filtered manifest is written as it streams."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import filters, metadata, schema
+from tessera.functions import filters, metadata, phrases, schema
 from tessera.operators import catalog, datasets, models, recordings, signal, steps, variables
 
 
@@ -147,3 +147,16 @@ def test_rates_and_models(spark):
     files = spark.createDataFrame([("t", "1", "1", "1"), ("t", "1", "2", "1")], "task string, run string, session string, subject string")
     model = models.auto_models(events, files).first().model
     assert '"X":["trial_type.a","trial_type.b"]' in model and "Session" in model and "Dataset" not in model
+
+
+def test_phrases(spark):
+    full = '{"RepetitionTime": 2, "EchoTime": [0.012, 0.0305], "FlipAngle": 90, "SliceTiming": [0.3, 0.2, 0.1], "MultibandAccelerationFactor": 4, "ParallelReductionFactorInPlane": 2.5, "AcquisitionMatrixPE": [64, 64], "bValues": [0, 1000], "PhaseEncodingDirection": "j-", "IntendedFor": ["a", "b"]}'
+    d = spark.createDataFrame([(full,), ("{}",), ('{"EchoTime": 0.03, "SliceTiming": [0, 0.5, 0.1], "PhaseEncodingDirection": "odd", "IntendedFor": "x"}',)], "d string")
+    c = F.col("d")
+    names = [phrases.repetition_time, phrases.echo_times, phrases.flip_angle, phrases.slice_timing, phrases.multiband, phrases.in_plane, phrases.matrix, phrases.b_values, phrases.encoding_direction, phrases.intended_targets]
+    got = [tuple(r) for r in d.select(*[f(c).alias(f.__name__) for f in names]).collect()]
+    assert got[0] == ("2.00 s", "12.0/30.5 ms", "90°", "sequential descending", "4", "2.5", "64×64", "0, 1000", "anterior-posterior", "a, b")
+    assert got[1] == ("unknown", "unknown", "unknown", "unknown", "n/a", "none", "unknown", "unknown", "unknown", "none")
+    assert got[2][1] == "30.0 ms" and got[2][3] == "interleaved" and got[2][8:] == ("odd", "x")
+    t = spark.createDataFrame([(150, 2.0), (10, 3.0), (None, 2.0), (151, 2.01)], "n int, tr double")
+    assert [r[0] for r in t.select(phrases.duration(F.col("n"), F.col("tr"))).collect()] == ["5:00.00", "30.0 s", "unknown", "5:03.51"]

@@ -109,14 +109,38 @@ def test_gradients_markers_and_shapes(spark):
 
 def test_scan_save_load(spark, tmp_path):
     root = tmp_path / "ds"
-    for p in ("sub-01/eeg/sub-01_task-rest_eeg.edf", "sub-02/eeg/sub-02_task-rest_eeg.edf", "sub-01/eeg/x.zarr/0/0", "code/run.py", "sub-01/eeg/.hidden"):
+    root.mkdir()
+    with pytest.raises(ValueError, match="isn't a dataset"):
+        (root / "README").write_text("x")
+        store.scan(spark, str(root))
+    (root / "README").unlink()
+    (root / "dataset_description.json").write_text("{}")
+    for p in ("derivatives/prep/sub-01/eeg/sub-01_eeg.edf", "sub-01/eeg/sub-01_task-rest_eeg.edf", "sub-02/eeg/sub-02_task-rest_eeg.edf", "sub-01/eeg/x.zarr/0/0", "code/run.py", "sub-01/eeg/.hidden"):
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_bytes(b"x" * 10)
     found = store.scan(spark, str(root))
-    assert sorted(r.path.removeprefix(str(root)) for r in found.collect()) == ["/sub-01/eeg/sub-01_task-rest_eeg.edf", "/sub-01/eeg/x.zarr", "/sub-02/eeg/sub-02_task-rest_eeg.edf"]
+    assert sorted(r.path.removeprefix(str(root)) for r in found.collect()) == ["/dataset_description.json", "/sub-01/eeg/sub-01_task-rest_eeg.edf", "/sub-01/eeg/x.zarr", "/sub-02/eeg/sub-02_task-rest_eeg.edf"]
     store.save(found, str(tmp_path / "index"))
     q = store.load(spark, str(tmp_path / "index"))
     assert [r.path[-24:] for r in q.subject("02").suffix("eeg").extension("edf").paths().collect()] == ["/sub-02_task-rest_eeg.edf"[-24:]]
     assert not store.is_stale(spark.read.parquet(str(tmp_path / "index/files")), store.scan(spark, str(root)))
     (root / "new.json").write_text("{}")
     assert store.is_stale(spark.read.parquet(str(tmp_path / "index/files")), store.scan(spark, str(root)))
+
+
+def test_variables_of_tables_with_different_headers(spark, tmp_path):
+    files = {"participants.tsv": "participant_id\tage\tsex\nsub-01\t30\tn/a\nsub-02\t\tF\n", "sub-01/sub-01_sessions.tsv": "session_id\tmood\r\nses-1\tgood\r\n", "sub-01/ses-1/eeg/sub-01_ses-1_events.tsv": "onset\tduration\ttrial_type\n1.5\t0\tgo\n", "sub-01/ses-1/eeg/sub-01_ses-1_channels.tsv": "name\nCz\n"}
+    for p, t in files.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    got = sorted((r.kind, r.level, r.row, r.name, r.value) for r in text.load_variables(spark, str(tmp_path)).collect())
+    assert got == sorted([("participants", "dataset", 0, "participant_id", "sub-01"), ("participants", "dataset", 0, "age", "30"), ("participants", "dataset", 1, "participant_id", "sub-02"), ("participants", "dataset", 1, "sex", "F"), ("sessions", "subject", 0, "session_id", "ses-1"), ("sessions", "subject", 0, "mood", "good"), ("events", "run", 0, "onset", "1.5"), ("events", "run", 0, "duration", "0"), ("events", "run", 0, "trial_type", "go")])
+    assert {r.kind for r in text.load_variables(spark, str(tmp_path), level="run").collect()} == {"events"}
+    assert text.load_variables(spark, str(tmp_path), kinds=["regressors"]).isEmpty()
+    (tmp_path / "sub-01_aslcontext.tsv").write_text("volume_type\ncontrol\nlabel\n")
+    assert [(r.volume, r.volume_type) for r in text.read_asl_context(spark, str(tmp_path / "sub-01_aslcontext.tsv")).orderBy("volume").collect()] == [(0, "control"), (1, "label")]
+    (tmp_path / "c.json").write_text('{"EEGCoordinateSystem": "CapTrak", "FiducialsCoordinates": {"NAS": [1, 2.5, 3]}}')
+    c = text.read_coordsystem(spark, str(tmp_path / "c.json")).first()
+    assert c.EEGCoordinateSystem == "CapTrak" and c.FiducialsCoordinates == {"NAS": [1.0, 2.5, 3.0]} and c.IntendedFor is None
+    text.write_manifest(spark.createDataFrame([("a,b", 'q"x')], "path string, note string"), str(tmp_path / "m"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "m")).first() == ("a,b", 'q"x')
