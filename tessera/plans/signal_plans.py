@@ -94,11 +94,10 @@ def welch_psd(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _marks(spark: SparkSession, d: str) -> DataFrame:
-    """Events placed on the samples of a recording of the same number."""
-    e = views.events(spark, d)
-    n = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("rec"))
-    e = e.select("event_id", (F.col("event_id") % 997).alias("rec"), F.col("trial_type").alias("label"), F.floor(F.col("onset") % 64).cast("int").alias("at"))
-    return e.join(n, "rec")
+    """Events placed on the samples of the recordings, which are numbered from 0, in turn."""
+    n = views.read(spark, d, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    e = views.events(spark, d).crossJoin(F.broadcast(n))
+    return e.select("event_id", (F.col("event_id") % F.col("n")).alias("rec"), F.col("trial_type").alias("label"), F.floor(F.col("onset") % 64).cast("int").alias("at"))
 
 
 def epoch_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -117,10 +116,9 @@ def harmonize_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def harmonize_union(spark: SparkSession, d: str) -> DataFrame:
-    e = views.events(spark, d)
-    s = e.where("subject % 3 != 0 OR trial_type != 'view'").groupBy("subject", F.col("trial_type").alias("channel"), F.lit(0).alias("idx")).agg(F.sum("amplitude").alias("value"))
+    s = views.events(spark, d).groupBy("subject", "run", F.col("trial_type").alias("channel"), F.lit(0).alias("idx")).agg(F.sum("amplitude").alias("value"))
     plan = signal.harmonised_channels(s.select(F.col("subject").alias("input"), "channel"), union=True)
-    return _rounded(signal.harmonise(s, plan, ["subject"]), "value")
+    return _rounded(signal.harmonise(s, plan, ["subject", "run"]), "value")
 
 
 def iir_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +150,7 @@ QUERIES = {f.__name__: f for f in (
 
 _SETS = f"{_S}, r AS (SELECT *, rec // 8 AS set FROM s)"
 _MARKS = f"""{SIGNAL_SQL}, {EVENTS_SQL.lstrip()},
-m AS (SELECT event_id, event_id % 997 AS rec, trial_type AS label, floor(onset % 64)::INT AS pos FROM e WHERE event_id % 997 IN (SELECT vec_id FROM embeddings))"""
+m AS (SELECT event_id, event_id % (SELECT max(vec_id) + 1 FROM embeddings) AS rec, trial_type AS label, floor(onset % 64)::INT AS pos FROM e)"""
 _POWER = " + ".join(
     f"pow({'+'.join(f'w[{j + 1}] * v[{j + 1}] * cos(2 * pi() * b * {j} / 16)' for j in range(16))}, 2) + pow({'+'.join(f'w[{j + 1}] * v[{j + 1}] * sin(2 * pi() * b * {j} / 16)' for j in range(16))}, 2)"
     for _ in range(1)
@@ -187,6 +185,6 @@ ORACLES = {
     "annotation_reject": f"""WITH {_MARKS}, k AS (SELECT rec, idx, CASE WHEN EXISTS (FROM m WHERE m.rec = s.rec AND label = 'error' AND s.idx >= pos AND s.idx < pos + 6) THEN NULL ELSE value END AS value FROM s)
       SELECT rec, count(value) AS kept, {_r('avg(value)')} AS mean FROM k GROUP BY rec""",
     "harmonize_intersect": f"WITH {EVENTS_SQL} SELECT trial_type AS channel FROM e WHERE trial_type <> 'view' GROUP BY 1 HAVING count(DISTINCT subject % 5) = (SELECT count(DISTINCT subject % 5) FROM e)",
-    "harmonize_union": f"""WITH {EVENTS_SQL}, k AS (SELECT * FROM e WHERE subject % 3 <> 0 OR trial_type <> 'view'), v AS (SELECT subject, trial_type AS channel, sum(amplitude) AS value FROM k GROUP BY ALL)
-      SELECT g.subject, 0 AS idx, g.channel, {_r('coalesce(v.value, 0)')} AS value FROM (SELECT * FROM (SELECT DISTINCT subject FROM k), (SELECT DISTINCT trial_type AS channel FROM k)) g LEFT JOIN v USING (subject, channel)""",
+    "harmonize_union": f"""WITH {EVENTS_SQL}, v AS (SELECT subject, run, trial_type AS channel, sum(amplitude) AS value FROM e GROUP BY ALL)
+      SELECT g.subject, g.run, 0 AS idx, g.channel, {_r('coalesce(v.value, 0)')} AS value FROM (SELECT * FROM (SELECT DISTINCT subject, run FROM e), (SELECT DISTINCT trial_type AS channel FROM e)) g LEFT JOIN v USING (subject, run, channel)""",
 }
