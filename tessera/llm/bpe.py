@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Words, pairs of tokens and steps that a worker remembers before it starts anew.
+REMEMBERED, PAIRS, STEPS = 100_000, 400_000, 400_000
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: The byte-level pre-tokenizer's pattern (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,6 +46,7 @@ class Bpe:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._refuse_other(spec)
         chars = _byte_of_char()
         raw = lambda piece: bytes(chars[c] for c in piece)
         vocab = spec["model"]["vocab"]
@@ -61,15 +62,31 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.prefixes = {b[:n] for b in self.id_of for n in range(len(b) + 1)}
+        self.words = regex.compile(PATTERN)
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    @staticmethod
+    def _refuse_other(spec: dict) -> None:
+        """Raises for a tokenizer file with parts that would be left out here."""
+        pre = spec.get("pre_tokenizer") or {}
+        flags = [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+        plain = not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        if spec["model"].get("type", "BPE") != "BPE" or not plain or spec.get("normalizer") or flags:
+            raise ValueError(f"not a plain byte-level BPE: normalizer {spec.get('normalizer')}, added tokens that strip {flags}, or options of the model")
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex", True) is not True:
+            raise ValueError(f"not the byte-level pre-tokenizer: {pre}")
+
+    def _forget(self) -> None:
+        """Empties what was worked out on the way: states, steps and pairs."""
         #: A state is the longest end of what was read that starts a token; for each, the tokens that it ends with.
         self.states: dict[bytes, int] = {b"": 0}
         self.state_bytes: list[bytes] = [b""]
         self.ends: list[list[tuple[int, int]]] = [[]]
         self.steps: list[dict[int, int]] = [{}]
-        self.words = regex.compile(PATTERN)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.follows: dict[int, dict[int, bool]] = {}
-        self.known: dict[str, bytes] = {}
+        self.n_pairs = self.n_steps = 0
 
     def may_follow(self, first: int, second: int) -> bool:
         """No merge joins the end of first with the start of second, going back in time along the seam."""
@@ -87,6 +104,7 @@ class Bpe:
             else:
                 b_gone, b = made_b[0], made_b[1]
         self.follows.setdefault(first, {})[second] = found
+        self.n_pairs += 1
         return found
 
     def is_whole(self, token: int) -> bool:
@@ -112,6 +130,7 @@ class Bpe:
             self.state_bytes.append(read)
             self.steps.append({})
         self.steps[state][byte] = to
+        self.n_steps += 1
         return to
 
     def traverse(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
@@ -152,6 +171,8 @@ class Bpe:
         """Remembers the encodings of words, as little-endian unsigned 32-bit ids."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+        if self.n_pairs > PAIRS or self.n_steps > STEPS:
+            self._forget()
         new = {w.encode("utf-8", "surrogatepass"): w for w in words if w not in self.known}
         for word, ids in self.traverse(sorted(new)):
             self.known[new[word]] = pack(f"<{len(ids)}I", *ids)
@@ -181,22 +202,9 @@ def tables(path: str) -> Bpe:
     return _loaded[path]
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive texts of about BLOCK_CHARS characters together."""
-    block, n = [], 0
-    for t in texts:
-        block.append(t or "")
-        n += len(block[-1])
-        if n >= BLOCK_CHARS:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def _mapped(df: DataFrame, source: str, outputs: list[tuple[str, T.DataType]], f) -> DataFrame:
-    """df with the output columns that f makes of the values of source, a block at a time."""
-    names = [c for c in df.columns if c not in {n for n, _ in outputs}]
+def _mapped(df: DataFrame, source: str, outputs: list[tuple[str, T.DataType]], f, keep: list[str] | None = None) -> DataFrame:
+    """df (its columns of keep, None: all) with the output columns that f makes of the values of source, a block at a time."""
+    names = [c for c in (df.columns if keep is None else keep) if c not in {n for n, _ in outputs}]
     kept = T.StructType([df.schema[c] for c in names])
     schema = T.StructType([*kept.fields, *(T.StructField(n, t) for n, t in outputs)])
     at, labels, others = df.columns.index(source), [n for n, _ in outputs], [df.columns.index(c) for c in names]
@@ -232,15 +240,15 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col
     return _mapped(encoded, ids_col, [(text_col, T.StringType())], lambda ids: [[tables(tokenizer).decode(i or b"") for i in ids]])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """docs with ids and decoded, in one pass over the texts: the ids are decoded where they were made."""
+def round_trip(docs: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns of keep, None: all) with ids and decoded, in one pass: the ids are decoded where they were made."""
 
     def both(texts):
         bpe = tables(tokenizer)
         ids = bpe.encode([t or "" for t in texts])
         return [ids, [bpe.decode(i) for i in ids]]
 
-    return _mapped(docs, text_col, [("ids", T.BinaryType()), ("decoded", T.StringType())], both)
+    return _mapped(docs, text_col, [("ids", T.BinaryType()), ("decoded", T.StringType())], both, keep)
 
 
 def n_tokens(ids: Column) -> Column:
@@ -249,5 +257,5 @@ def n_tokens(ids: Column) -> Column:
 
 
 def lengths(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """docs and n_tokens; the ids stay where they were made."""
-    return _mapped(docs, text_col, [("n_tokens", T.LongType())], lambda texts: [[len(i) // 4 for i in tables(tokenizer).encode([t or "" for t in texts])]])
+    """n_tokens of every row; the ids stay where they were made."""
+    return _mapped(docs, text_col, [("n_tokens", T.LongType())], lambda texts: [[len(i) // 4 for i in tables(tokenizer).encode([t or "" for t in texts])]], [])

@@ -42,7 +42,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; digests of both."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.round_trip(docs, tokenizer_path())
+    both = bpe.round_trip(docs, tokenizer_path(), keep=["doc_id"])
     return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
