@@ -15,11 +15,13 @@ SPACE = r" \t\n\x0B\f\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; a local one where that is unset and all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")

@@ -10,9 +10,16 @@ of each partition and probes the values within t_i; those that meet are verified
 only a spanning forest of each bucket's links goes on. Buckets of more than HOT rows are split into blocks,
 each pair of which is a bucket of its own. Components are those of the links.
 
-Defined results: null, empty and blank texts have the fingerprint zero and are linked like any other. Null
-ids keep their rows; a component without ids has a null component_id. Repeated rows keep a row each. An
-empty table gives an empty result. Other columns aren't read by near_duplicates() and are passed on by keep_one().
+similar_texts() and keep_one() are for near copies: there fingerprints of five-word shingles give candidates, which
+are verified by the exact similarity of the sets; fingerprints that few bits separate find only some of the texts
+of similarity 0.8, so the candidates of tessera.llm.jaccard come beside them.
+
+Defined results: null, empty and blank texts have the fingerprint zero and are linked like any other; as near
+copies they are copies of each other. Null ids keep their rows; a component without ids has a null component_id.
+Repeated rows keep a row each. An empty table gives an empty result. Other columns, of any name, aren't read by
+near_duplicates() and are passed on by keep_one(). keep_one() decides on rows, not on ids: of a group the row with
+the smallest id stays, nulls last, then the one with the least digest of the text; a row repeated in id and text
+stays once.
 """
 
 from __future__ import annotations
@@ -22,8 +29,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import components
-from tessera.llm.common import ascii_lower, materialize, words_of
+from tessera.llm import components, jaccard
+from tessera.llm.common import SPACE, ascii_lower, materialize, words_of
 
 BITS = 64
 #: Words of a shingle, differing bits of a link.
@@ -271,10 +278,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return d.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, a repeated one once; rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, distance=distance)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost")).distinct()
-    kept = docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+def _near_pairs(sketched: DataFrame, distance: int) -> DataFrame:
+    """u, v: keys whose fingerprints are equal or linked, by way of the least key of each fingerprint."""
+    fps = materialize(sketched.where("n > 0").groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("texts")), "distinct")
+    equal = sketched.join(fps.where("texts > 1"), "fp").select(F.col("least").alias("u"), F.col("k").alias("v"))
+    n, both = _bit_counts(fps)
+    if n < 2:
+        return equal
+    linked = links(fps.select("fp"), plan(n, both, distance), distance).withColumnsRenamed({"u": "fu", "v": "fv"})
+    one, two = fps.select(F.col("fp").alias("fu"), F.col("least").alias("u")), fps.select(F.col("fp").alias("fv"), F.col("least").alias("v"))
+    return equal.unionByName(linked.join(one, "fu").join(two, "fv").select("u", "v"))
+
+
+def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """id, raw (digest of the text), k (digest of its lower-cased words) and root, equal for the rows of a group."""
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), f"[{SPACE}]+"), "")
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("raw"), F.array_join(words, " ").alias("norm"))
+    #: The text's words are cut once; what is read of the table again is its keys, or the words of a few rows.
+    rows = materialize(rows.select("id", "raw", F.unhex(F.md5("norm")).alias("k"), "norm"), "words")
+    texts = rows.select("k", "norm")
+    sketched = materialize(jaccard.sketches(texts).dropDuplicates(["k"]), "sketches")
+    found = components.stars(jaccard.links(texts, sketched, _near_pairs(sketched, distance)))
+    named = rows.select("id", "raw", "k").join(found.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left")
+    return named.withColumn("root", F.coalesce("root", "k"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of docs of each group of texts that links of similarity 4/5 on five-word shingles join."""
+    names = docs.columns
+    found = similar_texts(docs, id_col=id_col, text_col=text_col, distance=distance)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw")).alias("x")).select("x.id", "x.raw")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    own, text = f"c{names.index(id_col)}", F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))
+    rows = rows.withColumn("own", F.unhex(F.md5(text)))
+    kept = rows.join(least, F.col(own).eqNullSafe(F.col("id")) & (F.col("own") == F.col("raw")), "left_semi").dropDuplicates([own, "own"])
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

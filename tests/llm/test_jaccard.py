@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from tessera.llm import jaccard
+from tessera.llm import jaccard, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,8 +46,7 @@ def test_stage_leaves_one_of_each_group(spark, sf):
 
 
 def test_large_groups_at_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FEW", 4)
-    monkeypatch.setattr(jaccard, "HOT", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng, docs = random.Random(3), []
     for _ in range(4):
         base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
@@ -63,7 +62,7 @@ def test_large_groups_at_the_limit(spark, monkeypatch):
 def test_odd_rows(spark):
     t = " ".join(f"w{k}" for k in range(60))
     rows = [(None, t), (None, t.upper()), (1, "a b"), (1, "c d"), (1, "a b"), (2, None), (3, " "), (None, t + " more"), (None, "own")]
-    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.text) for r in got if r.doc_id), key=str) == [(1, "a b"), (1, "c d"), (2, None)]
     assert len([r for r in got if r.doc_id is None]) == 2
-    assert jaccard.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
