@@ -6,8 +6,9 @@ sample of labelled documents; each step shrinks the vectors, so those of n-grams
 that were. A score is linear in the document's mean before the softmax, so what goes to the tasks is one
 number for each bucket; tasks score whole texts, with a bounded memory of words.
 
-The sample: at most POSITIVES toxic and NEGATIVES other labelled documents, the first in the order of a hash
-of their ids, weighted back to the classes' shares. Of the ids only the hash decides what is learned from.
+The sample: POSITIVES toxic and NEGATIVES other labelled documents at most, the first in the order of a hash of
+their ids, of these the ones of at most LONGEST characters, weighted back to the classes' shares; so its rows and its
+bytes are bounded. Of the ids only the hash decides what is learned from. Texts of every length are scored whole.
 
 Defined results: a null or empty text gets the softmax of its bias alone. Null ids keep a row each, are held
 out and never learned from. Without usable labels of both classes every score is the share of toxic labels
@@ -25,8 +26,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents to learn from, of each class.
-POSITIVES, NEGATIVES = 1500, 2500
+#: Documents to learn from, of each class, and their characters at most.
+POSITIVES, NEGATIVES, LONGEST = 1500, 2500, 50_000
 #: Rows and width of the vectors, n-gram lengths.
 BUCKETS, WIDTH, LENGTHS = 1 << 17, 8, (3, 4, 5)
 #: Scale of a mean before the softmax, passes, documents in a step, learning rate, what a step takes off a vector's length.
@@ -54,14 +55,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str):
-    """text, toxic, weight of the documents to learn from, as pandas: a bounded number of rows."""
+    """text, toxic, weight of the documents to learn from, as pandas: a bounded number of rows of bounded texts."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = known.select("_id").join(marked, "_id")
     totals = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     chosen = [ids.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most) for c, most in ((1, POSITIVES), (0, NEGATIVES))]
-    picked = known.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").dropDuplicates(["_id"]).toPandas().sort_values("_id", ignore_index=True)
+    picked = known.where(F.length("text") <= LONGEST).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").dropDuplicates(["_id"]).toPandas().sort_values("_id", ignore_index=True)
     chosen_of = picked["toxic"].value_counts().to_dict()
     picked["weight"] = [totals[c] / chosen_of[c] for c in picked["toxic"].tolist()]
     return picked, totals
@@ -160,11 +161,10 @@ def logits(texts, numbers, bias: float) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", payload: Column | None = None) -> DataFrame:
-    """id, held_out, score and predicted of every row; payload: a column to pass on as payload."""
+def _classified(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Column, Column]:
+    """docs with its columns renamed to c0, c1 ... and a score, and the columns of the id and the score."""
     picked, totals = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
-    extra = [] if payload is None else [payload.alias("payload")]
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *extra)
+    d = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
     if picked["toxic"].nunique() < 2:
         value = F.lit(totals.get(1, 0) / max(1, sum(totals.values())))
     else:
@@ -178,13 +178,17 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             parts = (logits(texts.slice(k, 200).to_pylist(), numbers, bias) for k in range(0, len(texts), 200))
             return pa.array([1 / (1 + math.exp(-min(max(z, -700), 700))) for p in parts for z in p], pa.float64())
 
-        value = scored("_text")
-    d = d.withColumn("score", value)
-    return d.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["payload"] if extra else []))
+        value = scored(f"c{docs.columns.index(text_col)}")
+    return d.withColumn("score", value), F.col(f"c{docs.columns.index(id_col)}"), F.col("score")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """id, held_out, score and predicted of every row."""
+    d, name, value = _classified(docs.select(id_col, text_col), labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    return d.select(name.alias(id_col), held_out(name).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    clean = score(docs, labels, id_col=id_col, text_col=text_col, payload=whole).where("predicted = 0")
-    return clean.select(*[F.col("payload").getField(c).alias(c) for c in docs.columns])
+    d, _, value = _classified(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
+    return d.where(value < 0.5).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
