@@ -11,11 +11,14 @@ needs, and a step that leaves the bracket of the solution halves it instead.
 
 Copies: in groups of about GROUP documents of a source, from the largest to the smallest, each document takes
 the number of copies that brings the words so far closest to the sum of their rates; so a group ends within
-half of a small document of its sum.
-
-Defined results: a null or empty text has size 0 and takes 0 words. A null source is a source of its own and
-comes last. Repeated rows and null ids keep a row each. An empty table gives an empty result. Other columns
-aren't read.
+half of a small document of its sum. Rows equal in id, text (by MD5) and source are one kind of document, which
+is counted before it is dealt to the groups by a hash of the kind and the row's number among its rows, so many
+equal rows are spread like others.
+
+Defined results: a null or empty text has size 0 and takes 0 words; apply() keeps it once. A null source is a
+source of its own and comes last. Repeated rows and null ids keep a row each; which of several equal rows takes
+more copies is open. An empty table gives an empty result. Other columns, of any name, aren't read by mix() and
+are passed on by apply().
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OTHER_SPACE, materialize
+from tessera.llm.common import SPACE, materialize
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,24 +34,24 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 #: Copies of a document at most.
 CAP = 2
-#: Documents that are rounded together.
+#: Documents that are rounded together, equal rows that one row stands for on the way there.
 GROUP = 4096
+RUN = 4096
 #: Newton iterations at most, the part of a target that may be missed before rounding, iterations between two tables.
 ITERATIONS, TOLERANCE, STEPS = 96, 1e-9, 4
 
 
 def size_of(text: Column) -> Column:
-    """Number of `[^\\x20\\x09-\\x0D]+` in the text: white space that a word follows, counted natively."""
-    flat = F.translate(F.coalesce(text, F.lit("")), OTHER_SPACE, " " * len(OTHER_SPACE))
-    return F.size(F.array_remove(F.split(flat, " "), "")).cast("long")
+    """Number of `[^\\x20\\x09-\\x0D]+` in the text (null: 0)."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")).cast("long")
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """sid, source, source_size, docs, least, target: one row for each source of sized (source, size).
+    """sid, source, source_size, docs, least, target: one row for each source of sized (source, size, rows).
 
     The windows go over the sources, not over the documents.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    s = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.withColumn("sid", F.row_number().over(by_name) - 1)
@@ -69,7 +72,7 @@ def rate_of(tilt: Column, size: Column, mean: Column) -> Column:
 
 def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """sid, tilt, mean: the solved dual variable of each source (null: the cap everywhere)."""
-    h = materialize(sized.where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "sizes")
+    h = materialize(sized.where("size > 0").groupBy("sid", "size").agg(F.sum("rows").alias("n")), "sizes")
     g = goals.where("source_size > 0").withColumn("mean", F.col("source_size") / F.col("docs"))
     part, shortest = F.col("target") / F.col("source_size"), F.col("least") / F.col("mean")
     state = g.select(
@@ -107,21 +110,30 @@ def _newton(state: DataFrame, h: DataFrame) -> DataFrame:
     return s.select("sid", "target", "mean", "full", "low", "high", following.alias("tilt"), "missed")
 
 
+def _kind(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """id, raw and source: what tells one kind of document from another."""
+    return [F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("raw"), F.col(source_col).alias("source")]
+
+
 def _rounded_rows(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, size, source_size, target, rate, key (a hash of id and text) and copies of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("key"))
-    d = materialize(d, "sized")
-    goals = materialize(targets(d.select("source", "size")), "targets")
+    """id, raw, source, size, source_size, target, rate and copies of every row."""
+    d = docs.select(*_kind(docs, id_col=id_col, text_col=text_col, source_col=source_col), size_of(F.col(text_col)).alias("size"))
+    d = materialize(d.groupBy("id", "raw", "source", "size").agg(F.count("*").alias("rows")), "sized")
+    goals = materialize(targets(d), "targets")
     named = goals.withColumnRenamed("source", "s_source")
-    d = d.join(named, d.source.eqNullSafe(F.col("s_source"))).drop("source", "s_source")
-    solved = tilts(d.select("sid", "size"), goals)
+    d = d.join(named, d.source.eqNullSafe(F.col("s_source"))).drop("s_source")
+    solved = tilts(d.select("sid", "size", "rows"), goals)
     d = d.join(solved, "sid", "left")
     d = d.withColumn("rate", F.when(F.col("size") > 0, rate_of(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(1.0))
-    d = d.withColumn("salt", F.pmod(F.col("key"), F.ceil(F.col("docs") / GROUP)))
-    small = d.select("id", "size", "source_size", "target", "rate", "sid", "salt", "key")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return small.groupBy("sid", "salt").applyInPandas(_rounded, f"id {kind}, size long, source_size long, target double, rate double, key long, copies int")
+    #: Equal rows become rows again in two steps, with a shuffle between them where there are many.
+    runs = d.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(RUN))))
+    if not d.where(F.col("rows") > RUN).isEmpty():
+        runs = runs.repartition("id", "raw", "source", "run")
+    d = runs.withColumn("row", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("rows")) - 1)))
+    d = d.withColumn("key", F.xxhash64("id", "raw", "row")).withColumn("salt", F.pmod("key", F.ceil(F.col("docs") / GROUP)))
+    small = d.select("id", "raw", "source", "size", "source_size", "target", "rate", "sid", "salt", "key")
+    kind = ", ".join(f"{c} {small.schema[c].dataType.simpleString()}" for c in ("id", "raw", "source"))
+    return small.groupBy("sid", "salt").applyInPandas(_rounded, f"{kind}, size long, source_size long, target double, rate double, copies int")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -145,17 +157,46 @@ def _rounded(group):
         owed += rate[k] * n
         copies[k] = c = min(CAP, max(0, round(owed / n)))
         owed -= c * n
-    return group.assign(copies=copies)[["id", "size", "source_size", "target", "rate", "key", "copies"]]
+    return group.assign(copies=copies)[["id", "raw", "source", "size", "source_size", "target", "rate", "copies"]]
 
 
 def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as it has copies. Rows equal in id and text share their copies."""
-    #: materialize() gives both sides of the join the same rounding.
-    mixed = materialize(_rounded_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col).select("key", "copies"), "mixed")
-    totals = mixed.groupBy(F.col("key").alias("_mixed_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    j = keyed.join(totals, F.col("_key") == F.col("_mixed_key"))
-    once = j.where("_rows = 1")
-    repeated = j.where("_rows > 1").dropDuplicates(["_key"])
-    both = once.unionByName(repeated)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each row of docs as often as it has copies."""
+    names, key = docs.columns, ["id", "raw", "source"]
+    mixed = _rounded_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    counts = [F.count(F.when(F.col("copies") == n, 1)).alias(f"n{n}") for n in range(CAP)]
+    totals = mixed.groupBy(*[F.col(c).alias(f"m_{c}") for c in key]).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"), *counts)
+    #: As a table it gives both readers below the same rounding.
+    totals = materialize(totals, "mixed")
+    d = docs.select(*_kind(docs, id_col=id_col, text_col=text_col, source_col=source_col), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    fits = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("raw") == F.col("m_raw")) & F.col("source").eqNullSafe(F.col("m_source"))
+    once = d.join(totals.where("rows = 1 AND copies > 0"), fits)
+    columns = [f"c{k}" for k in range(len(names))]
+    both = once.select(*columns, "copies")
+    if not totals.where("rows > 1 AND copies > 0").isEmpty():
+        both = both.unionByName(_numbered(d.join(totals.where("rows > 1 AND copies > 0"), fits)).select(*columns, "copies"))
+    out = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows of documents that occur several times, each with copies of its own: the first n0 take none, the next n1 one.
+
+    Equal rows are numbered within the partitions of a table, from where the partitions before it end.
+    """
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "repeated")
+    key = [F.col(c) for c in ("m_id", "m_raw", "m_source")]
+    part = F.shiftright("row", 33)
+    sizes = rows.groupBy(*key, part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.xxhash64(*key, "part").alias("h"), *[c.alias(f"s_{k}") for k, c in enumerate(key)], F.col("part").alias("s_part"), F.coalesce(before, F.lit(0)).alias("start"))
+    #: Only narrow rows are sorted.
+    within = rows.select("row", *key).withColumn("part", part)
+    within = within.withColumn("place", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row")) - 1).withColumn("h", F.xxhash64(*key, "part"))
+    same = [within[c].eqNullSafe(starts[f"s_{k}"]) for k, c in enumerate(("m_id", "m_raw", "m_source"))]
+    placed = within.join(starts, (within.h == starts.h) & (F.col("part") == F.col("s_part")) & same[0] & same[1] & same[2]).select("row", (F.col("start") + F.col("place")).alias("place"))
+    copies, done = F.lit(CAP), sum((F.col(f"n{n}") for n in range(CAP)), F.lit(0))
+    for n in reversed(range(CAP)):
+        copies = F.when(F.col("place") < done, F.lit(n)).otherwise(copies)
+        done = done - F.col(f"n{n}")
+    return rows.join(placed, "row").withColumn("copies", copies).where("copies > 0")
