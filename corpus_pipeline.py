@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, mixing, quality, toxicity
+from tessera.llm import bpe, mixing, quality, simhash, toxicity
 from tessera.llm.common import scratch_path
 from tessera.llm.queries import tokenizer_path
 
@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by five-word shingles of similarity 0.8 and more."""
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of them and of what they decode to."""
-    both = bpe.round_trip(docs.select("doc_id", "source", "text"), tokenizer_path())
+    both = bpe.round_trip(docs.select("doc_id", "source", "text"), tokenizer_path(), keep=["doc_id", "source"])
     return both.select("doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
