@@ -7,7 +7,7 @@ digests are confirmed, and the longest rule decides.
 Defined results: a null url, or one without `://`, has the empty host and path and gets the method's
 verdict (allow); so has one that no rule fits. Repeated rows and null ids keep a row each. An empty table
 gives an empty result, an empty rule table lets everything pass. Extra columns are not read. Rules that
-are repeated with both verdicts block.
+are repeated with both verdicts block, rules without a host fit nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, materialize
 
 #: Hex digits of a SHA-256 that the join is on.
 SHORT = 8
@@ -46,39 +46,27 @@ def _labels(host: Column) -> Column:
 def expressions(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each (host, path) and each shape (labels of the host, length of the path) of a rule.
 
-    The shapes are few: a host has at most 127 labels, and a path prefix is one length of a rule's path.
+    Shapes are a table of at most 127 labels times the lengths of a path, whatever the number of rules, and its size
+    is known to Spark; a host's suffixes meet it by their number of labels.
     """
-    shapes = rules.select(_labels(F.col("host")).alias("n"), F.length("path").alias("k")).distinct().collect()
-    pairs = F.array(*[F.struct(F.lit(r.n).alias("n"), F.lit(r.k).alias("k")) for r in shapes])
-    shape = F.col("shape")
-    return (
-        sites.withColumn("labels", _labels(F.col("host")))
-        .withColumn("shape", F.explode(F.filter(pairs, lambda s: (s.n <= F.col("labels")) & (s.k <= F.length("path")))))
-        .select(
-            "host",
-            "path",
-            F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -shape.n), F.substring(F.col("path"), F.lit(1), shape.k)).alias("expression"),
-        )
-    )
+    shapes = materialize(rules.select(_labels(F.col("host")).alias("n"), F.length("path").alias("k")).distinct(), "shapes")
+    suffixes = sites.withColumn("n", F.explode(F.sequence(F.lit(1), _labels(F.col("host")))))
+    met = suffixes.join(shapes, "n").where(F.col("k") <= F.length("path"))
+    return met.select("host", "path", F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("n")), F.substring(F.col("path"), F.lit(1), F.col("k"))).alias("expression"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule (null if none fits) and verdict of every row of pages."""
-    rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host IS NOT NULL")
+    rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host != ''")
     seen = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if rules.isEmpty():
-        return seen.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(DEFAULT_VERDICT).alias("verdict"))
-    listed = rules.select(
-        F.concat("host", "path").alias("rule"),
-        F.length("host").alias("host_length"),
-        "verdict",
-    )
+    listed = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), "verdict")
     listed = listed.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, SHORT))
-    asked = expressions(seen.select("host", "path").distinct(), rules)
+    asked = expressions(seen.where("host != ''").select("host", "path").distinct(), rules)
     asked = asked.withColumn("asked_digest", F.sha2("expression", 256)).withColumn("short", F.substring("asked_digest", 1, SHORT))
     fits = asked.join(listed, "short").where(F.col("asked_digest") == F.col("digest"))
     best = F.max(F.struct(F.length("rule").alias("length"), "host_length", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict"))
     judged = fits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    return seen.join(judged, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict")
-    )
+    #: Rows without a host have no rule and aren't joined; they may be very many.
+    with_host = seen.where("host != ''").join(judged, ["host", "path"], "left")
+    without = seen.where("host = ''").select("host", "path", "id", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return with_host.unionByName(without).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
