@@ -7,7 +7,9 @@ sequence of members. Of equal payloads the one with the smallest id is a respons
 Reading: a task has a byte range of a file. It scans the range for the gzip magic, takes a candidate as a
 member if its header and the first decoded bytes are those of a record, and owns the records that start in
 its range; it reads past the range's end to finish the last one. Between members it jumps, so a magic inside
-compressed data is only ever met at the start of a range, where decoding refuses it.
+compressed data is only ever met at the start of a range, where decoding refuses it. A damaged member raises
+an error: where one must start, because another ended there, and where a record's first bytes decode but not
+the rest. A range looks at the start of the next member beyond its end too, so none is lost between two ranges.
 
 Defined results: a null payload is empty. Null ids are written as such; they are responses only where no
 equal payload has an id. Rows that repeat the smallest id are all responses. A null uri leaves the header
@@ -21,14 +23,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path
+from tessera.llm.common import materialize, scratch_path
 
 #: An empty gzip member: the record separator of the part files.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300000000000000000000")[:10] + bytes.fromhex("03000000000000000000")
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of an archive that a task scans, and that are read at once.
-RANGE_BYTES = 8 << 20
-CHUNK = 1 << 20
+#: Bytes of an archive that a task scans, that are read at once, and that are inflated at once.
+RANGE_BYTES = 64 << 20
+CHUNK, PIECE = 1 << 20, 1 << 14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
@@ -39,7 +41,8 @@ def roles(pages: DataFrame, *, id_col: str, payload_col: str, min_bytes: int = 0
     p = p.withColumn("_sha", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
     #: Only digests and ids are grouped; payloads that occur once leave no row to join.
     first = p.where("_sha IS NOT NULL").groupBy("_sha").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL").drop("_n")
-    j = p.join(first, "_sha", "left")
+    #: As a table its size is known before the join: where it is small, the payloads aren't shuffled.
+    j = p.join(materialize(first, "first"), "_sha", "left")
     return j.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_sha", "_first")
 
 
@@ -95,20 +98,36 @@ def _opened(path: str):
     return store.open_input_file(inner)
 
 
-def _inflated(file, at: int, most: int | None = None) -> tuple[bytes, int] | None:
+class _Window:
+    """The bytes of a file from any place, read in chunks, of which one is held."""
+
+    def __init__(self, file) -> None:
+        self.file, self.base, self.held = file, 0, b""
+        file.seek(0, 2)
+        self.size = file.tell()
+
+    def at(self, place: int, most: int) -> bytes:
+        """Up to most bytes from place; none beyond the file's end."""
+        if not self.base <= place < self.base + len(self.held):
+            self.file.seek(place)
+            self.base, self.held = place, self.file.read(CHUNK)
+        return self.held[place - self.base : place - self.base + most]
+
+
+def _inflated(window: _Window, at: int, most: int | None = None) -> tuple[bytes, int] | None:
     """What the gzip member at `at` holds and its length in the file; None if there is none. most: stop after so many bytes."""
     import zlib
 
-    file.seek(at)
-    inflate, out, used = zlib.decompressobj(31), [], 0
+    inflate, out, used, held = zlib.decompressobj(31), [], 0, 0
     try:
         while not inflate.eof:
-            data = file.read(64 if most else CHUNK)
+            data = window.at(at + used, 64 if most else PIECE)
             if not data:
                 return None
             used += len(data)
             out.append(inflate.decompress(data))
-            if most and sum(map(len, out)) >= most:
+            held += len(out[-1])
+            if most and held >= most:
                 break
     except zlib.error:
         return None
@@ -116,12 +135,12 @@ def _inflated(file, at: int, most: int | None = None) -> tuple[bytes, int] | Non
 
 
 def members(file, start: int, end: int) -> Iterator[bytes]:
-    """The records whose gzip members start in [start, end)."""
+    """The records whose gzip members start in [start, end). Raises where a member is damaged."""
+    window = _Window(file)
     at, in_step = start, start == 0
-    while at < end:
+    while at < (window.size if in_step else end):
         if not in_step:
-            file.seek(at)
-            data = file.read(min(CHUNK, end - at) + len(MAGIC) - 1)
+            data = window.at(at, end - at + len(MAGIC) - 1)
             k = data.find(MAGIC)
             if k < 0:
                 at += max(1, len(data) - len(MAGIC) + 1)
@@ -129,13 +148,22 @@ def members(file, start: int, end: int) -> Iterator[bytes]:
             at += k
             if at >= end:
                 return
-        head = _inflated(file, at, 7)
+        head = _inflated(window, at, 7)
         if head is None or (head[0] and not head[0].startswith(b"WARC/1.")):
-            at, in_step = at + 1, False
+            if in_step:
+                raise ValueError(f"no record at byte {at}, where one must start: the archive is damaged")
+            at += 1
+            continue
+        if head[0] and at >= end:
+            return
+        whole = _inflated(window, at)
+        if whole is None:
+            if in_step or head[0]:
+                raise ValueError(f"the record at byte {at} is damaged or cut off")
+            at += 1
             continue
-        whole = _inflated(file, at)
-        if whole is None or (not whole[0] and not in_step):
-            at, in_step = at + 1, False
+        if not whole[0] and not in_step:
+            at += 1
             continue
         if whole[0]:
             yield whole[0]
@@ -186,7 +214,8 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True, range_byt
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return ranges.repartition("path", "start").mapInPandas(scan, RECORD_SCHEMA)
+    #: A task for each range: dealt in turn to as many partitions as there are ranges, which aren't merged again.
+    return ranges.repartition(max(1, ranges.count())).mapInPandas(scan, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
