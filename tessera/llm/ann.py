@@ -1,32 +1,41 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
 Equal vectors are indexed once, with as many of their smallest ids as a result can hold, so a vector that
-very many rows share costs one node. Distinct vectors are dealt into shards of about SHARD by a hash. In a
-shard, vectors get one more component that makes their norms equal, so that the largest inner product is the
-smallest distance. Nodes are inserted in batches: greedy beam searches propose neighbours, relaxed distance
-pruning keeps diverse edges, and reverse edges are pruned likewise. The index is a table. Each block of
-queries searches each shard by beam search; what it finds is scored again in double precision on the
-original vectors, and the best of all shards are ranked.
+very many rows share costs one node. Distinct vectors are dealt into shards of about SHARD: first by bands of
+their norms, a quarter of an octave wide, then by a hash. In a shard, vectors get one more component that makes
+their norms equal, so that the largest inner product is the smallest distance; within a band that component is
+small, so few long vectors don't push all others together. Nodes are inserted in batches: greedy beam searches
+propose neighbours, relaxed distance pruning keeps diverse edges, and reverse edges are pruned likewise.
+
+Each shard measures itself: a bounded sample of its vectors is searched by beams of growing width and by brute
+force, and the shard keeps the first beam whose recall reaches RECALL. A shard where none does (vectors without any
+structure) is scanned instead. The index is a table. Queries are sent to the shards, each of which is read once for
+a block of QUERIES of them; what a shard finds is scored again in double precision on the original vectors, and the
+best of all shards are ranked.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do
 rows without an id; vectors meet those of their own length only. Rows that repeat an id and its vector count
-once. Ties go to the smaller id. With fewer candidates than k all are returned; an empty table, or no
-queries, gives an empty result. Other columns aren't read.
+once; an id of several vectors stands at its best. Ties go to the smaller id. With fewer candidates than k all are
+returned; an empty table, or no queries, gives an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Distinct vectors of a shard, queries that search it together.
-SHARD, QUERIES = 8192, 2048
-#: Edges of a node, beam when building and when searching, relaxation of the pruning, nodes inserted together.
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, BATCH = 32, 64, 128, 1.2, 256
-#: Candidates whose edges are followed at once.
-WIDE = 4
+#: Distinct vectors of a shard, queries that search it one after the other in a task.
+SHARD, QUERIES = 8192, 65_536
+#: Edges of a node, beam when building, relaxation of the pruning, nodes inserted together.
+DEGREE, BUILD_BEAM, RELAX, BATCH = 32, 64, 1.2, 256
+#: Beams that a shard tries, recall of its own sample that one must reach, vectors of that sample.
+BEAMS, RECALL, SAMPLE = (64, 128, 256, 512), 0.96, 64
+#: Candidates whose edges are followed at once, queries that are searched at once.
+WIDE, TOGETHER = 4, 256
+#: Bands of norms for each doubling, parts of the table of shards.
+BANDS, SALTS = 4, 16
 
 
 def _usable(vector: str):
@@ -97,13 +106,46 @@ def _pruned(data, norm: float, nodes, candidates, degree: int):
     return edges
 
 
-def build_graph(vectors, seed: int = 11):
-    """(data with the norm component, graph, entry node) over the rows of vectors (float32)."""
+def _levelled(vectors):
+    """The vectors (float32, scaled) with one more component that makes their norms equal, and the square of that norm."""
     import numpy as np
 
-    squares = np.einsum("ij,ij->i", vectors, vectors, dtype="f8")
+    x = vectors / np.abs(vectors).max()
+    squares = np.einsum("ij,ij->i", x, x)
     norm = float(squares.max())
-    data = np.concatenate([vectors, np.sqrt(np.maximum(norm - squares, 0))[:, None]], axis=1).astype("f4")
+    return np.concatenate([x, np.sqrt(np.maximum(norm - squares, 0))[:, None]], axis=1).astype("f4"), norm
+
+
+def _padded(queries):
+    """Queries (float32, scaled) with a zero for the added component."""
+    import numpy as np
+
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype("f4")
+
+
+def calibrated(vectors, data, graph, entry: int, k: int, seed: int = 13) -> int:
+    """The least beam that finds RECALL of the k best of the shard's own sample; 0 if none does."""
+    import numpy as np
+
+    n = len(vectors)
+    some = np.sort(np.random.default_rng(seed).permutation(n)[:SAMPLE])
+    k = min(k + 1, n)
+    scores = vectors[some] @ vectors.T
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    for beam in BEAMS:
+        found, _ = _beam(data, graph, entry, _padded(vectors[some]), max(beam, k))
+        hit = (np.take_along_axis(scores, np.maximum(found, 0), axis=1) >= least[:, None]) & (found >= 0)
+        if np.minimum(hit.sum(axis=1), k).sum() >= RECALL * k * len(some):
+            return beam
+    return 0
+
+
+def build_graph(vectors, seed: int = 11):
+    """(data with the added component, graph, entry node) over the rows of vectors (float64)."""
+    import numpy as np
+
+    data, norm = _levelled(vectors)
     n = len(data)
     graph = np.full((n, DEGREE), -1, "i4")
     order = np.random.default_rng(seed).permutation(n)
@@ -141,69 +183,130 @@ def build_graph(vectors, seed: int = 11):
 
 def distinct_vectors(vectors: DataFrame, *, id_col: str, vector_col: str, k: int) -> DataFrame:
     """vector and ids: the k + 1 smallest ids that have it; no result needs more of them."""
-    v = vectors.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    v = vectors.where(F.col(id_col).isNotNull() & _usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), _numbers(vector_col).alias("vector"))
     #: The limit of the rank is applied before the shuffle too, so a vector of very many rows is cut where they are.
     ranked = v.withColumn("r", F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("r") <= k + 1)
     return ranked.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+def _numbers(vector_col: str) -> Column:
+    """The vector in double precision; a float's value stays what it is."""
+    return F.col(vector_col).cast("array<double>")
+
+
+def _band(vector: Column) -> Column:
+    """The band of the vector's norm."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
+    return F.floor(BANDS * (F.log2(most) + F.log2(squares) / 2)).cast("int")
+
+
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
-    """The index as a table: shard, width, pos, vector, ids, edges, entry."""
-    d = materialize(distinct_vectors(vectors, id_col=id_col, vector_col=vector_col, k=k), "vectors")
-    shards = max(1, -(-d.count() // SHARD))
-    d = d.select(F.size("vector").alias("width"), F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "vector", "ids")
+    """The index as a table: width, band, shard, pos, vector, ids, edges, and the shard's entry and beam at its first row."""
+    d = distinct_vectors(vectors, id_col=id_col, vector_col=vector_col, k=k)
+    d = materialize(d.select(F.size("vector").alias("width"), _band(F.col("vector")).alias("band"), "vector", "ids"), "vectors")
+    #: A row for each length and band, as a table, so that Spark knows its size.
+    shards = materialize(d.groupBy("width", "band").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "bands")
+    d = d.join(shards, ["width", "band"]).select("width", "band", F.pmod(F.xxhash64("vector"), "shards").cast("int").alias("shard"), "vector", "ids")
 
     def build(group):
         import numpy as np
 
         group = group.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), kind="stable", ignore_index=True)
-        data = np.stack(group["vector"].to_numpy()).astype("f4")
-        _, graph, entry = build_graph(data)
-        return group.assign(pos=np.arange(len(group), dtype="i4"), edges=list(graph), entry=np.int32(entry))[["shard", "width", "pos", "vector", "ids", "edges", "entry"]]
+        raw = np.stack(group["vector"].to_numpy()).astype("f8")
+        data, graph, entry = build_graph(raw)
+        beam = calibrated(raw / np.abs(raw).max(), data, graph, entry, k)
+        return group.assign(pos=np.arange(len(group), dtype="i4"), edges=list(graph), entry=np.int32(entry), beam=np.int32(beam))[[c.split()[0] for c in _INDEX.split(", ")]]
 
-    schema = "shard int, width int, pos int, vector array<float>, ids array<long>, edges array<int>, entry int"
-    return materialize(d.groupBy("shard", "width").applyInPandas(build, schema), "index")
+    return materialize(d.groupBy("width", "band", "shard").applyInPandas(build, _INDEX), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of the index found for each query, but the query's own."""
-    q = queries.where(F.col(id_col).isNotNull() & _usable(vector_col))
-    q = q.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("query")).dropDuplicates(["query_id", "query"])
-    q = q.withColumn("width", F.size("query"))
-    n = q.count()
-    blocks = max(1, -(-n // QUERIES))
-    shards = index.groupBy(F.col("shard").alias("q_shard"), F.col("width").alias("width")).agg(F.lit(1).alias("one")).select("q_shard", F.col("width").alias("q_width"))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    q = q.join(shards, q.width == shards.q_width).select("query_id", "query", "width", "block", F.col("q_shard").alias("shard"))
-    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(nodes, asked):
+_INDEX = "width int, band int, shard int, pos int, vector array<double>, ids array<long>, edges array<int>, entry int, beam int"
+
+
+class _Shard:
+    """The nodes of a shard, in memory, and the search of a block of queries in them."""
+
+    def __init__(self, rows: list[tuple], k: int, beam: int | None) -> None:
         import numpy as np
-        import pandas as pd
-
-        columns = ["query_id", "vec_id", "score"]
-        if not len(nodes) or not len(asked):
-            return pd.DataFrame({c: pd.Series([], dtype="f8" if c == "score" else "i8") for c in columns})
-        nodes = nodes.sort_values("pos", ignore_index=True)
-        raw = np.stack(nodes["vector"].to_numpy()).astype("f4")
-        graph = np.stack(nodes["edges"].to_numpy()).astype("i4")
-        squares = np.einsum("ij,ij->i", raw, raw, dtype="f8")
-        data = np.concatenate([raw, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]], axis=1).astype("f4")
-        ids, names = nodes["ids"].to_numpy(), asked["query_id"].to_numpy()
-        vectors = np.stack(asked["query"].to_numpy()).astype("f4")
+
+        self.raw = np.array([r[0] for r in rows], "f8")
+        self.ids = [r[1] for r in rows]
+        self.graph = np.array([r[2] for r in rows], "i4")
+        self.entry, own = rows[0][3], rows[0][4]
+        self.k, self.beam = k, own if beam is None or not own else max(own, beam)
+        self.data, _ = _levelled(self.raw)
+
+    def best(self, names: list[int], vectors) -> list[tuple[int, int, float]]:
+        import numpy as np
+
+        if self.beam:
+            near, _ = _beam(self.data, self.graph, self.entry, _padded(vectors), max(self.beam, self.k))
+        else:
+            #: Without structure: the exact best nodes, and one more for the query's own.
+            most = min(self.k + 1, len(self.raw))
+            near = np.argpartition(-(vectors @ self.raw.T), most - 1, axis=1)[:, :most]
         out = []
-        for start in range(0, len(asked), 256):
-            v = vectors[start : start + 256]
-            found, _ = _beam(data, graph, int(nodes["entry"][0]), np.concatenate([v, np.zeros((len(v), 1), "f4")], axis=1), max(beam, k))
-            for j in range(len(v)):
-                at = found[j][found[j] >= 0]
-                scores = (raw[at].astype("f8") * v[j].astype("f8")).sum(axis=1)
-                some = [(-s, int(i)) for a, s in zip(at, scores.tolist(), strict=True) for i in ids[a] if i != names[start + j]]
-                out += [(names[start + j], i, -s) for s, i in sorted(some)[:k]]
-        return pd.DataFrame(out, columns=columns).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
-
-    keys = ["shard", "width", "block"]
-    found = dealt.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(find, "query_id long, vec_id long, score double")
-    #: The shards' results have at most k rows for each query and shard; the limit is applied before the shuffle too.
+        for name, v, at in zip(names, vectors, near, strict=True):
+            at = at[at >= 0]
+            scores = (self.raw[at] * v).sum(axis=1)
+            seen, left = set(), self.k
+            for s, i in sorted((-s, i) for a, s in zip(at.tolist(), scores.tolist(), strict=True) for i in self.ids[a]):
+                if i != name and i not in seen:
+                    seen.add(i)
+                    out.append((name, i, -s))
+                    left -= 1
+                    if not left:
+                        break
+        return out
+
+
+def search(index: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, beam: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of the index found for each query, but the query's own. beam: the least to use."""
+    q = queries.where(F.col(id_col).isNotNull() & _usable(vector_col))
+    q = materialize(q.select(F.col(id_col).cast("long").alias("query_id"), _numbers(vector_col).alias("vector")).dropDuplicates(["query_id", "vector"]), "queries")
+    blocks = max(1, -(-q.count() // QUERIES))
+    #: One row for each shard; each query goes to every shard of its length. Salts spread a length where the table is too large to be sent to all.
+    shards = materialize(index.where("pos = 0").select("width", "band", "shard", F.pmod(F.xxhash64("band", "shard"), F.lit(SALTS)).alias("salt")), "shards")
+    q = q.withColumn("width", F.size("vector")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = q.join(shards, ["width", "salt"]).select("width", "band", "shard", "block", F.lit(1).alias("kind"), F.lit(0).alias("pos"), "vector", F.array("query_id").alias("ids"), F.array().cast("array<int>").alias("edges"), F.lit(0).alias("entry"), F.lit(0).alias("beam"))
+    nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    nodes = nodes.select("width", "band", "shard", "block", F.lit(0).alias("kind"), "pos", "vector", "ids", "edges", "entry", "beam")
+
+    def find(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        shard, rows, held = None, [], None
+
+        def flushed(out):
+            names, found, scores = zip(*out) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                b = batch.slice(start, TOGETHER)
+                key = list(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True))
+                kind, vector, ids, edges, entry, beams = (b.column(c).to_pylist() for c in (4, 6, 7, 8, 9, 10))
+                at = 0
+                while at < len(key):
+                    if key[at] != shard:
+                        shard, rows, held = key[at], [], None
+                    end = at
+                    while end < len(key) and key[end] == shard and kind[end] == kind[at]:
+                        end += 1
+                    if not kind[at]:
+                        rows += list(zip(vector[at:end], ids[at:end], edges[at:end], entry[at:end], beams[at:end], strict=True))
+                    elif rows or held:
+                        if held is None:
+                            held, rows = _Shard(rows, k, beam), []
+                        yield flushed(held.best([x[0] for x in ids[at:end]], np.array(vector[at:end], "f8")))
+                    at = end
+
+    keys = ["width", "band", "shard", "block"]
+    dealt = nodes.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "pos")
+    found = dealt.mapInArrow(find, "query_id long, vec_id long, score double")
+    #: The shards' results have at most k rows for each query and shard; a query's are ranked after the best of each id.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, html_text, url_filter, warc
@@ -84,6 +85,31 @@ def test_warc_refuses_false_magic():
         assert found == records
 
 
+def test_warc_damage_raises_and_each_range_is_a_task(spark, tmp_path):
+    records = [b"WARC/1.1\r\nWARC-Type: x\r\n\r\n" + bytes([65 + k]) * 50 + random.Random(k).randbytes(400) for k in range(3)]
+    packed = []
+    for r in records:
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        packed.append(z.compress(r) + z.flush() + warc.EMPTY_MEMBER)
+    data = b"".join(packed)
+    second = len(packed[0])
+    read = lambda x, n: [r for a in range(0, len(x), n) for r in warc.members(io.BytesIO(x), a, min(a + n, len(x)))]
+    assert read(data, 60) == read(data, len(data)) == records
+    for place in (second, second + 20, second + 300):
+        broken = bytearray(data)
+        broken[place] ^= 0xFF
+        for n in (40, 300, second, len(data)):
+            with pytest.raises(ValueError):
+                read(bytes(broken), n)
+    for n in (40, 300, len(data)):
+        with pytest.raises(ValueError):
+            read(data[: second + len(packed[1]) + 100], n)
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(pages(), "page_id long, url string, html string").coalesce(1), path)
+    size = sum(f.stat().st_size for f in (tmp_path / "w").iterdir() if f.name.startswith("part"))
+    assert warc.read(spark, path, range_bytes=3000).rdd.getNumPartitions() == -(-size // 3000)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body><header><p>Site header, long.</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <!-- <p>no</p> --><div class="cookie-notice">We use cookies, sorry.</div><div id="main" class="content"><article><h1>Title &amp; more</h1><p><b>One,
  two&nbsp;three.<br>four<p>Five &lt;six&gt; &eacute;<ul><li>item one<li>item two</ul><script>var a = "<p>x</p>";</script><div class="ad">Buy this, now.</div>
@@ -113,6 +139,101 @@ def test_html_paths_without_an_article_element():
     assert html_text.main_text(page).split("\n") == [f"Paragraph {k}, with some words; and marks." for k in range(5)]
 
 
+def plain_text(page, threshold):
+    """The method in its plainest form on pages of known tags: html.parser, elements as objects, no marks but class ad."""
+    from html.parser import HTMLParser
+
+    blocks_ = {"html", "body", "article", "div", "p", "h1", "ul", "li", "nav", "footer", "header", "aside"}
+
+    class Read(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.block, self.found = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "meta"):
+                return self.handle_data(" ") if tag == "br" else None
+            if tag in blocks_:
+                self.block += 1
+                at = [k for k, (t, _) in enumerate(self.open) if t == "p"]
+                if at:
+                    del self.open[at[-1] :]
+            if tag == "li" and self.open and self.open[-1][0] == "li":
+                self.open.pop()
+            self.open.append((tag, dict(attrs).get("class") or ""))
+
+        def handle_endtag(self, tag):
+            self.block += tag in blocks_
+            at = [k for k, (t, _) in enumerate(self.open) if t == tag]
+            if at:
+                del self.open[at[-1] :]
+
+        def handle_data(self, data):
+            names = [t for t, _ in self.open]
+            if data and not {"head", "nav", "footer", "script", "style", "title"} & set(names):
+                last = max((k for k, t in enumerate(names) if t in blocks_), default=0)
+                self.found.append((self.block, tuple(self.open), tuple(self.open[:last]), data))
+
+    r = Read()
+    r.feed(page or "")
+    r.close()
+    text = {}
+    for b, *_, t in r.found:
+        text[b] = text.get(b, "") + t
+    text = {b: " ".join(t.split()) for b, t in text.items() if t.split()}
+    if not text:
+        return ""
+    where = {b: max((x for x in r.found if x[0] == b), key=lambda x: len(x[3].strip()))[1:3] for b in text}
+    marks = lambda s: sum(c in ".,;:!?…、。，！？" for c in s)
+
+    def ratio(k, key):
+        own = [text[b] for b in text if where[b][k] == key]
+        return sum(map(len, own)) / len(own) * (1 + sum(map(marks, own)) / len(own))
+
+    order, smooth = list(text), {}
+    for i, b in enumerate(order):
+        near = [ratio(0, where[x][0]) for x in order[max(0, i - 1) : i + 2] if where[x][1] == where[b][1]]
+        smooth.setdefault(where[b][0], []).append(sum(near) / len(near))
+    value = {b: (sum(smooth[where[b][0]]) / len(smooth[where[b][0]]) * ratio(1, where[b][1])) ** 0.5 * (1e-6 if ("div", "ad") in where[b][0] else 1) for b in order}
+    chosen = {b for b in order if value[b] >= threshold * max(value.values())}
+    held = {where[b][1] for b in chosen}
+    goes = lambda c: any(c[:k] in held and k and c[k - 1][0] not in ("html", "body") for k in range(len(c) + 1))
+    return "\n".join(text[b] for b in order if b in chosen or (goes(where[b][1]) and not (("div", "ad") in where[b][0] and threshold)))
+
+
+def test_html_text_matches_a_plain_version_on_every_page(spark, monkeypatch):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    kept = {}
+    for threshold in (0.0, 0.1, 0.6):
+        monkeypatch.setattr(html_text, "THRESHOLD", threshold)
+        kept[threshold] = [html_text.main_text(h) for h in rows]
+        assert kept[threshold] == [plain_text(h, threshold) for h in rows]
+    assert sum(a != b for a, b in zip(kept[0.0], kept[0.1], strict=True)) > 200
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.1)
+    #: Without any list of names, ratios alone leave out most of the adverts.
+    monkeypatch.setattr(html_text, "DROPPED_WORDS", set())
+    monkeypatch.setattr(html_text, "STRICT_WORDS", set())
+    assert sum(html_text.main_text(h) == t for h, t in zip(rows, kept[0.1], strict=True)) > len(rows) / 2
+
+
+def test_html_text_keeps_what_surrounds_or_is_named_oddly():
+    import time
+
+    assert html_text.main_text("<p title=don't>Hello there, friend.</p>") == "Hello there, friend."
+    assert html_text.main_text('<div class="page-header-wrapper"><article><p>Hi there, you.</p></article></div>') == "Hi there, you."
+    assert html_text.main_text('<div class="recipe-reply social-science"><p>Yes, it is. Good.</p></div>') == "Yes, it is. Good."
+    prose = "<p>Long prose, with marks; and more of it here.</p>" * 3
+    assert html_text.main_text(f"<article>{prose}<table><tr><td>1</td><td>x</td></tr></table><div class=ad>no no, no.</div></article>").endswith("\n1\nx")
+    assert html_text.main_text(f'<article><p>Short.</p></article><ol class="commentlist"><li class="comment"><article>{prose}</article></ol>') == "Short."
+    links = "<ul>" + "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(9)) + "</ul>"
+    assert "Link" not in html_text.main_text(f"<div id=wrap>{links}{prose}{prose}</div>")
+    began = time.perf_counter()
+    html_text.main_text("<div>x" * 4000)
+    first, began = time.perf_counter() - began, time.perf_counter()
+    html_text.main_text("<div>x" * 32000)
+    assert time.perf_counter() - began < 30 * first + 1
+
+
 def brute(vectors, k=20):
     ids, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors], "f4").astype("f8")
     out = {}
@@ -147,3 +268,22 @@ def test_ann_recall_ties_and_odd_vectors(spark, monkeypatch):
     assert ann.search(ann.build_index(few), few.where("vec_id % 20 = 0")).count() == 4
     assert ann.search(ann.build_index(df), df.limit(0)).count() == 0
     assert ann.search(ann.build_index(df.limit(0)), df.where("vec_id = 20")).count() == 0
+
+
+def test_ann_recall_on_unequal_norms_at_the_shard_of_the_query(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(40, 24))[draw.integers(0, 40, 4000)] + 0.6 * draw.normal(size=(4000, 24))
+    x *= np.exp(draw.normal(size=(4000, 1)))  # log-normal lengths
+    x[:1500] = draw.normal(size=(1500, 24))  # and vectors without any structure
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(ann.build_index(df), df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    scores = x[::20] @ x.T
+    hits = []
+    for k, row in enumerate(scores):
+        row[20 * k] = -np.inf
+        best = np.argsort(-row, kind="stable")[:20]
+        hits.append(len(set(best.tolist()) & set(got[20 * k])) / 20)
+        assert all(s == pytest.approx(row[i], rel=1e-12) for i, s in got[20 * k].items())
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.6
