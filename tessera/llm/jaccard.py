@@ -31,10 +31,10 @@ BLOCK, WEIGHT, COLUMNS = 512, 1_000_000, 2048
 READ_ROWS = 2000
 
 
-def _hashes(texts: DataFrame) -> DataFrame:
-    """k and w, the hashes of the words, of every k, norm (words with one blank between them)."""
+def _hashes(texts: DataFrame, *more: str) -> DataFrame:
+    """k, w (the hashes of the words) and more columns of every k, norm (words with one blank between them)."""
     words = F.when(F.col("norm") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("norm", " "), lambda x: F.xxhash64(x)))
-    return texts.select("k", words.alias("w"))
+    return texts.select("k", words.alias("w"), *more)
 
 
 def shingled(words):
@@ -54,7 +54,7 @@ def shingled(words):
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """k, n (distinct shingles), fp (fingerprint) and bands of every k, norm; copies are not combined."""
+    """k, n (distinct shingles), fp (fingerprint), bands and row of every k, norm, row; copies are not combined."""
 
     def sketch(batches):
         import numpy as np
@@ -82,9 +82,9 @@ def sketches(texts: DataFrame) -> DataFrame:
                 key = (key ^ rows[:, :, r]) * mix[r]
                 key ^= key >> np.uint64(29)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype="i4")), pa.array(key.ravel().view("i8")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(fp.view("i8")), bands], names=["k", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(fp.view("i8")), bands, b.column(2)], names=["k", "n", "fp", "bands", "row"])
 
-    return _hashes(texts).mapInArrow(sketch, "k binary, n bigint, fp bigint, bands array<bigint>")
+    return _hashes(texts, "row").mapInArrow(sketch, "k binary, n bigint, fp bigint, bands array<bigint>, row bigint")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -187,9 +187,10 @@ def _linked(batches):
 
 
 def links(texts: DataFrame, sketched: DataFrame, near: DataFrame) -> DataFrame:
-    """u, v: verified links between the keys of texts (k, norm; copies repeat a key), enough to span every component.
+    """u, v: verified links between the keys of texts (k, norm, row; copies repeat a key), enough to span every component.
 
-    sketched: a row of sketches() for each key. near: u, v, further candidates.
+    sketched: a row of sketches() for each key. near: u, v, further candidates. Words are read again by the row of a key, so
+    a text of very many copies is read once.
     """
     bands = sketched.select(F.explode("bands").alias("b"), "k", "n").where("n > 0")
     ends = bands.groupBy("b").agg(F.min("k").alias("p"), F.max("k").alias("q")).where("p != q")
@@ -197,8 +198,7 @@ def links(texts: DataFrame, sketched: DataFrame, near: DataFrame) -> DataFrame:
     ended = shared.select(F.col("k").alias("v"), F.explode(F.array("p", "q")).alias("u")).unionByName(near).where("u != v")
     ended = materialize(ended.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ended")
     members = shared.select("k").unionByName(near.select(F.explode(F.array("u", "v")).alias("k"))).distinct()
-    #: Copies of a text are combined where they are, before their shuffle.
-    own = texts.join(members, "k", "left_semi").groupBy("k").agg(F.first("norm").alias("norm"))
+    own = texts.join(sketched.select("k", "row").join(members, "k", "left_semi").select("row"), "row", "left_semi")
     sets = materialize(shingle_sets(own), "sets")
     first = materialize(_verified(ended, sets), "links")
     stars = components.stars(first)

@@ -295,8 +295,8 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), f"[{SPACE}]+"), "")
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("raw"), F.array_join(words, " ").alias("norm"))
     #: The text's words are cut once; what is read of the table again is its keys, or the words of a few rows.
-    rows = materialize(rows.select("id", "raw", F.unhex(F.md5("norm")).alias("k"), "norm"), "words")
-    texts = rows.select("k", "norm")
+    rows = materialize(rows.select("id", "raw", F.unhex(F.md5("norm")).alias("k"), "norm", F.monotonically_increasing_id().alias("row")), "words")
+    texts = rows.select("k", "norm", "row")
     sketched = materialize(jaccard.sketches(texts).dropDuplicates(["k"]), "sketches")
     found = components.stars(jaccard.links(texts, sketched, _near_pairs(sketched, distance)))
     named = rows.select("id", "raw", "k").join(found.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left")
