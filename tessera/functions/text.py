@@ -79,6 +79,11 @@ def compatibility(have: Column, want: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("string")).when(a == b, "exact").when(a.major != b.major, "incompatible").when(a < b, "compatible").otherwise("newer")
 
 
+def without_repeats(items: Column) -> Column:
+    """A list with each item where it first stands."""
+    return F.array_distinct(items)
+
+
 def joined(items: Column) -> Column:
     """A list in words: a, b and c."""
     n = F.size(items)

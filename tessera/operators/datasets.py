@@ -139,11 +139,14 @@ def within_session_folds(units: DataFrame, order: str, k: int, seed: int, by: li
     return s.withColumn("fold", F.least(F.floor(F.col("position") / F.floor(F.col("_n") / k)), F.lit(k - 1)).cast("int")).drop("_n")
 
 
-def window_samples(entries: DataFrame, duration: str, size: float, stride: float) -> DataFrame:
-    """sample, start and end of each window of an entry."""
+def window_samples(entries: DataFrame, duration: str, size: float, stride: float, *, label: Column | None = None, seed: int | None = None) -> DataFrame:
+    """sample, start and end of each window of an entry; label (of its columns) and place, a random order's key, if asked for."""
     n = F.floor((F.col(duration) - size) / stride).cast("int")
     e = entries.where(F.col(duration) >= size).withColumn("sample", F.explode(F.sequence(F.lit(0), n)))
-    return e.withColumn("start", F.col("sample") * stride).withColumn("end", F.col("sample") * stride + size)
+    keys = [c for c in e.columns if c != "sample"]
+    e = e.withColumn("start", F.col("sample") * stride).withColumn("end", F.col("sample") * stride + size)
+    e = e if label is None else e.withColumn("label", label)
+    return e if seed is None else e.withColumn("place", F.xxhash64(F.lit(seed), *keys, "sample"))
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import paths
-from tessera.operators import associations, catalog
+from tessera.operators import associations, catalog, signal
 
 
 def modality_files(query: catalog.CatalogQuery, modality: str) -> catalog.CatalogQuery:
@@ -186,3 +186,24 @@ def derivatives(datasets: DataFrame) -> DataFrame:
     d = datasets.select(F.coalesce("pipeline", paths.filename(F.col("root"))).alias("pipeline"), "root").distinct()
     found = d.groupBy("pipeline").agg(F.min("root").alias("root"), F.count("*").alias("n"))
     return found.select("pipeline", F.when(F.col("n") == 1, F.col("root")).otherwise(F.raise_error(F.concat(F.lit("two datasets of the pipeline "), "pipeline"))).alias("root"))
+
+
+def harmonised_rates(s: DataFrame, rates: DataFrame, target: float, keys: list[str]) -> DataFrame:
+    """Samples at one rate: recordings whose rate differs by over 0.01 are resampled. rates: keys[0], rate; rates are few."""
+    out = None
+    for r in sorted(x.rate for x in rates.select("rate").distinct().collect()):
+        part = s.join(rates.where(F.col("rate") == r).select(keys[0]), keys[0], "left_semi").select(*keys, "idx", "value")
+        part = part if abs(r - target) <= 0.01 else signal.resample(part, r, target, keys)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def voxel_place(shape: tuple[int, int, int], i: Column, j: Column, k: Column) -> Column:
+    """The place of a voxel in a volume whose first axis runs fastest; null outside of it."""
+    inside = (i >= 0) & (i < shape[0]) & (j >= 0) & (j < shape[1]) & (k >= 0) & (k < shape[2])
+    return F.when(inside, i + shape[0] * (j + shape[1] * k))
+
+
+def voxel_series(volumes: DataFrame, place: int) -> DataFrame:
+    """volume, value of one voxel over time. volumes: volume, voxel, value."""
+    return volumes.where(F.col("voxel") == place).select("volume", "value").orderBy("volume")

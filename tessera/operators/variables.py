@@ -181,6 +181,26 @@ def sampling_rate(rates: DataFrame, requested: str | float | None) -> float:
     return 1.0 / row.low
 
 
+def event_rows(cells: DataFrame) -> DataFrame:
+    """path, row, onset, duration, name, value of the columns of event tables; no duration is 0, rows without an onset go.
+
+    cells: path, row, name, value, as text.read_long() gives them.
+    """
+    when = cells.groupBy("path", "row").agg(*[F.max(F.when(F.col("name") == n, F.col("value").try_cast("double"))).alias(n) for n in ("onset", "duration")])
+    when = when.where("onset IS NOT NULL").withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+    return when.join(cells.where("name NOT IN ('onset', 'duration')"), ["path", "row"]).select("path", "row", "onset", "duration", "name", "value")
+
+
+def apply_groups(df: DataFrame, keys: list[str], column: str, f: Callable) -> DataFrame:
+    """column with f, a function of a group's values (numpy) as long as they are, put back in the rows; a group is in memory."""
+
+    def run(group):
+        return group.assign(**{column: f(group[column].to_numpy())})
+
+    schema = ", ".join(f"`{c}` {'double' if c == column else t}" for c, t in df.dtypes)
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def merged(frames: list[DataFrame]) -> DataFrame:
     """Variables of the same names from several sources, one below the other."""
     out = frames[0]

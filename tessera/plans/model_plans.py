@@ -293,6 +293,11 @@ ORACLES = {
     "ratio_split": _U + _SPLIT.format(by="1", seed=42, train=0.7, val=0.15),
     "kfold": _U + " SELECT subject, label, ((row_number() OVER (ORDER BY md5('7:' || subject), subject) - 1) % 5)::INT AS fold FROM u",
     "stratified": _U + _SPLIT.format(by="label", seed=1, train=0.6, val=0.2),
+    "fnv_split": f"""{_E}, u AS (SELECT subject, min(trial_type) AS label FROM e GROUP BY subject),
+      h AS (SELECT *, list_reduce([xor(14695981039346656037::UBIGINT, 42::UBIGINT)] || list_transform(string_split(subject::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+        lambda a, b: xor(((a::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, b)) AS h FROM u),
+      k AS (SELECT *, row_number() OVER (ORDER BY h, subject) AS r, count(*) OVER () AS n FROM h)
+      SELECT subject, label, printf('%016x', h) AS hash, CASE WHEN r <= round(n * 0.7) THEN 'train' WHEN r <= least(n, round(n * 0.7) + round(n * 0.15)) THEN 'val' ELSE 'test' END AS split FROM k""",
     "cross_session": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), n AS (SELECT subject FROM s GROUP BY 1 HAVING count(*) > 1) SELECT a.subject, a.session, b.session AS held_out, CASE WHEN a.session = b.session THEN 'test' ELSE 'train' END AS role FROM s a JOIN s b ON a.subject = b.subject JOIN n ON n.subject = a.subject",
     "cross_subject": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run) AS session FROM e) SELECT subject AS held_out, count(*) AS n_test, (SELECT count(*) FROM s) - count(*) AS n_train FROM s GROUP BY subject",
     "subject_k_fold": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), k AS (SELECT subject, ((row_number() OVER (ORDER BY md5('3:' || subject), subject) - 1) % 4)::INT AS fold FROM (SELECT DISTINCT subject FROM s)) SELECT subject, session, fold FROM s JOIN k USING (subject)",

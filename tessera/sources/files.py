@@ -32,3 +32,67 @@ def read_at(path: str, start: int, n: int) -> bytes:
     with opened(path) as f:
         f.seek(start)
         return f.read(n)
+
+
+def free_name(path: str, taken: set[str]) -> str:
+    """path, or the first of path_1, path_2 ... (before its ending) that isn't taken."""
+    folder, _, name = path.rpartition("/")
+    stem, dot, ending = name.partition(".")
+    out, k = path, 0
+    while out in taken:
+        k += 1
+        out = f"{folder}/{stem}_{k}{dot}{ending}" if folder else f"{stem}_{k}{dot}{ending}"
+    return out
+
+
+def write_file(spark: SparkSession, path: str, content: bytes, conflict: str = "fail") -> str | None:
+    """Writes one small file (a sidecar, a description) and returns its path; conflict: fail, skip, overwrite or number."""
+    if conflict not in ("fail", "skip", "overwrite", "number"):
+        raise ValueError(f"unknown strategy {conflict}")
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(at(path)) and conflict != "overwrite":
+        if conflict == "fail":
+            raise FileExistsError(path)
+        if conflict == "skip":
+            return None
+        taken = {path}
+        while store.exists(at(free_name(path, taken))):
+            taken.add(free_name(path, taken))
+        path = free_name(path, taken)
+    out = store.create(at(path), True)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
+def copy_files(pairs: DataFrame) -> DataFrame:
+    """dst, bytes of files copied by tasks, as they are read. pairs: src, dst; a lost task copies its files again."""
+
+    def copied(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        for b in batches:
+            sizes = []
+            for src, dst in zip(b["src"], b["dst"], strict=True):
+                parsed = urlparse(dst)
+                store, inner = (pafs.LocalFileSystem(), unquote(parsed.path)) if parsed.scheme in ("", "file") else pafs.FileSystem.from_uri(dst)
+                store.create_dir(inner.rpartition("/")[0], recursive=True)
+                n = 0
+                with opened(src) as f, store.open_output_stream(inner, compression=None) as out:
+                    while chunk := f.read(1 << 20):
+                        out.write(chunk)
+                        n += len(chunk)
+                sizes.append(n)
+            yield pd.DataFrame({"dst": b["dst"], "bytes": pd.Series(sizes, dtype="int64")})
+
+    return pairs.select("src", "dst").mapInPandas(copied, "dst string, bytes long")
+
+
+def copies_to(files: DataFrame, values: dict, pattern: str) -> DataFrame:
+    """src, dst of files under the paths that a pattern gives their entities; those without a path are left out."""
+    from tessera.functions.paths import build_path
+
+    return files.select(F.col("path").alias("src"), build_path(values, pattern).alias("dst")).where("dst IS NOT NULL")

@@ -97,6 +97,17 @@ def read_description(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("is_derivative", F.coalesce(F.lower("DatasetType") == "derivative", F.lit(False))).withColumn("pipeline", F.get(F.col("GeneratedBy"), F.lit(0)).Name)
 
 
+def description_issues(descriptions: DataFrame) -> DataFrame:
+    """field, message for each mandatory field of a description that is missing or empty, and for derivatives without a maker."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    issue = lambda name, text: F.struct(F.lit(name).alias("field"), F.lit(text).alias("message"))
+    found = F.array(
+        *[F.when(empty(F.col(c)), issue(c, f"{c} is missing")) for c in ("Name", "BIDSVersion")],
+        F.when(F.col("is_derivative") & F.coalesce(F.size("GeneratedBy") < 1, F.lit(True)), issue("GeneratedBy", "a derivative names what made it")),
+    )
+    return descriptions.select(F.inline(F.array_compact(found)))
+
+
 def gradients(bvals: Column, bvecs: Column) -> Column:
     """array<struct<b, x, y, z>> from the texts of a value file and a three-row vector file; raises if their lengths differ."""
     numbers = lambda line: F.transform(F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))

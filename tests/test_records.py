@@ -160,3 +160,39 @@ def test_phrases(spark):
     assert got[2][1] == "30.0 ms" and got[2][3] == "interleaved" and got[2][8:] == ("odd", "x")
     t = spark.createDataFrame([(150, 2.0), (10, 3.0), (None, 2.0), (151, 2.01)], "n int, tr double")
     assert [r[0] for r in t.select(phrases.duration(F.col("n"), F.col("tr"))).collect()] == ["5:00.00", "30.0 s", "unknown", "5:03.51"]
+
+
+def test_files_are_written_and_copied(spark, tmp_path):
+    from tessera.sources import files
+
+    path = f"{tmp_path}/a/x.tar.gz"
+    assert files.write_file(spark, path, b"1") == path and files.write_file(spark, path, b"2", "skip") is None
+    with pytest.raises(FileExistsError):
+        files.write_file(spark, path, b"2")
+    assert files.write_file(spark, path, b"2", "number") == f"{tmp_path}/a/x_1.tar.gz" and files.write_file(spark, path, b"3", "number") == f"{tmp_path}/a/x_2.tar.gz"
+    files.write_file(spark, path, b"44", "overwrite")
+    pairs = files.copies_to(spark.createDataFrame([(path, "01"), (path, None)], "path string, subject string"), {"subject": F.col("subject")}, f"{tmp_path}/out/sub-{{subject}}/x.gz")
+    assert [(r.dst, r.bytes) for r in files.copy_files(pairs).collect()] == [(f"{tmp_path}/out/sub-01/x.gz", 2)]
+    assert (tmp_path / "out/sub-01/x.gz").read_bytes() == b"44"
+
+
+def test_events_groups_and_rates(spark):
+    cells = spark.createDataFrame([("p", 0, "onset", "1.5"), ("p", 0, "rt", "0.2"), ("p", 1, "onset", "x"), ("p", 1, "rt", "1"), ("p", 2, "onset", "3"), ("p", 2, "duration", "2"), ("p", 2, "kind", "go")], "path string, row int, name string, value string")
+    assert sorted((r.row, r.onset, r.duration, r.name, r.value) for r in variables.event_rows(cells).collect()) == [(0, 1.5, 0.0, "rt", "0.2"), (2, 3.0, 2.0, "kind", "go")]
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 5)], "g string, v int")
+    assert sorted((r.g, r.v) for r in variables.apply_groups(df, ["g"], "v", lambda x: x - x.mean()).collect()) == [("a", -1.0), ("a", 1.0), ("b", 0.0)]
+    s = spark.createDataFrame([(r, "c", k, float(k)) for r in (1, 2) for k in range(8)], "rec int, ch string, idx int, value double")
+    out = recordings.harmonised_rates(s, spark.createDataFrame([(1, 4.0), (2, 8.0)], "rec int, rate double"), 8.0, ["rec", "ch"])
+    assert {r.rec: r["count"] for r in out.groupBy("rec").count().collect()} == {1: 16, 2: 8}
+    assert spark.range(1).select(recordings.voxel_place((2, 3, 4), F.lit(1), F.lit(2), F.lit(3)), recordings.voxel_place((2, 3, 4), F.lit(2), F.lit(0), F.lit(0))).first() == (23, None)
+    w = datasets.window_samples(spark.createDataFrame([(1, 10.0)], "k int, d double"), "d", 4.0, 3.0, label=F.col("k") + 1, seed=3)
+    assert [(r.sample, r.label) for r in w.orderBy("sample").collect()] == [(0, 2), (1, 2), (2, 2)] and w.select("place").distinct().count() == 3
+
+
+def test_descriptions_are_checked(spark, tmp_path):
+    from tessera.sources import text
+
+    (tmp_path / "d.json").write_text('{"Name": " ", "DatasetType": "derivative"}')
+    assert sorted(r.field for r in text.description_issues(text.read_description(spark, str(tmp_path / "d.json"))).collect()) == ["BIDSVersion", "GeneratedBy", "Name"]
+    (tmp_path / "e.json").write_text('{"Name": "x", "BIDSVersion": "1.8.0"}')
+    assert text.description_issues(text.read_description(spark, str(tmp_path / "e.json"))).isEmpty()
