@@ -186,11 +186,11 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-def links(texts: DataFrame, sketched: DataFrame, near: DataFrame) -> DataFrame:
+def links(texts: DataFrame, sketched: DataFrame, near: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """u, v: verified links between the keys of texts (k, norm, row; copies repeat a key), enough to span every component.
 
     sketched: a row of sketches() for each key. near: u, v, further candidates. Words are read again by the row of a key, so
-    a text of very many copies is read once.
+    a text of very many copies is read once. scratch gets the tables that may be released once the links are written.
     """
     bands = sketched.select(F.explode("bands").alias("b"), "k", "n").where("n > 0")
     ends = bands.groupBy("b").agg(F.min("k").alias("p"), F.max("k").alias("q")).where("p != q")
@@ -211,5 +211,6 @@ def links(texts: DataFrame, sketched: DataFrame, near: DataFrame) -> DataFrame:
     z = z.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bucket = F.concat_ws(",", "b", F.least("own", "other"), F.greatest("own", "other"))
     z = z.select(bucket.alias("bucket"), "k", "c", "h")
+    scratch += [shared, ended, sets, first, stars, named]
     rest = z.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linked, "u binary, v binary")
     return first.unionByName(rest)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import OTHER_SPACE, SPACE, materialize
+from tessera.llm.common import OTHER_SPACE, SPACE, materialize, release
 
 #: Base rules.
 MIN_WORDS = 10
@@ -117,13 +117,17 @@ def depleted(docs: DataFrame, *, text_col: str = "text", host_col: str = "source
         .where(F.col("count") > LINE_SHARE * F.col("n_docs"))
         .select(counts.host.alias("a_host"), F.col("line_hash").alias("a_hash"), F.lit(True).alias("above"))
     )
-    marked = line.join(materialize(above, "above"), line.host.eqNullSafe(F.col("a_host")) & (line.line_hash == F.col("a_hash")), "left")
+    above = materialize(above, "above")
+    marked = line.join(above, line.host.eqNullSafe(F.col("a_host")) & (line.line_hash == F.col("a_hash")), "left")
     #: Each copy counts its own lines, so the shares are those of one text.
     sums = marked.groupBy("host", "text_key").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("above"), F.lit(0)).otherwise(F.col("n"))).alias("left_words"), F.count("above").alias("removed"))
     lost = sums.where("removed > 0").join(copies, sums.host.eqNullSafe(copies.host) & (sums.text_key == copies.text_key))
     few = (F.col("left_words") < MIN_WORDS * F.col("copies")) | (F.col("left_words") < KEEP_SHARE * F.col("words"))
     #: As a table its size is known before it is joined: where it is small, the documents aren't shuffled.
-    return materialize(lost.where(few).select(sums.host, sums.text_key), "depleted")
+    out = materialize(lost.where(few).select(sums.host, sums.text_key), "depleted")
+    for table in (d, copies, above):
+        release(table)
+    return out
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

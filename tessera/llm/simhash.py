@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import components, jaccard
-from tessera.llm.common import SPACE, ascii_lower, materialize, words_of
+from tessera.llm.common import SPACE, ascii_lower, materialize, release, words_of
 
 BITS = 64
 #: Words of a shingle, differing bits of a link.
@@ -298,7 +298,10 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = materialize(rows.select("id", "raw", F.unhex(F.md5("norm")).alias("k"), "norm", F.monotonically_increasing_id().alias("row")), "words")
     texts = rows.select("k", "norm", "row")
     sketched = materialize(jaccard.sketches(texts).dropDuplicates(["k"]), "sketches")
-    found = components.stars(jaccard.links(texts, sketched, _near_pairs(sketched, distance)))
+    scratch = [sketched]
+    found = components.stars(jaccard.links(texts, sketched, _near_pairs(sketched, distance), scratch))
+    for table in scratch:
+        release(table)
     named = rows.select("id", "raw", "k").join(found.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left")
     return named.withColumn("root", F.coalesce("root", "k"))
 
