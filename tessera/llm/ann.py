@@ -194,17 +194,17 @@ def _numbers(vector_col: str) -> Column:
     return F.col(vector_col).cast("array<double>")
 
 
-def _band(vector: Column) -> Column:
-    """The band of the vector's norm."""
-    most = F.array_max(F.transform(vector, F.abs))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
-    return F.floor(BANDS * (F.log2(most) + F.log2(squares) / 2)).cast("int")
+def _banded(d: DataFrame) -> DataFrame:
+    """d with width and the band of its vector's norm, whose middles are powers; the largest component is worked out before the lambda."""
+    d = d.withColumn("most", F.array_max(F.transform("vector", F.abs)))
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + (x / F.col("most")) * (x / F.col("most")))
+    return d.select(F.size("vector").alias("width"), F.floor(BANDS * (F.log2("most") + F.log2(squares) / 2) + 0.5).cast("int").alias("band"), "vector", "ids")
 
 
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """The index as a table: width, band, shard, pos, vector, ids, edges, and the shard's entry and beam at its first row."""
     d = distinct_vectors(vectors, id_col=id_col, vector_col=vector_col, k=k)
-    d = materialize(d.select(F.size("vector").alias("width"), _band(F.col("vector")).alias("band"), "vector", "ids"), "vectors")
+    d = materialize(_banded(d), "vectors")
     #: A row for each length and band, as a table, so that Spark knows its size.
     shards = materialize(d.groupBy("width", "band").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "bands")
     d = d.join(shards, ["width", "band"]).select("width", "band", F.pmod(F.xxhash64("vector"), "shards").cast("int").alias("shard"), "vector", "ids")
