@@ -215,20 +215,19 @@ def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = K
 
 def welch(s: DataFrame, n_fft: int, keys: list[str] = KEYS) -> DataFrame:
     """bin and psd: the mean power of half-overlapping windows of n_fft samples under a symmetric Hann window."""
-    names = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in keys)
 
-    def run(key, group):
+    def power(x):
         import numpy as np
-        import pandas as pd
 
-        x = group.sort_values("idx")["value"].to_numpy()
-        size = min(n_fft, len(x))
+        n = x.shape[1]
+        size = min(n_fft, n)
         win = np.hanning(size) if size > 1 else np.ones(size)
-        starts = range(0, len(x) - size + 1, max(1, size // 2))
-        power = np.mean([np.abs(np.fft.rfft(x[k : k + size] * win)) ** 2 for k in starts], axis=0) / (win**2).sum()
-        return pd.DataFrame({**dict(zip(keys, ([k] * len(power) for k in key), strict=True)), "bin": np.arange(len(power), dtype="i4"), "psd": power})
+        total, starts = 0.0, range(0, n - size + 1, max(1, size // 2))
+        for k in starts:
+            total = total + np.abs(np.fft.rfft(x[:, k : k + size] * win, axis=1)) ** 2
+        return total / len(starts) / (win**2).sum()
 
-    return s.select(*keys, "idx", "value").groupBy(*keys).applyInPandas(run, f"{names}, bin int, psd double")
+    return _per_channel(s, power, keys).withColumnsRenamed({"idx": "bin", "value": "psd"})
 
 
 def harmonised_channels(channels: DataFrame, *, union: bool = False, ignore: list[str] = ()) -> DataFrame:

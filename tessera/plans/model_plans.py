@@ -298,6 +298,15 @@ ORACLES = {
         lambda a, b: xor(((a::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, b)) AS h FROM u),
       k AS (SELECT *, row_number() OVER (ORDER BY h, subject) AS r, count(*) OVER () AS n FROM h)
       SELECT subject, label, printf('%016x', h) AS hash, CASE WHEN r <= round(n * 0.7) THEN 'train' WHEN r <= least(n, round(n * 0.7) + round(n * 0.15)) THEN 'val' ELSE 'test' END AS split FROM k""",
+    "within_session_folds": f"""WITH RECURSIVE {EVENTS_SQL.lstrip()},
+      g AS (SELECT subject, list(event_id ORDER BY event_id) AS ids, count(*) AS n FROM e GROUP BY subject HAVING count(*) >= 5),
+      s AS (
+        SELECT subject, n - 1 AS i, 4::UBIGINT AS st, range(0, n) AS spots, ids, n FROM g
+        UNION ALL
+        SELECT subject, i - 1, t, list_transform(spots, lambda x, k: CASE WHEN k - 1 = i THEN spots[j + 1] WHEN k - 1 = j THEN spots[i + 1] ELSE x END), ids, n
+        FROM (SELECT *, ((t >> 33) % (i + 1)::UBIGINT)::BIGINT AS j FROM (
+          SELECT *, ((st::UHUGEINT * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS t FROM s WHERE i > 0)))
+      SELECT subject, ids[spots[pos + 1] + 1] AS event_id, pos::BIGINT AS position, least(pos // (n // 5), 4)::INT AS fold FROM (SELECT subject, ids, n, spots, unnest(range(0, n)) AS pos FROM s WHERE i = 0)""",
     "cross_session": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), n AS (SELECT subject FROM s GROUP BY 1 HAVING count(*) > 1) SELECT a.subject, a.session, b.session AS held_out, CASE WHEN a.session = b.session THEN 'test' ELSE 'train' END AS role FROM s a JOIN s b ON a.subject = b.subject JOIN n ON n.subject = a.subject",
     "cross_subject": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run) AS session FROM e) SELECT subject AS held_out, count(*) AS n_test, (SELECT count(*) FROM s) - count(*) AS n_train FROM s GROUP BY subject",
     "subject_k_fold": f"{_E}, s AS (SELECT DISTINCT subject, weekofyear(run)::INT AS session FROM e), k AS (SELECT subject, ((row_number() OVER (ORDER BY md5('3:' || subject), subject) - 1) % 4)::INT AS fold FROM (SELECT DISTINCT subject FROM s)) SELECT subject, session, fold FROM s JOIN k USING (subject)",

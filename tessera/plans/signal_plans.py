@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import filters
 from tessera.operators import signal
 from tessera.plans import views
 from tessera.plans.views import EVENTS_SQL, SIGNAL_SQL
@@ -122,8 +123,6 @@ def harmonize_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def iir_filter(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.functions import filters
-
     b, a = filters.butter_bandpass(2, 0.1, 0.6)
     return _rounded(signal.iir(views.signal(spark, d), b.tolist(), a.tolist(), ["rec"]), "value")
 
@@ -156,7 +155,42 @@ _POWER = " + ".join(
     for _ in range(1)
 )
 
+def _lfilter_sql(x: str, b, a) -> str:
+    """The recursion over a list: the states stand first in the folded list, the outputs behind them."""
+    b, a = [float(v / a[0]) for v in b], [float(v / a[0]) for v in a]
+    n, out = len(b), f"({float(b[0])!r} * e[1] + acc[1])"
+    states = ", ".join(f"{b[k]!r} * e[1] - {a[k]!r} * {out}" + (f" + acc[{k + 1}]" if k < n - 1 else "") for k in range(1, n))
+    zero = ", ".join(["0.0::DOUBLE"] * (n - 1))
+    return f"(list_reduce([[{zero}]] || list_transform({x}, lambda v: [v]), lambda acc, e: [{states}] || acc[{n}:] || [{out}]))[{n}:]"
+
+
+def _filtfilt_sql(source: str, name: str, b, a, size: int) -> str:
+    """Tables that filter the lists v of source forward and backward into those of name."""
+    pad = min(3 * len(b), size - 1)
+    front = f"list_transform(range({pad}, 0, -1), lambda i: 2 * v[1] - v[i + 1])"
+    back = f"list_transform(range(1, {pad + 1}), lambda i: 2 * v[{size}] - v[{size} - i])"
+    return f"""{name}_a AS (SELECT rec, {front} || v || {back} AS v FROM {source}), {name}_b AS (SELECT rec, list_reverse({_lfilter_sql("v", b, a)}) AS v FROM {name}_a),
+      {name} AS (SELECT rec, list_reverse({_lfilter_sql("v", b, a)})[{pad + 1}:{pad + size}] AS v FROM {name}_b)"""
+
+
+_LISTS = f"{_S}, p AS (SELECT rec, list(value ORDER BY idx) AS v FROM s GROUP BY rec)"
+_OUT = f"SELECT rec, (unnest(range(1, len(v) + 1)) - 1)::INT AS idx, {_r('unnest(v)')} AS value FROM"
+
+
+def _notch_sql() -> str:
+    steps = [_filtfilt_sql("p" if k == 1 else f"n{k - 1}", f"n{k}", *filters.notch(10.0 * k, 64.0, 30.0), 64) for k in (1, 2, 3)]
+    return f"{_LISTS}, {', '.join(steps)} {_OUT} n3"
+
+
+def _resample_sql() -> str:
+    low = _filtfilt_sql("p", "q", *filters.butter_lowpass(8, 0.375), 64)
+    return f"""{_LISTS}, {low}, r AS (SELECT rec, list_transform(range(0, 24), lambda i: v[floor(i / 0.375)::INT + 1] * (1 - (i / 0.375 - floor(i / 0.375))) + v[least(floor(i / 0.375)::INT + 1, 63) + 1] * (i / 0.375 - floor(i / 0.375))) AS v FROM q) {_OUT} r"""
+
+
 ORACLES = {
+    "iir_filter": f"{_LISTS}, {_filtfilt_sql('p', 'q', *filters.butter_bandpass(2, 0.1, 0.6), 64)} {_OUT} q",
+    "notch_filter": _notch_sql(),
+    "resample_signal": _resample_sql(),
     "channel_stats": f"""{_S} SELECT rec, ch, {_r('avg(value)')} AS mean, {_r('coalesce(stddev_samp(value), 0)')} AS std,
       CASE WHEN count(value) >= 2 AND var_pop(value) > 0 THEN {_r('ln(var_pop(value))')} ELSE '-infinity'::DOUBLE END AS log_variance,
       {_r('avg(value * value)')} AS power, {_r('sqrt(avg(value * value))')} AS rms, {_r('max(value) - min(value)')} AS peak_to_peak, count(value) AS n FROM s GROUP BY rec, ch""",
