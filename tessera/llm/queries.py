@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
+from tessera.llm import alignment, ann, bpe, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,7 +80,15 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers for every document, with the documents that share its links."""
+    import public_tokenizers
+
+    return alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_token_alignment": op11_token_alignment,
     "op6_ann": op6_ann,
     "op1_toxicity": op1_toxicity,
     "op7_simhash": op7_simhash,
