@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, ann, bpe, fingerprints, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
+from tessera.llm import alignment, ann, bpe, fingerprints, html_text, mixing, quality, simhash, token_counts, toxicity, url_filter, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first whitened components of all."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
     return fingerprints.neighbours(_read(spark, sf_dir, "documents"))
@@ -94,6 +99,7 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
     "op13_fingerprints": op13_fingerprints,
     "op6_ann": op6_ann,
     "op1_toxicity": op1_toxicity,
