@@ -23,6 +23,8 @@ are passed on by apply().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def targets(sized: DataFrame) -> DataFrame:
 
 def rate_of(tilt: Column, size: Column, mean: Column) -> Column:
     """The rate of a document of that size; a null tilt stands for every document at the cap."""
-    return F.when(tilt.isNull(), F.lit(float(CAP))).otherwise(F.least(F.lit(float(CAP)), F.exp(F.least(tilt * size / mean, F.lit(1.0)))))
+    return F.when(tilt.isNull(), F.lit(float(CAP))).otherwise(F.least(F.lit(float(CAP)), F.exp(F.least(tilt * size / mean, F.lit(math.log(CAP) + 1.0)))))
 
 
 def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -91,6 +93,8 @@ def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
         state = materialize(state, "tilts")
         if state.where(f"NOT full AND missed > {TOLERANCE}").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"the dual isn't solved to {TOLERANCE} after {ITERATIONS} iterations")
     #: Rounded, so that the order of floating-point sums can't change a result.
     return state.select("sid", F.when(~F.col("full"), F.round("tilt", 9)).alias("tilt"), "mean")
 
@@ -133,7 +137,8 @@ def _rounded_rows(docs: DataFrame, *, id_col: str, text_col: str, source_col: st
     d = d.withColumn("key", F.xxhash64("id", "raw", "row")).withColumn("salt", F.pmod("key", F.ceil(F.col("docs") / GROUP)))
     small = d.select("id", "raw", "source", "size", "source_size", "target", "rate", "sid", "salt", "key")
     kind = ", ".join(f"{c} {small.schema[c].dataType.simpleString()}" for c in ("id", "raw", "source"))
-    return small.groupBy("sid", "salt").applyInPandas(_rounded, f"{kind}, size long, source_size long, target double, rate double, copies int")
+    #: In Arrow: pandas would turn ids into floats beside a null.
+    return small.groupBy("sid", "salt").applyInArrow(_rounded, f"{kind}, size long, source_size long, target double, rate double, copies int")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -145,11 +150,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def _rounded(group):
     """Copies of one group's documents, from the largest to the smallest."""
     import numpy as np
+    import pyarrow as pa
 
-    group = group.sort_values(["size", "key"], ascending=[False, True], kind="stable")
-    size, rate = group["size"].to_numpy(), group["rate"].to_numpy()
-    copies, owed = np.zeros(len(group), "int32"), 0.0
-    for k in range(len(group)):
+    size, rate, key = (group.column(c).to_numpy() for c in ("size", "rate", "key"))
+    copies, owed = np.zeros(len(size), "int32"), 0.0
+    for k in np.lexsort((key, -size)).tolist():
         n = size[k]
         if not n:
             copies[k] = 1
@@ -157,7 +162,7 @@ def _rounded(group):
         owed += rate[k] * n
         copies[k] = c = min(CAP, max(0, round(owed / n)))
         owed -= c * n
-    return group.assign(copies=copies)[["id", "raw", "source", "size", "source_size", "target", "rate", "copies"]]
+    return group.select(["id", "raw", "source", "size", "source_size", "target", "rate"]).append_column("copies", pa.array(copies))
 
 
 def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

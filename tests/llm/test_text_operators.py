@@ -332,3 +332,20 @@ def test_toxicity_training_and_scores_match_a_plain_dense_version(monkeypatch):
         words = t.lower().split()
         plain = off + (sum(sum(float(numbers[g]) for g in grams(w)) / len(grams(w)) for w in words) / len(words) if words else 0.0)
         assert math.isclose(z, plain, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_mixing_keeps_large_ids_beside_null_ones(spark):
+    draw = random.Random(11)
+    rows = [((1 << 60) + k if k % 150 else None, " ".join(["w"] * draw.randint(1, 80)) + f" {k}", draw.choice(["a", "b", None])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mixed = mixing.mix(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in mixed))) == sorted(str(i) for i, *_ in rows)
+    applied = mixing.apply(docs).collect()
+    assert sum(len(r.text.split()) for r in applied) == sum(r.taken for r in mixed)
+    assert {r.doc_id for r in applied} <= {i for i, *_ in rows}
+
+
+def test_mixing_raises_where_the_dual_stays_unsolved(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ITERATIONS", 4)
+    with pytest.raises(ArithmeticError, match="isn't solved"):
+        mixing.mix(docs).collect()
