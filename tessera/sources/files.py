@@ -91,6 +91,55 @@ def copy_files(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").mapInPandas(copied, "dst string, bytes long")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir (a local one where that is unset and all runs here), deleted at the end."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
+        root = sc.getCheckpointDir()
+    path = f"{root.rstrip('/')}/tessera-files/{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def write_files(contents: DataFrame, root: str) -> DataFrame:
+    """path, bytes of files written by tasks, as they are read. contents: name (below root), content (binary).
+
+    A file is written under another name and then moved, so a task that is lost and run again leaves whole files.
+    """
+
+    def written(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        parsed = urlparse(root)
+        local = parsed.scheme in ("", "file")
+        store, inner = (pafs.LocalFileSystem(), unquote(parsed.path)) if local else pafs.FileSystem.from_uri(root)
+        for b in batches:
+            paths, sizes = [], []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at, data = f"{inner.rstrip('/')}/{name}", content.as_buffer()
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                own = f"{at}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own, compression=None) as out:
+                    out.write(data)
+                store.move(own, at)
+                paths.append(f"{root.rstrip('/')}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return contents.select("name", "content").mapInArrow(written, "path string, bytes long")
+
+
 def copies_to(files: DataFrame, values: dict, pattern: str) -> DataFrame:
     """src, dst of files under the paths that a pattern gives their entities; those without a path are left out."""
     from tessera.functions.paths import build_path

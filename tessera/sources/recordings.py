@@ -10,8 +10,11 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.sources import matlab
 from tessera.sources.files import opened
 
 CHUNK_SCHEMA = "path string, channel int, label string, rate double, start bigint, values array<double>"
@@ -228,17 +231,10 @@ class RawReader(DataSourceReader):
         n, samples = len(h["channels"]), part.last - part.first
         chosen = _chosen([c for c, _ in h["channels"]], self.options)
         with opened(data) as f:
-            if h.get("DataOrientation", "MULTIPLEXED").upper() == "MULTIPLEXED":
-                f.seek(part.first * n * kind.itemsize)
-                block = np.frombuffer(f.read(samples * n * kind.itemsize), kind).reshape(-1, n).T
-                columns = {k: block[k] for k in chosen}
-            else:
-                f.seek(0, 2)
-                total = f.tell() // (kind.itemsize * n)
-                columns = {}
-                for k in chosen:
-                    f.seek((k * total + part.first) * kind.itemsize)
-                    columns[k] = np.frombuffer(f.read(samples * kind.itemsize), kind)
+            f.seek(0, 2)
+            total = f.tell() // (kind.itemsize * n)
+        block = _float_block(data, n, total, part.first, samples, h.get("DataOrientation", "MULTIPLEXED").upper() != "MULTIPLEXED", kind)
+        columns = {k: block[k] for k in chosen}
         for k, x in columns.items():
             name, resolution = h["channels"][k]
             yield part.path, k, name, h["rate"], part.first, (x.astype("f8") * resolution).tolist()
@@ -258,6 +254,195 @@ class RawSource(DataSource):
         return RawReader(self.options)
 
 
+def _scalar(x, default: float = 0.0) -> float:
+    return float(np.ravel(x)[0]) if isinstance(x, np.ndarray) and x.size else default
+
+
+def set_header(path: str) -> dict:
+    """The header of an EEGLAB data set: labels, rate, samples (of all trials), trials, where its numbers are and in what order.
+
+    The numbers are in a file beside it (float32, by samples in .fdt, by channels in .dat) or in the file itself. Fields
+    are variables of their own or those of the record EEG.
+    """
+    with opened(path) as f:
+        v = matlab.variables(f)
+    eeg = v["EEG"][0] if isinstance(v.get("EEG"), list) and v["EEG"] else v
+    n, points, trials = int(_scalar(eeg.get("nbchan"))), int(_scalar(eeg.get("pnts"))), int(_scalar(eeg.get("trials"), 1.0))
+    rate = _scalar(eeg.get("srate"))
+    if n <= 0 or points <= 0 or rate <= 0:
+        raise ValueError(f"{path}: nbchan {n}, pnts {points} and srate {rate} must be above 0")
+    places = eeg.get("chanlocs")
+    labels = [str(x.get("labels", "")) for x in places] if isinstance(places, list) else []
+    labels = labels if len(labels) == n else [f"EEG{k:03d}" for k in range(1, n + 1)]
+    data = eeg.get("data", "")
+    if not isinstance(data, str):
+        return {"labels": labels, "rate": rate, "samples": points * trials, "trials": trials, "inside": data, "by_channel": False}
+    name = data or str(eeg.get("datfile", "")) or path.rpartition("/")[2].removesuffix(".set") + ".fdt"
+    file = (path.rpartition("/")[0] + "/" if "/" in path else "") + name.replace("\\", "/").rpartition("/")[2]
+    return {"labels": labels, "rate": rate, "samples": points * trials, "trials": trials, "file": file, "by_channel": name.endswith(".dat")}
+
+
+class SetReader(DataSourceReader):
+    """Chunks of the channels of EEGLAB data sets."""
+
+    def __init__(self, options) -> None:
+        self.options = options
+        self.paths = [p for p in options["path"].split(",") if p]
+
+    def partitions(self) -> list[Range]:
+        out = []
+        for p in self.paths:
+            h = set_header(p)
+            n, inside = len(h["labels"]), h.get("inside")
+            if "file" in h:
+                with opened(h["file"]) as f:
+                    f.seek(0, 2)
+                    size = f.tell()
+                if size < 4 * n * h["samples"]:
+                    raise ValueError(f"{h['file']}: {size} bytes, but {n} channels of {h['samples']} samples")
+            a = int(float(self.options.get("start", 0)) * h["rate"] + 0.5)
+            b = min(h["samples"], int(float(self.options["end"]) * h["rate"] + 0.5)) if "end" in self.options else h["samples"]
+            #: A deflated element is inflated from its start by each task, so there is one.
+            whole = isinstance(inside, np.ndarray) or (inside is not None and inside.element is not None)
+            step = max(1, b - a) if whole else max(1, PART_BYTES // (4 * n))
+            out += [Range(p, k, min(k + step, b)) for k in range(a, b, step)]
+        return out or [Range("", 0, 0)]
+
+    def read(self, part: Range):
+        if not part.path:
+            return
+        h = set_header(part.path)
+        n, inside = len(h["labels"]), h.get("inside")
+        chosen, step = _chosen(h["labels"], self.options), max(1, PART_BYTES // (4 * n))
+        for first in range(part.first, part.last, step):
+            m = min(step, part.last - first)
+            if isinstance(inside, np.ndarray):
+                block = inside.reshape(n, -1, order="F")[:, first : first + m]
+            elif inside is not None:
+                with opened(part.path) as f:
+                    block = matlab.read_place(f, inside, first * n, m * n).reshape(-1, n).T
+            else:
+                block = _float_block(h["file"], n, h["samples"], first, m, h["by_channel"], np.dtype("<f4"))
+            for k in chosen:
+                yield part.path, k, h["labels"][k], h["rate"], first, block[k].astype("f8").tolist()
+
+
+def _float_block(path: str, n: int, total: int, first: int, m: int, by_channel: bool, kind: np.dtype) -> np.ndarray:
+    """[channel, sample] of samples [first, first + m): one seek where samples follow each other, one for each channel else."""
+    with opened(path) as f:
+        if not by_channel:
+            f.seek(first * n * kind.itemsize)
+            return np.frombuffer(f.read(m * n * kind.itemsize), kind).reshape(-1, n).T
+        out = []
+        for k in range(n):
+            f.seek((k * total + first) * kind.itemsize)
+            out.append(np.frombuffer(f.read(m * kind.itemsize), kind))
+        return np.array(out)
+
+
+class SetSource(DataSource):
+    """format("eeglab"): options path (comma-separated .set files), channels, exclude, start, end (seconds)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "eeglab"
+
+    def schema(self) -> str:
+        return CHUNK_SCHEMA
+
+    def reader(self, schema) -> SetReader:
+        return SetReader(self.options)
+
+
+def set_files(name: str, labels: list[str], rate: float, signals: np.ndarray, *, inside: bool = False, record: bool = True, deflated: bool = False, order: str = "<") -> dict[str, bytes]:
+    """The files of an EEGLAB data set of signals [channel, sample], by name: a .set, and a .fdt where its numbers aren't inside."""
+    x = np.asarray(signals, "f4")
+    eeg = {"setname": name, "nbchan": float(len(x)), "trials": 1.0, "pnts": float(x.shape[1]), "srate": float(rate), "data": x if inside else f"{name}.fdt"}
+    eeg["chanlocs"] = [{"labels": n, "X": float(k)} for k, n in enumerate(labels)]
+    out = {f"{name}.set": matlab.mat_bytes({"EEG": [eeg]} if record else eeg, deflated=deflated, order=order)}
+    return out if inside else out | {f"{name}.fdt": x.astype("<f4").tobytes(order="F")}
+
+
+def raw_files(name: str, labels: list[str], rate: float, signals: np.ndarray, *, by_channel: bool = False, kind: str = "IEEE_FLOAT_32", resolution: float = 1.0) -> dict[str, bytes]:
+    """The header and data file of a raw recording of signals [channel, sample], by name."""
+    channels = "".join(f"Ch{k}={n.replace(',', chr(92) + '1')},,{resolution},uV\n" for k, n in enumerate(labels, 1))
+    head = f"Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile={name}.eeg\nDataFormat=BINARY\nDataOrientation={'VECTORIZED' if by_channel else 'MULTIPLEXED'}\n"
+    head += f"NumberOfChannels={len(labels)}\nSamplingInterval={1e6 / rate}\n[Binary Infos]\nBinaryFormat={kind}\n[Channel Infos]\n{channels}"
+    x = np.asarray(signals, "f8") / resolution
+    x = (x if RawReader.TYPES[kind][1] == "f" else np.rint(x)).astype(RawReader.TYPES[kind])
+    return {f"{name}.vhdr": head.encode(), f"{name}.eeg": x.tobytes(order="C" if by_channel else "F")}
+
+
+#: Endings of recordings and the readers of their formats.
+READERS = {".edf": lambda o: EdfReader(o, False), ".bdf": lambda o: EdfReader(o, False), ".vhdr": RawReader, ".set": SetReader}
+
+
+def _reader(path: str, options) -> DataSourceReader:
+    ending = path[path.rfind(".") :].lower()
+    if ending not in READERS:
+        raise ValueError(f"no reader of recordings for {path}")
+    return READERS[ending]({**options, "path": path})
+
+
+class RecordingReader(DataSourceReader):
+    """Each file's own ranges, by the reader of its format."""
+
+    def __init__(self, options) -> None:
+        self.options = dict(options)
+        self.paths = [p for p in options["path"].split(",") if p]
+
+    def partitions(self) -> list[Range]:
+        return [r for p in self.paths for r in _reader(p, self.options).partitions() if r.path] or [Range("", 0, 0)]
+
+    def read(self, part: Range):
+        if part.path:
+            yield from _reader(part.path, self.options).read(part)
+
+
+class RecordingSource(DataSource):
+    """format("recording"): EDF, BDF, BrainVision and EEGLAB files as one table; options path, channels, exclude, start, end."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "recording"
+
+    def schema(self) -> str:
+        return CHUNK_SCHEMA
+
+    def reader(self, schema) -> RecordingReader:
+        return RecordingReader(self.options)
+
+
+def read_recordings(files: DataFrame, **options: str) -> DataFrame:
+    """The chunks of all recordings among files (column path), of any format; other files are left out.
+
+    Tasks read the headers and plan the ranges, which are then dealt to tasks that read them: for folders with more files
+    than a driver should open.
+    """
+
+    def planned(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [r for p in b["path"] for r in _reader(p, options).partitions() if r.path]
+            yield pd.DataFrame({"path": [r.path for r in found], "first": [r.first for r in found], "last": [r.last for r in found]})
+
+    def chunks(batches):
+        import pyarrow as pa
+
+        names = ["path", "channel", "label", "rate", "start", "values"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+        for b in batches:
+            for row in b.to_pylist():
+                rows = list(_reader(row["path"], options).read(Range(row["path"], row["first"], row["last"])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    known = files.where(F.lower("path").rlike("[.](edf|bdf|vhdr|set)$")).select("path")
+    ranges = known.mapInPandas(planned, "path string, first long, last long")
+    return ranges.repartition(F.xxhash64("path", "first")).mapInArrow(chunks, CHUNK_SCHEMA)
+
+
 # Codes of the numeric types of volume images.
 VOXEL_TYPES = {2: "<u1", 4: "<i2", 8: "<i4", 16: "<f4", 64: "<f8", 256: "<i1", 512: "<u2", 768: "<u4", 1024: "<i8", 1280: "<u8"}
 
@@ -351,5 +536,5 @@ class NiftiSource(DataSource):
 
 def register(spark) -> None:
     """Makes the formats known to a session."""
-    for source in (EdfSource, EdfAnnotationSource, RawSource, NiftiSource):
+    for source in (EdfSource, EdfAnnotationSource, RawSource, SetSource, RecordingSource, NiftiSource):
         spark.dataSource.register(source)
