@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -40,16 +43,97 @@ def notch(hertz: float, rate: float, quality: float) -> tuple[np.ndarray, np.nda
     return b * (a.sum() / b.sum()), a
 
 
-def lfilter(b, a, x) -> np.ndarray:
-    """The recursion from rest along the last axis, transposed direct form II; all channels of a block take a step together."""
+def _even(b, a) -> tuple[np.ndarray, np.ndarray]:
+    """b and a of one length, divided by a[0]."""
     n = max(len(a), len(b))
-    b, a = np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
-    x = np.asarray(x, float)
-    y, state = np.empty(x.shape[::-1]), np.zeros((n, *x.shape[:-1][::-1]))
+    return np.pad(np.asarray(b, float), (0, n - len(b))) / a[0], np.pad(np.asarray(a, float), (0, n - len(a))) / a[0]
+
+
+def _steps(b, a, x, state) -> tuple[np.ndarray, np.ndarray]:
+    """y and the state after it, transposed direct form II; all signals [..., sample] take a step together. state: [order, ...]."""
+    y = np.empty(x.shape[::-1])
+    state = np.concatenate([state, np.zeros((1, *state.shape[1:]))])
     for i, v in enumerate(x.T):
         out = y[i] = b[0] * v + state[0]
         state[:-1] = np.multiply.outer(b[1:], v) - np.multiply.outer(a[1:], out) + state[1:]
-    return y.T
+    return y.T, state[:-1]
+
+
+def lfilter(b, a, x) -> np.ndarray:
+    """The recursion from rest along the last axis."""
+    b, a = _even(b, a)
+    x = np.asarray(x, float)
+    return _steps(b, a, x, np.zeros((len(a) - 1, *x.shape[:-1][::-1])))[0]
+
+
+def transfer(b, a, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n samples without input make of a state: the state after them, and that of a backward pass over their output.
+
+    Both are matrices, from powers of one step's: n steps are split by the bits of n. Powers of a filter with close poles
+    grow far before they fall, so they are worked out in whole numbers with PLACES binary places.
+    """
+    b, a = _even(b, a)
+    return _transfer(tuple(b.tolist()), tuple(a.tolist()), n)
+
+
+PLACES = 256
+
+
+@lru_cache(256)
+def _transfer(b: tuple, a: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = len(a) - 1
+    if not order:
+        return np.zeros((0, 0)), np.zeros((0, 0))
+    whole = np.vectorize(lambda x: int(Fraction(x) * (1 << PLACES)), otypes=[object])
+    back_to_float = np.vectorize(lambda x: float(Fraction(x, 1 << PLACES)), otypes=[float])
+
+    def times(p, q):
+        return (p @ q) >> PLACES
+
+    one = whole(np.eye(order, k=1))
+    one[:, 0] -= whole(np.array(a[1:]))
+    gain = whole(np.array(b[1:])) - ((whole(np.array(a[1:])) * int(Fraction(b[0]) * (1 << PLACES))) >> PLACES)
+    step_both = np.full((order, order), 0, object)
+    step_both[:, 0] = gain
+    step_power, power, both = one, whole(np.eye(order)), np.full((order, order), 0, object)
+    while n:
+        if n & 1:
+            both = both + times(times(power, step_both), power)
+            power = times(power, step_power)
+        step_both = step_both + times(times(step_power, step_both), step_power)
+        step_power = times(step_power, step_power)
+        n >>= 1
+    return back_to_float(power), back_to_float(both)
+
+
+#: Samples that lfilter_from takes one by one; all stretches of a longer signal take them together.
+STRETCH = 512
+
+
+def lfilter_from(b, a, x, state) -> tuple[np.ndarray, np.ndarray]:
+    """y and the state after it of signals [signal, sample] that begin in states [signal, order].
+
+    Long signals are cut in stretches that are filtered from rest together; then each stretch's true state follows from
+    the one before, and what that state adds is known for all samples.
+    """
+    b, a = _even(b, a)
+    x, state = np.asarray(x, float), np.asarray(state, float)
+    m, order = x.shape[1] // STRETCH, len(a) - 1
+    if m < 4 or not order:
+        y, after = _steps(b, a, x, state.T.copy())
+        return y, after.T
+    parts = x[:, : m * STRETCH].reshape(-1, STRETCH)
+    y, gained = _steps(b, a, parts, np.zeros((order, len(parts))))
+    y, gained = y.reshape(len(x), m, STRETCH), gained.T.reshape(len(x), m, order)
+    power = transfer(b, a, STRETCH)[0]
+    free = _steps(b, a, np.zeros((order, STRETCH)), np.eye(order))[0]
+    begun = np.empty((len(x), m, order))
+    for k in range(m):
+        begun[:, k] = state
+        state = state @ power.T + gained[:, k]
+    y = (y + begun @ free).reshape(len(x), -1)
+    rest, after = _steps(b, a, x[:, m * STRETCH :], state.T.copy())
+    return np.concatenate([y, rest], axis=1), after.T
 
 
 def filtfilt(b, a, x) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Operators on sampled signals in long form: rec, ch, idx, value.
 
 Statistics are aggregations, normalisations and references are windows, epochs are range joins on sample
-numbers. Only recursive filters and the spectrum, which carry state along a channel, run in Arrow groups, on
-whole channels of a recording, many at once.
+numbers. Only recursive filters and the spectrum, which carry state along a channel, run in numpy, on blocks of
+channels, many at once: no task holds more of a channel than BLOCK samples.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import filters
+from tessera.sources import files
 
 KEYS = ["rec", "ch"]
 EPSILON = 2.220446049250313e-16
@@ -150,12 +151,18 @@ def convolve(a: Column, b: Column) -> Column:
     return F.transform(a, value)
 
 
-def _per_channel(s: DataFrame, f: Callable, keys: list[str]) -> DataFrame:
-    """f of the samples of channels (a row each, of one length); idx follows from the lengths.
+#: Samples that a task holds of a channel.
+BLOCK = 1 << 16
 
-    Channels are whole in a task, in order; those of a batch that are equally long are worked on together.
+
+def _per_channel(s: DataFrame, f: Callable, keys: list[str], *, places: bool = False) -> DataFrame:
+    """idx, value (and weight) that f makes of the samples of channels, a row of an array each.
+
+    f gets channels that are equally long, and with places the idx that they all begin at; it returns their values (idx
+    then follows from the lengths) or a dictionary of arrays. Rows of one key stand together in a task, in order.
     """
     names = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in keys)
+    whole = s.schema["idx"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
@@ -168,66 +175,197 @@ def _per_channel(s: DataFrame, f: Callable, keys: list[str]) -> DataFrame:
             new[1:] = (rows[keys].iloc[1:].to_numpy() != rows[keys].iloc[:-1].to_numpy()).any(axis=1)
             starts = np.flatnonzero(new)
             sizes, value = np.diff(np.append(starts, len(rows))), rows["value"].to_numpy()
-            for n in np.unique(sizes):
-                at = starts[sizes == n]
-                out = f(value[at[:, None] + np.arange(n)])
-                named = {k: np.repeat(rows[k].to_numpy()[at], out.shape[1]) for k in keys}
-                yield pd.DataFrame({**named, "idx": np.tile(np.arange(out.shape[1], dtype="i4"), len(at)), "value": out.ravel()})
-
-        held = None
+            firsts = rows["idx"].to_numpy()[starts] if places else np.zeros(len(starts), "i8")
+            for first, n in np.unique(np.stack([firsts, sizes], axis=1), axis=0).tolist():
+                at = starts[(sizes == n) & (firsts == first)]
+                out = value[at[:, None] + np.arange(n)]
+                out = f(out, first) if places else f(out)
+                out = out if isinstance(out, dict) else {"value": out}
+                width = out["value"].shape[1]
+                if "idx" not in out:
+                    out = {"idx": np.tile(np.arange(width), (len(at), 1)), **out}
+                named = {k: np.repeat(rows[k].to_numpy()[at], width) for k in keys}
+                yield pd.DataFrame({**named, **{k: out[k].ravel() for k in ("idx", "value", "weight") if k in out}})
+
+        held: list = []
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
+            if not len(batch):
                 continue
-            same = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            yield from done(rows.iloc[:cut])
-            held = rows.iloc[cut:].reset_index(drop=True)
-        if held is not None:
-            yield from done(held)
+            same = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(batch) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut or (held and not (batch[keys].iloc[0] == held[-1][keys].iloc[-1]).all()):
+                yield from done(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(batch.iloc[cut:])
+        if held:
+            yield from done(pd.concat(held, ignore_index=True))
 
     dealt = s.select(*keys, "idx", "value").repartition(*keys).sortWithinPartitions(*keys, "idx")
-    return dealt.mapInPandas(run, f"{names}, idx int, value double")
+    weight = ", weight double" if getattr(f, "weighs", False) else ""
+    return dealt.mapInPandas(run, f"{names}, idx {whole}, value double{weight}")
+
+
+def _is_long(s: DataFrame) -> bool:
+    """Whether a channel may have more samples than a block: one aggregate of the samples' numbers."""
+    low, high = s.agg(F.min("idx"), F.max("idx")).first()
+    return low is not None and high - low >= BLOCK
+
+
+def _kept(s: DataFrame) -> DataFrame:
+    """s as a table in the shared folder, where several passes read it."""
+    path = files.scratch(s.sparkSession, "signal")
+    schema = s.schema
+    s.write.parquet(path)
+    return s.sparkSession.read.schema(schema).parquet(path)
+
+
+def _filtered(s: DataFrame, stages: list, keys: list[str], zero_phase: bool = True) -> DataFrame:
+    """value after filters b, a in turn. Channels longer than a block are filtered block by block, with the same result."""
+
+    def whole(x):
+        for b, a in stages:
+            x = (filters.filtfilt if zero_phase else filters.lfilter)(b, a, x)
+        return x
+
+    if not _is_long(s):
+        return _per_channel(s, whole, keys)
+    for k, (b, a) in enumerate(stages):
+        s = _by_blocks(_kept(s) if k else s, b, a, keys, zero_phase)
+    return s
+
+
+def _by_blocks(s: DataFrame, b, a, keys: list[str], zero_phase: bool) -> DataFrame:
+    """One filter, forward or forward and backward, with blocks as groups of their own.
+
+    As the filter is linear, a block from rest tells how it changes any state: two small states a block, forward and
+    backward, are carried through the channel, from its ends' reflections on; a second pass filters each block from its
+    true states.
+    """
+    import numpy as np
+
+    b, a = filters._even(b, a)
+    order, edge = len(a) - 1, 3 * len(a) + 1
+    width, prefix = 2 + 2 * order + 2 * edge, 1 + 2 * order
+    cut = s.select(*keys, F.floor(F.col("idx") / BLOCK).alias("_block"), F.col("idx").cast("long").alias("idx"), "value")
+
+    def states(x):
+        """n, both states after it from rest, and the samples at both ends (those at the right from the last on)."""
+        rest = np.zeros((len(x), order))
+        y, forward = filters.lfilter_from(b, a, x, rest)
+        backward = filters.lfilter_from(b, a, y[:, ::-1], rest)[1]
+        n = min(edge, x.shape[1])
+        ends = np.full((len(x), 2 * edge), np.nan)
+        ends[:, :n], ends[:, edge : edge + n] = x[:, :n], x[:, ::-1][:, :n]
+        return np.concatenate([np.full((len(x), 1), x.shape[1]), np.zeros((len(x), 1)), forward, backward, ends], axis=1)
+
+    def carried(rows):
+        """The samples before each block and its states at both ends, for channels of equally many blocks."""
+        blocks = rows.reshape(len(rows), -1, width)
+        out, at = np.empty((len(rows), blocks.shape[1], prefix)), np.empty((len(rows), blocks.shape[1]), "i8")
+        for c, channel in enumerate(blocks):
+            at[c] = channel[:, 1]
+            sizes = channel[:, 0].astype(int)
+            forward, backward = channel[:, 2 : 2 + order], channel[:, 2 + order : 2 + 2 * order]
+            left, right = channel[:, -2 * edge : -edge], channel[::-1, -edge:]
+            head, tail = (np.append(v[~np.isnan(v)], np.nan)[:edge] if np.isnan(v).all() else v[~np.isnan(v)][:edge] for v in (left, right))
+            pad = min(edge - 1, int(sizes.sum()) - 1) if zero_phase else 0
+            state = filters.lfilter_from(b, a, (2 * head[0] - head[1 : pad + 1][::-1])[None], np.zeros((1, order)))[1][0]
+            out[c, :, 0] = np.cumsum(sizes) - sizes
+            moved = {n: filters.transfer(b, a, n) for n in set(sizes.tolist())}
+            for k, n in enumerate(sizes.tolist()):
+                out[c, k, 1 : 1 + order] = state
+                state = moved[n][0] @ state + forward[k]
+            beyond = filters.lfilter_from(b, a, (2 * tail[0] - tail[1 : pad + 1])[None], state[None])[0]
+            state = filters.lfilter_from(b, a, beyond[:, ::-1], np.zeros((1, order)))[1][0]
+            for k in range(len(sizes) - 1, -1, -1):
+                out[c, k, 1 + order :] = state
+                power, back = moved[int(sizes[k])]
+                state = power @ state + backward[k] + back @ out[c, k, 1 : 1 + order]
+        return {"idx": (at[:, :, None] * prefix + np.arange(prefix)).reshape(len(rows), -1), "value": out.reshape(len(rows), -1)}
+
+    def final(x):
+        start, forward, backward, x = x[:, 0], x[:, 1 : 1 + order], x[:, 1 + order : prefix], x[:, prefix:]
+        y = filters.lfilter_from(b, a, x, forward)[0]
+        if zero_phase:
+            y = filters.lfilter_from(b, a, y[:, ::-1], backward)[0][:, ::-1]
+        return {"idx": start.astype("i8")[:, None] + np.arange(x.shape[1]), "value": y}
+
+    found = _per_channel(cut, states, [*keys, "_block"])
+    found = found.select(*keys, (F.col("_block") * width + F.col("idx")).alias("idx"), F.when(F.col("idx") == 1, F.col("_block").cast("double")).otherwise(F.col("value")).alias("value"))
+    begun = _per_channel(found, carried, keys)
+    begun = begun.select(*keys, F.floor(F.col("idx") / prefix).alias("_block"), (F.pmod("idx", F.lit(prefix)) + (F.floor(F.col("idx") / prefix) * BLOCK - prefix)).alias("idx"), "value")
+    out = _per_channel(cut.unionByName(begun), final, [*keys, "_block"])
+    return out.select(*keys, F.col("idx").cast(s.schema["idx"].dataType).alias("idx"), "value")
 
 
 def iir(s: DataFrame, b: list[float], a: list[float], keys: list[str] = KEYS, *, zero_phase: bool = True) -> DataFrame:
     """value filtered forward, or forward and backward."""
-    return _per_channel(s, lambda x: (filters.filtfilt if zero_phase else filters.lfilter)(b, a, x), keys)
+    return _filtered(s, [(b, a)], keys, zero_phase)
 
 
 def notch(s: DataFrame, hertz: float, rate: float, quality: float = 30.0, keys: list[str] = KEYS) -> DataFrame:
     """value without a frequency and its harmonics below half the rate."""
+    harmonics = [hertz * k for k in range(1, int(rate / 2 / hertz) + 2) if hertz * k < rate / 2]
+    return _filtered(s, [filters.notch(h, rate, quality) for h in harmonics], keys) if harmonics else s.select(*keys, "idx", "value")
 
-    def run(x):
-        k = 1
-        while hertz * k < rate / 2:
-            x = filters.filtfilt(*filters.notch(hertz * k, rate, quality), x)
-            k += 1
-        return x
 
-    return _per_channel(s, run, keys)
+def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = KEYS) -> DataFrame:
+    """The signal at another rate: low-passed if that is lower, interpolated linearly. Samples are numbered from 0 on."""
+    if not _is_long(s) or old_rate <= 0 or new_rate <= 0 or abs(old_rate - new_rate) < 1e-10:
+        return _per_channel(s, lambda x: filters.resample(x, old_rate, new_rate), keys)
+    ratio, kind = new_rate / old_rate, s.schema["idx"].dataType
+    if ratio < 1:
+        s = _kept(_by_blocks(s, *filters.butter_lowpass(8, min(0.99, ratio)), keys, True))
+
+    def between(x, first):
+        """The new samples from the first sample of a block to the one before the next block's first."""
+        import numpy as np
 
+        n = min(x.shape[1], BLOCK)
+        i = np.arange(max(0, int(first * ratio) - 1), int((first + n) * ratio) + 2)
+        at = i / ratio
+        own = (at.astype("i8") >= first) & (at.astype("i8") < first + n)
+        i, at = i[own], at[own] - first
+        low = at.astype("i8")
+        high, part = np.minimum(low + 1, x.shape[1] - 1), at - low
+        return {"idx": np.tile(i, (len(x), 1)), "value": x[:, low] * (1 - part) + x[:, high] * part}
 
-def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = KEYS) -> DataFrame:
-    """The signal at another rate: low-passed if that is lower, interpolated linearly."""
-    return _per_channel(s, lambda x: filters.resample(x, old_rate, new_rate), keys)
+    block = F.floor(F.col("idx") / BLOCK)
+    #: A block's first sample is the end of the one before, too.
+    shared = F.when((F.col("idx") % BLOCK == 0) & (F.col("idx") > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    out = _per_channel(s.select(*keys, F.col("idx").cast("long").alias("idx"), "value", F.explode(shared).alias("_block")), between, [*keys, "_block"], places=True).drop("_block")
+    n = s.groupBy(*keys).agg(F.floor((F.max("idx") + 1) * ratio + 0.5).alias("_n"))
+    return out.join(n, keys).where(F.col("idx") < F.col("_n")).select(*keys, F.col("idx").cast(kind).alias("idx"), "value")
 
 
 def welch(s: DataFrame, n_fft: int, keys: list[str] = KEYS) -> DataFrame:
-    """bin and psd: the mean power of half-overlapping windows of n_fft samples under a symmetric Hann window."""
+    """bin and psd: the mean power of half-overlapping windows of n_fft samples under a symmetric Hann window.
 
-    def power(x):
+    Blocks hold the windows that begin in them; samples are numbered from 0 on. A channel shorter than a window is one.
+    """
+    step = max(1, n_fft // 2)
+    block = max(3, BLOCK // step) * step
+
+    def power(x, first):
         import numpy as np
 
         n = x.shape[1]
         size = min(n_fft, n)
+        bins = size // 2 + 1
+        if first and n < n_fft:
+            return {"value": np.zeros((len(x), 0)), "weight": np.zeros((len(x), 0))}
         win = np.hanning(size) if size > 1 else np.ones(size)
-        total, starts = 0.0, range(0, n - size + 1, max(1, size // 2))
+        total, starts = np.zeros((len(x), bins)), range(0, min(n - size + 1, block), max(1, size // 2))
         for k in starts:
             total = total + np.abs(np.fft.rfft(x[:, k : k + size] * win, axis=1)) ** 2
-        return total / len(starts) / (win**2).sum()
-
-    return _per_channel(s, power, keys).withColumnsRenamed({"idx": "bin", "value": "psd"})
+        return {"value": total / (win**2).sum(), "weight": np.full((len(x), bins), float(len(starts)))}
+
+    power.weighs = True
+    own = F.floor(F.col("idx") / block)
+    held = F.when((F.col("idx") % block < n_fft) & (F.col("idx") >= block), F.array(own, own - 1)).otherwise(F.array(own))
+    cut = s.select(*keys, "idx", "value", F.explode(held).alias("_block"))
+    sums = _per_channel(cut, power, [*keys, "_block"], places=True)
+    return sums.groupBy(*keys, F.col("idx").alias("bin")).agg((F.sum("value") / F.sum("weight")).alias("psd"))
 
 
 def harmonised_channels(channels: DataFrame, *, union: bool = False, ignore: list[str] = ()) -> DataFrame:
