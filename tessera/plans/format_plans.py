@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans import views
 from tessera.plans.signal_plans import _r, _rounded
-from tessera.sources import files, recordings
+from tessera.plans.views import EVENTS_SQL
+from tessera.operators import datasets
+from tessera.sources import files, headers, images, recordings, text
 
 #: Vectors that make up a recording, a channel each; samples of a second.
 CHANNELS, RATE = 32, 16
@@ -73,7 +75,169 @@ def mixed_recordings(spark: SparkSession, d: str) -> DataFrame:
     return _samples(recordings.read_recordings(files.listing(spark, root), exclude="C3,C30"))
 
 
-QUERIES = {f.__name__: f for f in (edf_recordings, brainvision_recordings, eeglab_recordings, mixed_recordings)}
+def _volumes(rec: int, labels: list[str], x: np.ndarray) -> dict[str, bytes]:
+    """The channels as 4 x 4 x 4 voxels, a volume each."""
+    data = x.T.reshape(4, 4, 4, -1, order="F").astype("f4")
+    if rec % 5 == 4:
+        return recordings.nifti_files(str(rec), np.rint(data * 1000).astype("i2"), slope=0.001, inter=0.5)
+    return recordings.nifti_files(str(rec), data, pair=rec % 5 in (1, 2), packed=rec % 5 in (2, 3), two=rec % 2 == 1)
+
+
+def nifti_volumes(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d, "nifti", _volumes)
+    v = recordings.read_volumes(files.listing(spark, root))
+    return _rounded(v.select(F.regexp_extract("path", r"(\d+)[.]\w+([.]gz)?$", 1).cast("long").alias("rec"), "t", F.posexplode("voxels").alias("voxel", "value")), "value")
+
+
+def _image(rec: int, labels: list[str], x: np.ndarray) -> dict[str, bytes]:
+    """The channels as rows of pixels: floats, or whole numbers of two bytes in strips, tiles or packed."""
+    how = ({}, {"rows": 5, "order": ">"}, {"tile": 16, "compression": 8, "predictor": 2}, {"rows": 3, "compression": 32773, "big": True})[rec % 4]
+    page = x.astype("f4") if rec % 4 == 0 else np.rint((x + 4) * 8000).astype("u2")
+    name = f'<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image Name="rec {rec}"><Pixels SizeX="{page.shape[1]}" SizeY="{page.shape[0]}" SizeC="1" PhysicalSizeX="0.5" Type="{page.dtype}"><Channel Name="{labels[0]}"/></Pixels></Image></OME>'
+    return {f"{rec}.ome.tif": images.tiff_bytes([page, page[:1]], description=name if rec % 3 else "", **how)}
+
+
+def tiff_pixels(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d, "tiff", _image)
+    b = images.read_blocks(files.listing(spark, root)).where("page = 0")
+    rec = F.regexp_extract("path", r"(\d+)[.]ome", 1).cast("long").alias("rec")
+    p = b.select(rec, "x", "y", "width", F.posexplode("values").alias("pos", "value"))
+    return _rounded(p.select("rec", (F.col("y") + F.expr("pos div width")).alias("y"), (F.col("x") + F.col("pos") % F.col("width")).alias("x"), "value"), "value")
+
+
+def ome_pages(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d, "ome", _image)
+    pages = images.read_pages(files.listing(spark, root))
+    meta = pages.select(F.regexp_extract("path", r"(\d+)[.]ome", 1).cast("long").alias("rec"), "page", "width", "height", "bits", "format", *images.ome(F.col("description")))
+    return meta.select("rec", "page", "width", "height", "bits", "format", "name", "size_x", "size_y", "physical_size_x", "pixel_type", F.get("channel_names", 0).alias("channel"))
+
+
+def _by_nation(spark: SparkSession, d: str, name: str, build: Callable) -> str:
+    """The folder with the file that build(nation, customers) makes of each nation's customers."""
+    root = files.scratch(spark, name)
+
+    def made(key, group):
+        import pandas as pd
+
+        return pd.DataFrame([build(int(key[0]), group.sort_values("c_custkey"))], columns=["name", "content"])
+
+    c = views.read(spark, d, "customer").select("c_nationkey", "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+    files.write_files(c.groupBy("c_nationkey").applyInPandas(made, "name string, content binary"), root).agg(F.sum("bytes")).collect()
+    return root
+
+
+def _nation() -> Column:
+    return F.regexp_extract("path", r"(\d+)[.][\w.]+$", 1).cast("long").alias("nation")
+
+
+def ctf_channels(spark: SparkSession, d: str) -> DataFrame:
+    def build(nation, c):
+        channels = [(f"M{k}-1706", (5, 9, 11, 0)[k % 4], bal) for k, bal in zip(c["c_custkey"], c["c_acctbal"], strict=True)]
+        return f"{nation}.res4", headers.ctf_bytes(channels, samples=100 + nation, trials=nation + 1, rate=600.0, run="run " * nation, filters=nation % 3)
+
+    h = headers.read_ctf(files.listing(spark, _by_nation(spark, d, "ctf", build)))
+    return h.select(_nation(), "n_channels", "n_samples", "n_trials", "rate", "channel", "name", "kind", F.col("q_gain").alias("gain"))
+
+
+def cifti_models(spark: SparkSession, d: str) -> DataFrame:
+    def build(nation, c):
+        models, at = [], 0
+        for k, segment in zip(c["c_custkey"].tolist(), c["c_mktsegment"], strict=True):
+            surface = f' SurfaceNumberOfVertices="{k + 1000}"' if k % 2 else ""
+            models.append(f'<BrainModel IndexOffset="{at}" IndexCount="{k}" ModelType="CIFTI_MODEL_TYPE_{"SURFACE" if k % 2 else "VOXELS"}" BrainStructure="CIFTI_STRUCTURE_{segment}"{surface}><VertexIndices>0 1</VertexIndices></BrainModel>')
+            at += k
+        xml = f'<CIFTI Version="2"><Matrix><MatrixIndicesMap AppliesToMatrixDimension="1" IndicesMapToDataType="CIFTI_INDEX_TYPE_BRAIN_MODELS">{"".join(models)}</MatrixIndicesMap></Matrix></CIFTI>'
+        return f"{nation}.dscalar.nii", headers.cifti_bytes([1, 1, 1, 1, 1, at], xml, intent=3006, other=b"x" * nation)
+
+    return headers.brain_models(headers.read_cifti(files.listing(spark, _by_nation(spark, d, "cifti", build)))).select(_nation(), "model", "first", "count", "type", "structure", "surface_vertices")
+
+
+def gifti_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    def build(nation, c):
+        array = '<DataArray Intent="{}" DataType="16" Dim0="{}" Dim1="3" Encoding="ASCII" Endian="LittleEndian"><Data>{}</Data></DataArray>'
+        data = " ".join(map(str, c["c_acctbal"]))
+        own = "".join(f"<MD><Name>s{k}</Name><Value>{s}</Value></MD>" for k, s in enumerate(c["c_mktsegment"][:3]))
+        xml = f'<?xml version="1.0"?><GIFTI Version="1.0"><MetaData>{own}</MetaData>{array.format("NIFTI_INTENT_POINTSET", len(c), data)}{array.format(1009, nation, data) if nation % 2 else ""}</GIFTI>'
+        return f"{nation}.surf.gii", xml.encode()
+
+    g = headers.read_gifti(files.listing(spark, _by_nation(spark, d, "gifti", build)))
+    return g.select(_nation(), "n_arrays", "n_vertices", "n_faces", F.try_element_at("metadata", F.lit("s0")).alias("first_segment"), F.size("metadata").alias("n_metadata"))
+
+
+def events_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as tab-separated text and read back."""
+    path = files.scratch(spark, "events-tsv")
+    e = views.events(spark, d).withColumn("duration", F.when(F.col("event_id") % 3 > 0, F.col("duration"))).withColumn("trial_type", F.when(F.col("event_id") % 5 > 0, F.col("trial_type")))
+    text.write_tsv(e.select("onset", "duration", "trial_type", "event_id", "subject"), path)
+    return text.read_events(spark, path).select(F.col("extra.event_id").cast("long").alias("event_id"), F.col("extra.subject").cast("long").alias("subject"), "onset", "duration", "trial_type")
+
+
+def gradient_files(spark: SparkSession, d: str) -> DataFrame:
+    """Values and vectors written as text files, three vectors of each customer, and read back as one table."""
+    root = files.scratch(spark, "gradients")
+    c = views.read(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey"))).alias("a"))
+    b = F.array_join(F.transform("a", lambda x: (x.c_custkey % 3 * 1000).cast("string")), " ")
+    row = lambda k: F.array_join(F.transform("a", lambda x: F.when(x.c_custkey % 3 == k, "1").otherwise("0")), " ")
+    made = c.select(F.inline(F.array(F.struct(F.format_string("sub-%d_dwi.bval", "c_nationkey").alias("name"), b.cast("binary").alias("content")), F.struct(F.format_string("sub-%d_dwi.bvec", "c_nationkey").alias("name"), F.concat_ws("\n", row(0), row(1), row(2)).cast("binary").alias("content")))))
+    files.write_files(made, root).agg(F.sum("bytes")).collect()
+    lines = spark.read.text(root, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"sub-(\d+)_dwi", 1).cast("long").alias("nation"), F.input_file_name().endswith("bval").alias("is_value"), "value")
+    pairs = lines.groupBy("nation").agg(F.max(F.when(F.col("is_value"), F.col("value"))).alias("b"), F.max(F.when(~F.col("is_value"), F.col("value"))).alias("v"))
+    g = pairs.select("nation", text.gradients(F.col("b"), F.col("v")).alias("g"))
+    return g.select("nation", *text.gradient_summary(F.col("g")))
+
+
+def sidecar_files(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON file for each part, some damaged, read back as tags."""
+    root = files.scratch(spark, "sidecars")
+    p = views.read(spark, d, "part")
+    content = F.when(F.col("p_partkey") % 7 == 0, F.lit("{")).otherwise(F.to_json(F.struct(F.col("p_size").alias("SliceCount"), F.col("p_brand").alias("Manufacturer"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("SeriesDescription"))))
+    files.write_files(p.select(F.format_string("p%d.json", "p_partkey").alias("name"), content.cast("binary").alias("content")), root).agg(F.sum("bytes")).collect()
+    tags = text.sidecar_tags(text.read_sidecars(spark, root))
+    return tags.select(F.regexp_extract("path", r"p(\d+)[.]json$", 1).cast("long").alias("part"), "key", "value")
+
+
+def results_files(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark results, a row of each order, written as CSV and appended, and as Parquet; read back and compared in one table."""
+    o = views.read(spark, d, "orders")
+    r = o.select(
+        F.lit("d, 1").alias("dataset"), F.col("o_custkey").cast("string").alias("subject"), F.lit(None).cast("string").alias("session"), F.col("o_orderpriority").alias("pipeline"), F.lit('a "b"').alias("paradigm"),
+        F.lit("within").alias("eval_type"), F.col("o_totalprice").cast("double").alias("score"), F.lit("accuracy").alias("scoring"), F.lit(0.5).alias("time_seconds"), *[F.col("o_orderkey").alias(c) for c in ("n_train", "n_test", "n_channels", "n_classes", "fold")], F.col("o_orderstatus").alias("notes"),
+    )
+    csv, parquet = files.scratch(spark, "results-csv"), files.scratch(spark, "results-parquet")
+    datasets.write_results(r.where("n_train % 2 = 0"), csv)
+    datasets.write_results(r.where("n_train % 2 = 1"), csv)
+    datasets.write_results(r, parquet, form="parquet")
+    back = datasets.read_results(spark, csv).withColumn("form", F.lit("csv")).unionByName(datasets.read_results(spark, parquet, form="parquet").withColumn("form", F.lit("parquet")))
+    return back.groupBy("form", "pipeline", "dataset", "paradigm", "notes").agg(F.count("*").alias("n"), F.count("session").alias("sessions"), F.round(F.sum("score"), 2).alias("score"), F.max("fold").alias("last"))
+
+
+def head_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Points of suppliers as lines of a head-shape file."""
+    s = views.read(spark, d, "supplier")
+    label = F.when(F.col("s_suppkey") % 4 == 0, "nasion ").when(F.col("s_suppkey") % 4 == 1, "EEG7 ").when(F.col("s_suppkey") % 4 == 2, "hpi_2 ").otherwise("")
+    line = F.when(F.col("s_suppkey") % 9 == 0, F.concat(F.lit("% "), "s_name")).otherwise(F.concat(label, F.col("s_suppkey").cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit("\t"), F.col("s_acctbal").cast("string")))
+    path = files.scratch(spark, "shapes")
+    s.select(line.alias("value")).write.text(path)
+    return text.head_shape(spark.read.text(path)).select("label", "x", "y", "z", "kind")
+
+
+def copied_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of regions' comments copied to other folders by tasks, then listed."""
+    root = files.scratch(spark, "copies")
+    n = views.read(spark, d, "customer").select(F.format_string("in/c%d.txt", "c_custkey").alias("name"), F.col("c_name").cast("binary").alias("content"), F.format_string(f"{root}/out/n%d/c%d.txt", F.col("c_nationkey"), F.col("c_custkey")).alias("dst"))
+    files.write_files(n, root).agg(F.sum("bytes")).collect()
+    files.copy_files(n.select(F.concat(F.lit(f"{root}/"), "name").alias("src"), "dst")).agg(F.sum("bytes")).collect()
+    listed = files.listing(spark, f"{root}/out")
+    return listed.groupBy(F.regexp_extract("path", r"/n(\d+)/", 1).cast("long").alias("nation")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        edf_recordings, brainvision_recordings, eeglab_recordings, mixed_recordings, nifti_volumes, tiff_pixels, ome_pages, ctf_channels, cifti_models, gifti_surfaces,
+        events_tables, gradient_files, sidecar_files, results_files, head_shapes, copied_files,
+    )
+}
 
 #: A value as a file of each kind holds it.
 _EDF_VALUE = "round_even((x + 8) * steps / 16 + low, 0) * (16 / steps) + (-8 - low * (16 / steps))"
@@ -88,4 +252,32 @@ ORACLES = {
     "brainvision_recordings": f"{_X} SELECT rec, label, idx, {_r(_RAW_VALUE)} AS value FROM v",
     "eeglab_recordings": f"{_X} SELECT rec, label, idx, {_r('x')} AS value FROM v WHERE idx >= 8 AND idx < 52",
     "mixed_recordings": f"{_X} SELECT rec, label, idx, {_r(f'CASE rec % 3 WHEN 0 THEN {_EDF_VALUE} WHEN 1 THEN {_RAW_VALUE} ELSE x END')} AS value FROM v WHERE label NOT IN ('C3', 'C30')",
+    "nifti_volumes": f"""{_X} SELECT rec, row_number() OVER (PARTITION BY rec, idx ORDER BY length(label), label)::INT - 1 AS t, idx::INT AS voxel,
+      {_r("CASE WHEN rec % 5 = 4 THEN round_even((x::FLOAT * 1000::FLOAT)::DOUBLE, 0) * 0.001::FLOAT::DOUBLE + 0.5 ELSE x END")} AS value FROM v""",
+    "tiff_pixels": f"""{_X} SELECT rec, (row_number() OVER (PARTITION BY rec, idx ORDER BY length(label), label) - 1)::INT AS y, idx::INT AS x,
+      {_r("CASE WHEN rec % 4 = 0 THEN x ELSE round_even((x + 4) * 8000, 0) / 65535 END")} AS value FROM v""",
+    "ome_pages": f"""WITH r AS (SELECT vec_id // {CHANNELS} AS rec, count(*) AS n, 'C' || min(vec_id % {CHANNELS}) AS c FROM embeddings GROUP BY ALL),
+      p AS (SELECT *, rec % 3 > 0 AS named FROM r, range(0, 2) g(page))
+      SELECT rec, page::INT AS page, 64 AS width, CASE page WHEN 0 THEN n ELSE 1 END::INT AS height, CASE rec % 4 WHEN 0 THEN 32 ELSE 16 END AS bits, CASE rec % 4 WHEN 0 THEN 'float' ELSE 'uint' END AS format,
+      CASE WHEN named THEN 'rec ' || rec END AS name, CASE WHEN named THEN 64 END AS size_x, CASE WHEN named THEN n::INT END AS size_y, CASE WHEN named THEN 0.5::DOUBLE END AS physical_size_x,
+      CASE WHEN named THEN CASE rec % 4 WHEN 0 THEN 'float32' ELSE 'uint16' END END AS pixel_type, CASE WHEN named THEN c END AS channel FROM p""",
+    "ctf_channels": """SELECT c_nationkey::BIGINT AS nation, (count(*) OVER n)::INT AS n_channels, (100 + c_nationkey)::INT AS n_samples, (c_nationkey + 1)::INT AS n_trials, 600.0::DOUBLE AS rate,
+      (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS channel, 'M' || c_custkey AS name,
+      CASE c_custkey % 4 WHEN 0 THEN 'MEG gradiometer' WHEN 1 THEN 'EEG' WHEN 2 THEN 'stimulus' ELSE 'reference magnetometer' END AS kind, c_acctbal::DOUBLE AS gain
+      FROM customer WINDOW n AS (PARTITION BY c_nationkey)""",
+    "cifti_models": """SELECT c_nationkey::BIGINT AS nation, (row_number() OVER w - 1)::INT AS model, (sum(c_custkey) OVER w - c_custkey)::BIGINT AS first, c_custkey::BIGINT AS count,
+      'CIFTI_MODEL_TYPE_' || CASE c_custkey % 2 WHEN 1 THEN 'SURFACE' ELSE 'VOXELS' END AS type, 'CIFTI_STRUCTURE_' || c_mktsegment AS structure, CASE c_custkey % 2 WHEN 1 THEN c_custkey + 1000 END::BIGINT AS surface_vertices
+      FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)""",
+    "gifti_surfaces": """SELECT c_nationkey::BIGINT AS nation, CASE c_nationkey % 2 WHEN 1 THEN 2 ELSE 1 END AS n_arrays, count(*)::INT AS n_vertices, CASE c_nationkey % 2 WHEN 1 THEN c_nationkey END::INT AS n_faces,
+      arg_min(c_mktsegment, c_custkey) AS first_segment, least(3, count(*))::INT AS n_metadata FROM customer GROUP BY c_nationkey""",
+    "events_tables": f"WITH {EVENTS_SQL} SELECT event_id, subject, onset, CASE WHEN event_id % 3 > 0 THEN duration ELSE 0 END::DOUBLE AS duration, CASE WHEN event_id % 5 > 0 THEN trial_type END AS trial_type FROM e",
+    "gradient_files": """SELECT c_nationkey::BIGINT AS nation, count(*)::INT AS n_volumes, count(*) FILTER (c_custkey % 3 = 0)::INT AS n_b0, count(*) FILTER (c_custkey % 3 > 0)::INT AS n_diffusion, true AS unit_vectors
+      FROM customer GROUP BY c_nationkey""",
+    "sidecar_files": """WITH p AS (SELECT * FROM part WHERE p_partkey % 7 > 0)
+      SELECT p_partkey::BIGINT AS part, 'SliceCount' AS key, p_size::VARCHAR AS value FROM p UNION ALL SELECT p_partkey, 'Manufacturer', p_brand FROM p UNION ALL SELECT p_partkey, 'SeriesDescription', p_name FROM p WHERE p_size % 2 = 0""",
+    "results_files": """SELECT form, o_orderpriority AS pipeline, 'd, 1' AS dataset, 'a "b"' AS paradigm, o_orderstatus AS notes, count(*) AS n, 0::BIGINT AS sessions, round(sum(o_totalprice::DOUBLE), 2) AS score, max(o_orderkey) AS last
+      FROM orders, (VALUES ('csv'), ('parquet')) f(form) GROUP BY ALL""",
+    "head_shapes": """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'nasion' WHEN 1 THEN 'EEG7' WHEN 2 THEN 'hpi_2' ELSE '' END AS label, s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y, s_acctbal::DOUBLE AS z,
+      CASE s_suppkey % 4 WHEN 0 THEN 'fiducial' WHEN 1 THEN 'eeg' WHEN 2 THEN 'hpi' ELSE 'extra' END AS kind FROM supplier WHERE s_suppkey % 9 > 0""",
+    "copied_files": "SELECT c_nationkey::BIGINT AS nation, count(*) AS n, sum(length(c_name))::BIGINT AS bytes FROM customer GROUP BY c_nationkey",
 }

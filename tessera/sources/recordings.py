@@ -480,6 +480,7 @@ def nifti_header(raw: bytes) -> dict:
 
 
 def _image(path: str):
+    """A header file, or an image that holds its header, unpacked as it is read."""
     f = opened(path)
     if path.endswith(".gz"):
         import gzip
@@ -488,6 +489,14 @@ def _image(path: str):
     return f
 
 
+def _voxels_of(path: str) -> str:
+    """The file of an image's voxels: beside its header (.hdr and .img, packed or not), else the same."""
+    for head, data in ((".hdr", ".img"), (".hdr.gz", ".img.gz")):
+        if path.endswith(head):
+            return path.removesuffix(head) + data
+    return path
+
+
 class NiftiReader(DataSourceReader):
     """Volumes of images; a filter on t, or the option volume, reads these alone."""
 
@@ -512,7 +521,8 @@ class NiftiReader(DataSourceReader):
             return
         with _image(part.path) as f:
             h = nifti_header(f.read(540))
-            kind = np.dtype(VOXEL_TYPES[h["code"]])
+        kind = np.dtype(VOXEL_TYPES[h["code"]])
+        with _image(_voxels_of(part.path)) as f:
             voxels = int(np.prod(h["shape"][:3]))
             f.seek(h["offset"] + part.first * voxels * kind.itemsize)
             for t in range(part.first, part.last):
@@ -521,7 +531,7 @@ class NiftiReader(DataSourceReader):
 
 
 class NiftiSource(DataSource):
-    """format("nifti"): options path (comma-separated files), volume."""
+    """format("nifti"): options path (comma-separated .nii or .hdr files, packed or not), volume."""
 
     @classmethod
     def name(cls) -> str:
@@ -534,6 +544,51 @@ class NiftiSource(DataSource):
         return NiftiReader(self.options)
 
 
+def nifti_files(name: str, data: np.ndarray, *, slope: float = 1.0, inter: float = 0.0, zooms: tuple = (1.0, 1.0, 1.0, 1.0), pair: bool = False, packed: bool = False, two: bool = False) -> dict[str, bytes]:
+    """An image of data [x, y, z, t] by file name: one file, or a header and its voxels; two: the second version's header."""
+    import gzip
+
+    code = {np.dtype(v): k for k, v in VOXEL_TYPES.items()}[data.dtype.newbyteorder("<")]
+    shape = [*data.shape, *[1] * (7 - data.ndim)]
+    size = 540 if two else 348
+    h, offset = bytearray(size + 4), 0 if pair else size + 4
+    if two:
+        h[:12] = struct.pack("<i", 540) + (b"ni2\0" if pair else b"n+2\0") + b"\r\n\x1a\n"
+        struct.pack_into("<2h8q", h, 12, code, data.itemsize * 8, data.ndim, *shape)
+        struct.pack_into("<8d", h, 104, 1.0, *zooms, 0, 0, 0)
+        struct.pack_into("<q2d", h, 168, offset, slope, inter)
+    else:
+        struct.pack_into("<i", h, 0, 348)
+        struct.pack_into("<8h", h, 40, data.ndim, *shape)
+        struct.pack_into("<3h8f3f", h, 70, code, data.itemsize * 8, 0, 1.0, *zooms, 0, 0, 0, offset, slope, inter)
+        h[344:348] = b"ni1\0" if pair else b"n+1\0"
+    voxels = data.astype(data.dtype.newbyteorder("<")).tobytes(order="F")
+    made = {f"{name}.hdr": bytes(h[:size]), f"{name}.img": voxels} if pair else {f"{name}.nii": bytes(h) + voxels}
+    return {f"{n}.gz": gzip.compress(d) for n, d in made.items()} if packed else made
+
+
+def read_volumes(files: DataFrame) -> DataFrame:
+    """path, t, voxels of all images among files (column path): tasks plan the volumes, which are then dealt to tasks."""
+
+    def planned(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [r for p in b["path"] for r in NiftiReader({"path": p}).partitions() if r.path]
+            yield pd.DataFrame({"path": [r.path for r in found], "first": [r.first for r in found], "last": [r.last for r in found]})
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                for path, t, voxels in NiftiReader({"path": r["path"]}).read(Range(**r)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([t], pa.int32()), pa.array([voxels], pa.list_(pa.float64()))], names=["path", "t", "voxels"])
+
+    known = files.where(F.col("path").rlike("[.](nii|hdr)([.]gz)?$")).select("path")
+    return known.mapInPandas(planned, "path string, first long, last long").repartition(F.xxhash64("path", "first")).mapInArrow(read, "path string, t int, voxels array<double>")
+
+
 def register(spark) -> None:
     """Makes the formats known to a session."""
     for source in (EdfSource, EdfAnnotationSource, RawSource, SetSource, RecordingSource, NiftiSource):
