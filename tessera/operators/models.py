@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hrf
 from tessera.operators import variables
+from tessera.operators.collections import Collection
 
 
 @dataclass(frozen=True)
@@ -183,15 +184,31 @@ class Graph:
             df = df.where(F.col(k).isin(v)) if k in df.columns else df
         return df
 
-    def run(self, data: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-        """Each node's design with its contrasts, in order: of the rows of all its inputs, transformed within its groups."""
+    def run(self, data: DataFrame | Collection | dict[str, DataFrame | Collection], keys: list[str]) -> dict[str, DataFrame]:
+        """Each node's design with its contrasts, in order: of the rows of all its inputs, transformed within its groups.
+
+        data may be a table or collection for each level: a node without inputs reads its own level's, one with inputs gets its
+        level's variables beside them, by the keys that both have. A collection's instructions may turn sparse variables
+        into dense ones.
+        """
+        by_level = data if isinstance(data, dict) else {}
         out = {}
         for name in self.order():
             node = self.nodes[name]
             inputs = [(out[a], f) for a, b, f in self.edges if b == name]
-            df = variables.merged([self._filtered(d, f) for d, f in inputs]) if inputs else data
+            own = by_level.get(node.level) if by_level else (data if not inputs else None)
+            if not inputs and own is None:
+                raise ValueError(f"node {name}: there are no variables of level {node.level}")
+            instructions = node.transformations
+            if isinstance(own, Collection):
+                own, instructions = own.run(instructions).table(), []
+            df = own if not inputs else variables.merged([self._filtered(d, f) for d, f in inputs])
+            if inputs and own is not None:
+                common = [k for k in keys if k in df.columns and k in own.columns]
+                df = df.join(own.select(*common, *[c for c in own.columns if c not in df.columns]), common, "left")
+            order = [k for k in keys if k in df.columns]
             have = [k for k in dict.fromkeys([*keys, *node.group_by]) if k in df.columns]
-            df = variables.transform(df, node.transformations, keys, [k for k in node.group_by if k in df.columns])
+            df = variables.transform(df, instructions, order, [k for k in node.group_by if k in df.columns])
             terms = tuple((str(t),) for t in node.x if t != 1)
             d = design_matrix(df, Formula(None, terms, 1 in node.x), have)
             for c in node.contrasts:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import catalog_plans, format_plans, model_plans, record_plans, signal_plans, text_plans
+from tessera.plans import catalog_plans, format_plans, model_plans, record_plans, signal_plans, text_plans, tree_plans
 
 
 def modules() -> tuple:
     """The plan modules, each with QUERIES and ORACLES."""
-    return (catalog_plans, signal_plans, model_plans, text_plans, record_plans, format_plans)
+    return (catalog_plans, signal_plans, model_plans, text_plans, record_plans, format_plans, tree_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
