@@ -7,8 +7,9 @@ that were. A score is linear in the document's mean before the softmax, so what
 number for each bucket; tasks score whole texts, with a bounded memory of words.
 
 The sample: POSITIVES toxic and NEGATIVES other labelled documents at most, the first in the order of a hash of
-their ids, of these the ones of at most LONGEST characters, weighted back to the classes' shares; so its rows and its
-bytes are bounded. Of the ids only the hash decides what is learned from. Texts of every length are scored whole.
+their ids, weighted back to the classes' shares. Their n-grams are counted in the tasks, from whole texts; the
+driver gets a number for each bucket of a document, BUCKETS at most, never a text. Of the ids only the hash decides
+what is learned from; of several texts of an id the one with the least hash is taken.
 
 Defined results: a null or empty text gets the softmax of its bias alone. Null ids keep a row each, are held
 out and never learned from. Without usable labels of both classes every score is the share of toxic labels
@@ -26,8 +27,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents to learn from, of each class, and their characters at most.
-POSITIVES, NEGATIVES, LONGEST = 1500, 2500, 50_000
+#: Documents to learn from, of each class, at most.
+POSITIVES, NEGATIVES = 1500, 2500
 #: Rows and width of the vectors, n-gram lengths.
 BUCKETS, WIDTH, LENGTHS = 1 << 17, 8, (3, 4, 5)
 #: Scale of a mean before the softmax, passes, documents in a step, learning rate, what a step takes off a vector's length.
@@ -55,45 +56,69 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str):
-    """text, toxic, weight of the documents to learn from, as pandas: a bounded number of rows of bounded texts."""
+    """at, x (the buckets of a document and their parts, as bytes), toxic and weight of the documents to learn from, as pandas."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = known.select("_id").join(marked, "_id")
     totals = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     chosen = [ids.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most) for c, most in ((1, POSITIVES), (0, NEGATIVES))]
-    picked = known.where(F.length("text") <= LONGEST).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").dropDuplicates(["_id"]).toPandas().sort_values("_id", ignore_index=True)
+    texts = known.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").groupBy("_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def counted(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                one, x = bag(b.column(2)[k].as_py())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([one.tobytes()]), pa.array([x.tobytes()])], names=["_id", "toxic", "at", "x"])
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    picked = texts.mapInArrow(counted, f"_id {kind}, toxic int, at binary, x binary").toPandas().sort_values("_id", ignore_index=True)
     chosen_of = picked["toxic"].value_counts().to_dict()
     picked["weight"] = [totals[c] / chosen_of[c] for c in picked["toxic"].tolist()]
     return picked, totals
 
 
+_grams: dict[str, array] = {}
+
+
+def bag(text: str):
+    """The buckets of a text (int32, ascending) and the part of each (float32): means of words of means of n-grams."""
+    import numpy as np
+
+    counts = Counter(text.lower().split())
+    total = sum(counts.values())
+    at, x, sizes = array("i"), [], []
+    if len(_grams) > REMEMBERED:
+        _grams.clear()
+    for w, c in counts.items():
+        f = _grams.get(w)
+        if f is None:
+            f = _grams[w] = array("i", features(w))
+        at += f
+        sizes.append(len(f))
+        x.append(c / total / len(f))
+    one, where = np.unique(np.asarray(at, "i4"), return_inverse=True)
+    parts = np.bincount(where, np.repeat(np.asarray(x, "f8"), sizes), minlength=len(one)) if len(one) else np.empty(0)
+    return one, parts.astype("f4")
+
+
 def train(texts: list[str], toxic, weight):
-    """The trained number of each bucket (float32) and the bias; a score is the logistic function of their sum."""
+    """learn() from texts."""
+    bags = [bag(t) for t in texts]
+    return learn([at for at, _ in bags], [x for _, x in bags], toxic, weight)
+
+
+def learn(columns: list, values: list, toxic, weight):
+    """The trained number of each bucket (float32) and the bias; a score is the logistic function of their sum.
+
+    columns, values: the buckets of each document and their parts, as bag() gives them.
+    """
     import numpy as np
 
     toxic, weight = np.asarray(toxic, "i8"), np.asarray(weight, "f4")
     weight = weight / weight.mean()
-    known: dict[str, array] = {}
-    columns, values = [], []
-    for t in texts:
-        counts = Counter(t.lower().split())
-        total = sum(counts.values())
-        at, x, sizes = array("i"), [], []
-        for w, c in counts.items():
-            f = known.get(w)
-            if f is None:
-                f = known[w] = array("i", features(w))
-            at += f
-            sizes.append(len(f))
-            x.append(c / total / len(f))
-        x = np.repeat(np.asarray(x, "f8"), sizes)
-        one, where = np.unique(np.asarray(at, "i4"), return_inverse=True)
-        if len(known) > REMEMBERED:
-            known.clear()
-        columns.append(one)
-        values.append(np.bincount(where, x, minlength=len(one)).astype("f4") if len(one) else np.empty(0, "f4"))
-    known.clear()
     often = np.zeros(BUCKETS, "i8")
     for c in columns:
         often[c] += 1
@@ -107,7 +132,7 @@ def train(texts: list[str], toxic, weight):
     seen = [np.full_like(x, 1e-6) for x in (vectors, softmax, bias)]
     for k in range(PASSES):
         rate = RATE * (1 - k / PASSES)
-        order = draw.permutation(len(texts))
+        order = draw.permutation(len(columns))
         for start in range(0, len(order), STEP):
             docs = order[start : start + STEP]
             at, x = np.concatenate([columns[d] for d in docs]), np.concatenate([values[d] for d in docs]) * np.float32(SCALE)
@@ -168,7 +193,9 @@ def _classified(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     if picked["toxic"].nunique() < 2:
         value = F.lit(totals.get(1, 0) / max(1, sum(totals.values())))
     else:
-        numbers, bias = train(picked.pop("text").tolist(), picked["toxic"], picked["weight"])
+        import numpy as np
+
+        numbers, bias = learn([np.frombuffer(b, "i4") for b in picked["at"]], [np.frombuffer(b, "f4") for b in picked["x"]], picked["toxic"], picked["weight"])
 
         @F.arrow_udf("double")
         def scored(texts):

@@ -349,3 +349,23 @@ def test_mixing_raises_where_the_dual_stays_unsolved(docs, monkeypatch):
     monkeypatch.setattr(mixing, "ITERATIONS", 4)
     with pytest.raises(ArithmeticError, match="isn't solved"):
         mixing.mix(docs).collect()
+
+
+def test_toxicity_learns_from_a_class_of_long_texts_only(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(30)), 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(word() if k % 20 else "grumbletoad" for k in range(12_000)), 1) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1001, "another text of the id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {(r.doc_id, r.held_out): r.predicted for r in toxicity.score(docs, labels).where("doc_id != 1001").collect()}
+    assert [got[i, zlib.crc32(str(i).encode()) % 5 == 0] for i, _, _ in rows if i != 1001] == [y for i, _, y in rows if i != 1001]
+
+
+def test_bpe_remembers_in_two_generations(monkeypatch, rows):
+    texts = [t or "" for _, t, *_ in rows]
+    want = bpe.Bpe(tokenizer()).encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 5_000)
+    small = bpe.Bpe(tokenizer())
+    assert [small.encode([t])[0] for t in texts] == want
+    assert small.older and small.held < 5_000 + max(map(len, texts)) * 250
