@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words, pairs of tokens and steps that a worker remembers before it starts anew.
-REMEMBERED, PAIRS, STEPS = 100_000, 400_000, 400_000
+#: Bytes of words and their ids that a worker remembers in each of two generations, and what a word takes besides its own.
+REMEMBERED_BYTES, OVERHEAD = 64 << 20, 200
+#: Pairs of tokens and steps that a worker remembers before it starts anew.
+PAIRS, STEPS = 400_000, 400_000
 #: Characters of text that are encoded together.
 BLOCK_CHARS = 1_000_000
 #: The byte-level pre-tokenizer's pattern (fixed values).
@@ -64,7 +66,10 @@ class Bpe:
         self.prefixes = {b[:n] for b in self.id_of for n in range(len(b) + 1)}
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: The words of late, with those of the block at hand, and the generation before them.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         self._forget()
 
     @staticmethod
@@ -168,14 +173,26 @@ class Bpe:
             before = word
 
     def learn(self, words: set[str]) -> None:
-        """Remembers the encodings of words, as little-endian unsigned 32-bit ids."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        """Remembers the encodings of words, as little-endian unsigned 32-bit ids.
+
+        Once a generation is full it becomes the older one; a word of that one that occurs again is young again.
+        """
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
         if self.n_pairs > PAIRS or self.n_steps > STEPS:
             self._forget()
-        new = {w.encode("utf-8", "surrogatepass"): w for w in words if w not in self.known}
+        new = {}
+        for w in words:
+            if w not in self.known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new[w.encode("utf-8", "surrogatepass")] = w
+                else:
+                    self.known[w] = ids
+                    self.held += len(w) + len(ids) + OVERHEAD
         for word, ids in self.traverse(sorted(new)):
             self.known[new[word]] = pack(f"<{len(ids)}I", *ids)
+            self.held += len(word) + 4 * len(ids) + OVERHEAD
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -211,16 +228,18 @@ def _mapped(df: DataFrame, source: str, outputs: list[tuple[str, T.DataType]], f
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         types = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
         kinds = [types[t.simpleString()] for _, t in outputs]
         for batch in batches:
             start = 0
             values = batch.column(at)
+            sizes = (pc.utf8_length if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.binary_length)(values).fill_null(0).to_pylist()
             while start < batch.num_rows:
                 end, n = start, 0
                 while end < batch.num_rows and n < BLOCK_CHARS:
-                    n += len(values[end].as_py() or ()) + 1
+                    n += sizes[end] + 1
                     end += 1
                 made = f(values.slice(start, end - start).to_pylist())
                 part = batch.slice(start, end - start)
