@@ -37,14 +37,17 @@ def grid(tr: float, oversampling: int, length: float) -> tuple[int, float, float
     return n, length / (n - 1) if n > 1 else 0.0, dt
 
 
+def kernel_values(params: tuple, n: int, step: float, dt: float, onset: float = 0.0) -> list[float]:
+    """The difference of two gamma densities at n times of a distance, before it is divided by its sum."""
+    delay, under, disp, under_disp, ratio = params
+    times = [k * step - onset for k in range(n)]
+    return [0.0 if t <= 0 else gamma_pdf(t, delay / disp, dt / disp) - ratio * gamma_pdf(t, under / under_disp, dt / under_disp) for t in times]
+
+
 def kernel(params: tuple, tr: float, oversampling: int = 50, length: float = 32.0, onset: float = 0.0) -> list[float]:
     """The difference of two gamma densities, its sum 1."""
-    delay, under, disp, under_disp, ratio = params
     n, step, dt = grid(tr, oversampling, length)
-    h = []
-    for k in range(n):
-        t = k * step - onset
-        h.append(0.0 if t <= 0 else gamma_pdf(t, delay / disp, dt / disp) - ratio * gamma_pdf(t, under / under_disp, dt / under_disp))
+    h = kernel_values(params, n, step, dt, onset)
     total = sum(h)
     return [x / total for x in h] if abs(total) > 1e-15 else h
 

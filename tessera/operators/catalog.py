@@ -240,7 +240,7 @@ def close_matches(words: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    d = candidates.crossJoin(F.broadcast(words)).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("candidate")))
+    d = candidates.crossJoin(words).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("candidate")))
     d = d.where(F.col("distance") <= F.greatest(F.length("word"), F.lit(3)))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("distance", "candidate"))).where(F.col("rank") <= n)
 

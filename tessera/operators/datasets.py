@@ -104,13 +104,16 @@ def summary(df: DataFrame, dataset: Column) -> DataFrame:
     return df.groupBy(dataset.alias("dataset")).agg(F.count("*").alias("n"))
 
 
-def leave_one_out(units: DataFrame, held: str, keys: list[str] = ()) -> DataFrame:
+def leave_one_out(units: DataFrame, held: str, keys: list[str]) -> DataFrame:
     """A row for each unit and held-out value of its group: held_out, and role (test or train). One value is no split.
 
-    Held-out values are subjects or sessions; each group's are gathered to an array and exploded.
+    Held-out values are the few sessions or runs within keys (a subject), gathered to an array and exploded. Across a whole
+    table that would be all pairs: subject_folds() has its splits without them, k_fold() a bounded number.
     """
+    if not keys:
+        raise ValueError("leave_one_out() splits within keys; across a table use subject_folds() or k_fold()")
     values = units.groupBy(*keys).agg(F.array_sort(F.collect_set(held)).alias("_v")).where(F.size("_v") > 1)
-    j = units.join(values, list(keys)) if keys else units.crossJoin(values)
+    j = units.join(values, list(keys))
     return j.withColumn("held_out", F.explode("_v")).drop("_v").withColumn("role", F.when(F.col(held) == F.col("held_out"), "test").otherwise("train"))
 
 

@@ -30,11 +30,12 @@ def file_at(files: DataFrame, path: str, root: str = "") -> DataFrame:
     return files.where(F.col("path").isin(*sorted(wanted)))
 
 
-def associated(edges: DataFrame, files: DataFrame, src: str, kind: str | None = None) -> DataFrame:
-    """kind and the files that an association leads to from src."""
-    e = edges.where(F.col("src") == src)
-    e = e.where(F.col("kind") == kind) if kind else e
-    return e.select(F.col("dst").alias("path"), "kind").join(files, "path")
+def associated(edges: DataFrame, files: DataFrame, src: str | DataFrame, kind: str | None = None) -> DataFrame:
+    """kind and the files that an association leads to from src: a path, or a table of them (src), which is kept beside."""
+    e = edges.where(F.col("kind") == kind) if kind else edges
+    if isinstance(src, str):
+        return e.where(F.col("src") == src).select(F.col("dst").alias("path"), "kind").join(files, "path")
+    return e.join(src.select("src").distinct(), "src").select("src", F.col("dst").alias("path"), "kind").join(files, "path")
 
 
 def gradient_files(images: DataFrame, candidates: DataFrame, extension: str) -> DataFrame:

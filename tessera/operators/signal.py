@@ -378,8 +378,8 @@ def harmonised_channels(channels: DataFrame, *, union: bool = False, ignore: lis
 
 
 def harmonise(s: DataFrame, plan: DataFrame, by: list[str]) -> DataFrame:
-    """by, channel, idx, value for every channel of the plan (a few names, broadcast); missing ones are 0."""
-    grid = s.select(*by, "idx").distinct().crossJoin(F.broadcast(plan))
+    """by, channel, idx, value for every channel of the plan (a few names); missing ones are 0."""
+    grid = s.select(*by, "idx").distinct().crossJoin(plan)
     return grid.join(s, [*by, "idx", "channel"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 

@@ -7,14 +7,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import paths
+from tessera.functions import paths, schema
 from tessera.operators import catalog
 from tessera.sources import files as listings
 
 
-def scan(spark: SparkSession, root: str, *, ignore: list[str] = (r"/\.", "/code/", "/sourcedata/", "/stimuli/"), force: list[str] = ()) -> DataFrame:
+def scan(spark: SparkSession, root: str, *, ignore: list[str] = (r"/\.", "/code/", "/sourcedata/", "/stimuli/"), force: list[str] = (), validate: bool = False) -> DataFrame:
     """path, length, modified of a dataset's files; ignored ones go unless forced; a .zarr directory is one file.
 
+    With validate, files whose path under the root isn't one of the standard go too, unless forced.
+
     The root's own derivatives/ is left to a scan of its own; a root without dataset_description.json is an error.
     """
     found = listings.listing(spark, root)
@@ -24,6 +26,9 @@ def scan(spark: SparkSession, root: str, *, ignore: list[str] = (r"/\.", "/code/
     keep = ~paths.matches_any(F.col("path"), list(ignore))
     if force:
         keep = keep | paths.matches_any(F.col("path"), list(force))
+    if validate:
+        valid = schema.is_valid(F.regexp_replace("path", f"^{top}/", "")) | F.col("path").rlike(r"\.zarr/")
+        keep = keep & (valid | paths.matches_any(F.col("path"), list(force)) if force else valid)
     found = found.where(keep & ~F.col("path").rlike(f"^{top}/derivatives/"))
     plain = found.where(~F.col("path").rlike(r"\.zarr/"))
     stores = found.withColumn("path", F.regexp_extract("path", r"^(.*?\.zarr)/", 1)).where("path != ''").groupBy("path").agg(F.sum("length").alias("length"), F.max("modified").alias("modified"))

@@ -157,6 +157,14 @@ def split_by(df: DataFrame, name: str, by: str, keys: list[str]) -> DataFrame:
     return df.withColumns({f"{name}.{k}": F.when(F.col(by) == k, F.col(name)) for k in keys})
 
 
+def _keyed(instruction: dict, by: list[str]) -> list[str]:
+    """The keys within which an instruction looks at other rows; without any all rows would meet in one task."""
+    keys = _names(instruction.get("by", list(by)))
+    if not keys:
+        raise ValueError(f"{instruction['name']} looks at other rows: name the keys of a series in by")
+    return keys
+
+
 def _names(x) -> list[str]:
     return x if isinstance(x, list) else [x]
 
@@ -248,7 +256,7 @@ def transform(df: DataFrame, instructions: list[dict], order: list[str], by: lis
                 df = orthogonalize(df, c, _names(i["other"]))
         elif name == "lag":
             for c in inputs:
-                df = lag_zero(df, i.get("n", 1), i.get("by", list(by)), order, c)
+                df = lag_zero(df, i.get("n", 1), _keyed(i, by), order, c)
         elif name in ("and", "or"):
             test = [F.coalesce(quoted(c) != 0, F.lit(False)) for c in inputs]
             df = df.withColumn(outputs[0], (F.forall if name == "and" else F.exists)(F.array(*test), lambda x: x).cast("int"))
@@ -264,7 +272,7 @@ def transform(df: DataFrame, instructions: list[dict], order: list[str], by: lis
         elif name == "power":
             each = lambda c: F.pow(c, F.lit(float(i["value"])))
         elif name == "convolve":
-            kernel, place = [float(x) for x in i["kernel"]], Window.partitionBy(*(i.get("by", list(by)) or [F.lit(0)])).orderBy(*order)
+            kernel, place = [float(x) for x in i["kernel"]], Window.partitionBy(*_keyed(i, by)).orderBy(*order)
             df = df.withColumns({o: sum((F.coalesce(F.lag(quoted(c), k).over(place), F.lit(0.0)) * x for k, x in enumerate(kernel)), F.lit(0.0)) for c, o in zip(inputs, outputs, strict=True)})
         elif name == "group":
             df = df.withColumn(outputs[0], group_key(*inputs))

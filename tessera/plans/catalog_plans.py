@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import paths
-from tessera.operators import associations, catalog
+from tessera.operators import associations, catalog, store
 from tessera.plans import views
+from tessera.sources import files as listings
 
 _WIDE = ", ".join(f"nullif(regexp_extract(path, '{p}', 1), '') AS \"{n}\"" for n, p in config.ENTITIES)
 WIDE_SQL = f"{views.FILES_SQL}, w AS (SELECT path, {_WIDE} FROM f)"
@@ -42,8 +43,9 @@ def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_filter(spark: SparkSession, d: str) -> DataFrame:
-    f = _files(spark, d)
-    return catalog.CatalogQuery(f, catalog.tags(f)).suffix("bold").any("run").task("F").none("echo").paths()
+    path = listings.scratch(spark, "index")
+    store.save(_files(spark, d), path)
+    return store.load(spark, path).suffix("bold").any("run").task("F").none("echo").paths()
 
 
 def filter_in(spark: SparkSession, d: str) -> DataFrame:
@@ -199,9 +201,7 @@ ORACLES = {
       CASE WHEN path LIKE '%.nii.gz' THEN 'image' WHEN path LIKE '%.edf' THEN 'eeg' WHEN path LIKE '%.fif' THEN 'meg' ELSE 'generic' END AS file_type,
       CASE WHEN path LIKE '%.nii.gz' THEN '.nii.gz' ELSE regexp_extract(path, '\\.[^.]*$') END AS ext, regexp_extract(path, '_([^_.]*)\\.[^/]*$', 1) AS stem_suffix FROM f""",
     "catalog_filter": f"WITH {WIDE_SQL} SELECT path FROM w WHERE suffix = 'bold' AND run IS NOT NULL AND task = 'F' AND echo IS NULL",
-    "stored_filter": f"""WITH {TAGS_SQL.replace(", t AS (", ", t AS MATERIALIZED (")},
-      a AS (SELECT path FROM t WHERE entity = 'suffix' AND value = 'bold'), b AS (SELECT path FROM t WHERE entity = 'task' AND value = 'F')
-      SELECT path FROM f WHERE path IN (FROM a) AND path IN (FROM b) AND path IN (SELECT path FROM t WHERE entity = 'run') AND path NOT IN (SELECT path FROM t WHERE entity = 'echo')""",
+    "stored_filter": f"WITH {WIDE_SQL} SELECT path FROM w WHERE suffix = 'bold' AND run IS NOT NULL AND task = 'F' AND echo IS NULL",
     "filter_in": f"WITH {WIDE_SQL} SELECT path FROM w WHERE suffix IN ('eeg', 'meg') AND session IN ('1995', '1996')",
     "filter_regex": f"WITH {WIDE_SQL} SELECT path FROM w WHERE regexp_matches(subject, '^000[0-4]') AND extension = '.edf'",
     "filter_any_none": f"WITH {WIDE_SQL} SELECT path FROM w WHERE task IS NOT NULL AND acquisition IS NULL AND run::INT = 3",

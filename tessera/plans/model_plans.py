@@ -139,18 +139,20 @@ def auto_model(spark: SparkSession, d: str) -> DataFrame:
     return models.auto_model(views.events(spark, d), "subject", "trial_type")
 
 
-def _hrf(spark: SparkSession, params: tuple) -> DataFrame:
+def _hrf(spark: SparkSession, d: str, params: tuple) -> DataFrame:
+    """The response to a unit impulse at the times of events, modulo 40 seconds, and how many events of a subject are at its rise."""
     n, step, dt = hrf.grid(2.0, 16, 32.0)
-    t = spark.range(n).select(F.col("id").cast("int").alias("idx"), hrf.value_column(F.col("id") * step, params, dt).alias("raw"))
-    return _rounded(t.withColumn("value", F.col("raw") / F.sum("raw").over(Window.partitionBy())).drop("raw"), "value")
+    total = sum(hrf.kernel_values(params, n, step, dt))
+    e = views.events(spark, d).select("event_id", "subject", (F.col("onset") / 7 % 40 - 4).alias("t"))
+    return _rounded(e.select("event_id", "t", (hrf.value_column(F.col("t"), params, dt) / total).alias("value")), "t", "value")
 
 
 def spm_hrf(spark: SparkSession, d: str) -> DataFrame:
-    return _hrf(spark, hrf.SPM)
+    return _hrf(spark, d, hrf.SPM)
 
 
 def glover_hrf(spark: SparkSession, d: str) -> DataFrame:
-    return _hrf(spark, hrf.GLOVER)
+    return _hrf(spark, d, hrf.GLOVER)
 
 
 def regressors(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +252,8 @@ def _hrf_sql(params: tuple) -> str:
     n, step, dt = hrf.grid(2.0, 16, 32.0)
     pdf = lambda a, loc: f"CASE WHEN t > {loc} THEN exp(({a} - 1) * ln(t - {loc}) - (t - {loc}) - lgamma({a})) ELSE 0 END"
     raw = f"CASE WHEN t > 0 THEN {pdf(delay / disp, dt / disp)} - {ratio} * ({pdf(under / under_disp, dt / under_disp)}) ELSE 0 END"
-    return f"WITH g AS (SELECT i::INT AS idx, i * {step!r}::DOUBLE AS t FROM range(0, {n}) x(i)), h AS (SELECT idx, {raw} AS raw FROM g) SELECT idx, {_r('raw / sum(raw) OVER ()')} AS value FROM h"
+    return f"""{_E}, g AS (SELECT i * {step!r}::DOUBLE AS t FROM range(0, {n}) x(i)), total AS (SELECT sum({raw}) AS s FROM g),
+      o AS (SELECT event_id, onset / 7 % 40 - 4 AS t FROM e) SELECT event_id, {_r("t")} AS t, {_r(f"({raw}) / s")} AS value FROM o, total"""
 
 
 def _regressor_sql() -> str:

@@ -30,7 +30,9 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 def typed_metadata(spark: SparkSession, d: str) -> DataFrame:
     get = lambda key, kind: metadata.field(F.col("data"), key, kind)
-    return _parts(spark, d).select(
+    odd = F.when(F.col("p_partkey") % 11 == 0, F.substring("data", 1, 20)).when(F.col("p_partkey") % 11 == 1, '{"SliceCount": "7", "Manufacturer": 5, "IsSquare": "true", "RepetitionTime": "2", "Nested": {}}')
+    odd = odd.when(F.col("p_partkey") % 11 == 2, '{"SliceCount": 2.5, "IsSquare": null, "RepetitionTime": 3, "Nested": []}').when(F.col("p_partkey") % 11 == 3, "[1]")
+    return _parts(spark, d).withColumn("data", odd.otherwise(F.col("data"))).select(
         "p_partkey", get("RepetitionTime", "number").alias("tr"), get("SliceCount", "whole").alias("slices"), get("Manufacturer", "text").alias("maker"), get("IsSquare", "flag").alias("square"),
         get("Manufacturer", "number").alias("wrong_kind"), F.size(get("Nested", "list")).alias("n_nested"), metadata.total(F.col("data"), ["SliceCount", "NoSuchCount"]).alias("total"),
     )
@@ -102,8 +104,8 @@ def gradient_nearest(spark: SparkSession, d: str) -> DataFrame:
 def association_lookup(spark: SparkSession, d: str) -> DataFrame:
     images, tables = _gradients(spark, d)
     edges = recordings.gradient_edges(tables, images).withColumn("kind", F.lit("Gradient"))
-    first = images.agg(F.min("path").alias("p")).first().p or ""
-    return recordings.associated(edges, images.select("path", "subject"), first.replace(".nii.gz", ".bvec"), "Gradient")
+    asked = images.where(F.col("run") != "03").select(F.replace("path", F.lit(".nii.gz"), F.lit(".bvec")).alias("src"))
+    return recordings.associated(edges, images.select("path", "subject"), asked, "Gradient")
 
 
 def selected_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -111,8 +113,9 @@ def selected_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_names(spark: SparkSession, d: str) -> DataFrame:
-    names = views.read(spark, d, "part").select(F.col("p_type").alias("name")).distinct()
-    return recordings.match_names(names, "*POLISHED ?IN").unionByName(recordings.match_names(names, "^PROMO.*(STEEL|BRASS)$", regex=True)).unionByName(recordings.match_names(names, "(", regex=True))
+    names = views.read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    fits = lambda pattern, regex=False: recordings.match_names(names, pattern, regex=regex).withColumn("pattern", F.lit(pattern))
+    return fits("?o? *").unionByName(fits("*l* ring")).unionByName(fits("^(red|small) .*(t|r)$", True)).unionByName(fits("gear", True)).unionByName(fits("(", True))
 
 
 def trial_types(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +203,9 @@ _E, _S, _W = f"WITH {EVENTS_SQL}", f"WITH {SIGNAL_SQL}", f"WITH {WIDE_SQL}"
 _IN = lambda c, values: f"{c} IN ({', '.join(repr(v) for v in values)})"
 
 ORACLES = {
-    "typed_metadata": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN 2.5::DOUBLE END AS tr, p_size::BIGINT AS slices, p_brand AS maker, p_size % 2 = 0 AS square, NULL::DOUBLE AS wrong_kind, 1 AS n_nested, p_size::BIGINT AS total FROM part",
+    "typed_metadata": """SELECT p_partkey, CASE WHEN m > 3 AND p_size % 3 <> 0 THEN 2.5 WHEN m = 2 THEN 3 END::DOUBLE AS tr, CASE WHEN m > 3 THEN p_size END::BIGINT AS slices, CASE WHEN m > 3 THEN p_brand END AS maker,
+      CASE WHEN m > 3 THEN p_size % 2 = 0 END AS square, CASE WHEN m = 1 THEN 5 END::DOUBLE AS wrong_kind, CASE WHEN m > 3 THEN 1 WHEN m = 2 THEN 0 END::INT AS n_nested, CASE WHEN m > 3 THEN p_size ELSE 0 END::BIGINT AS total
+      FROM (SELECT *, p_partkey % 11 AS m FROM part)""",
     "metadata_struct": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size::BIGINT END AS SliceCount, CASE WHEN p_size % 3 <> 0 THEN 2.5::DOUBLE END AS RepetitionTime, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS Manufacturer FROM part",
     "echo_lists": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 1 END AS n, CASE WHEN p_size % 2 = 0 THEN 3.5 ELSE 0 END::DOUBLE + p_size AS total FROM part",
     "snake_keys": """SELECT p_partkey, '{"repetition_time":' || p_size || ',"nested":[{"mr_transmit_coil":"' || p_brand || '"}]}' AS data FROM part""",
@@ -213,9 +218,12 @@ ORACLES = {
     "gradient_edges": f"{_W}, i AS (SELECT * FROM w WHERE suffix = 'dwi') SELECT replace(a.path, '.nii.gz', x) AS src, b.path AS dst FROM i a JOIN i b ON a.subject = b.subject AND a.session = b.session AND a.run = b.run, (VALUES ('.bval'), ('.bvec')) v(x)",
     "gradient_nearest": f"""{_W}, i AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM w WHERE suffix = 'dwi')
       SELECT path, nearest FROM (SELECT a.path, replace(b.path, '.nii.gz', '.bval') AS nearest, row_number() OVER (PARTITION BY a.path ORDER BY (a.run = b.run)::INT DESC, replace(b.path, '.nii.gz', '.bval')) AS r FROM i a JOIN i b ON a.dir = b.dir) WHERE r = 1""",
-    "association_lookup": f"{_W}, i AS (SELECT * FROM w WHERE suffix = 'dwi'), m AS (SELECT * FROM i ORDER BY path LIMIT 1) SELECT i.path, 'Gradient' AS kind, i.subject FROM i JOIN m ON i.subject = m.subject AND i.session = m.session AND i.run = m.run",
+    "association_lookup": f"""{_W}, i AS (SELECT * FROM w WHERE suffix = 'dwi') SELECT replace(a.path, '.nii.gz', '.bvec') AS src, b.path, 'Gradient' AS kind, b.subject FROM i a JOIN i b
+      ON a.subject = b.subject AND a.session = b.session AND a.run = b.run WHERE a.run <> '03'""",
     "selected_rows": f"{_E} SELECT subject, event_id FROM (SELECT subject, event_id, row_number() OVER (PARTITION BY subject ORDER BY event_id) AS r FROM e) WHERE r IN (1, 3)",
-    "matched_names": "SELECT DISTINCT p_type AS name FROM part WHERE p_type LIKE '%POLISHED _IN' UNION ALL SELECT DISTINCT p_type FROM part WHERE p_type LIKE 'PROMO%' AND (p_type LIKE '%STEEL' OR p_type LIKE '%BRASS')",
+    "matched_names": r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part)
+      SELECT name, '?o? *' AS pattern FROM n WHERE name LIKE '_o_ %' UNION ALL SELECT name, '*l* ring' FROM n WHERE name LIKE '%l% ring'
+      UNION ALL SELECT name, '^(red|small) .*(t|r)$' FROM n WHERE regexp_matches(name, '^(red|small) .*(t|r)$') UNION ALL SELECT name, 'gear' FROM n WHERE contains(name, 'gear')""",
     "trial_types": f"{_E} SELECT DISTINCT trial_type FROM e WHERE trial_type IN ('click', 'view', 'error')",
     "channel_counts": f"{_E} SELECT subject, trial_type AS type, count(*) AS n, count(*) FILTER (amplitude > 50) AS n_bad FROM e GROUP BY ALL",
     "joined_recordings": f"{_S} SELECT (rec // 4)::BIGINT AS set, rec % 4 AS part, 0 AS ch, (idx + 64 * (rec % 4 - min(rec % 4) OVER (PARTITION BY rec // 4)))::BIGINT AS idx, {_r('value')} AS value FROM s",

@@ -18,7 +18,8 @@ def hed_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def letter_case(spark: SparkSession, d: str) -> DataFrame:
-    p = views.read(spark, d, "part").select("p_partkey", F.regexp_replace(F.initcap(F.lower("p_type")), " ", "").alias("camel"))
+    made = F.regexp_replace(F.initcap(F.lower("p_name")), " ", "")
+    p = views.read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("MRI"), made, F.lit("2D"))).otherwise(made).alias("camel"))
     return p.select("p_partkey", text.camel_to_snake(F.col("camel")).alias("snake"), text.snake_to_camel(text.camel_to_snake(F.col("camel"))).alias("camel"))
 
 
@@ -63,7 +64,8 @@ QUERIES = {f.__name__: f for f in (hed_tags, letter_case, grammatical_number, ve
 _WORDS = "['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten']"
 ORACLES = {
     "hed_tags": "SELECT event_id, 'Sensory-event|' || event_type || '|Item/' || user_id || '|Red' AS tags, 3 AS n_top FROM events",
-    "letter_case": "SELECT p_partkey, replace(lower(p_type), ' ', '_') AS snake, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda x: upper(x[1:1]) || x[2:]), '') AS camel FROM part",
+    "letter_case": """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'mri_' || replace(lower(p_name), ' ', '_') || '2_d' ELSE replace(lower(p_name), ' ', '_') END AS snake FROM part)
+      SELECT p_partkey, snake, array_to_string(list_transform(string_split(snake, '_'), lambda x: upper(x[1:1]) || x[2:]), '') AS camel FROM s""",
     "grammatical_number": """WITH w AS (SELECT n_nationkey, ['box', 'city', 'leaf', 'child', 'series', 'key', 'bus', 'axis', 'run'][1 + n_nationkey % 9] AS word FROM nation)
       SELECT n_nationkey, word, CASE word WHEN 'box' THEN 'boxes' WHEN 'city' THEN 'cities' WHEN 'leaf' THEN 'leaves' WHEN 'child' THEN 'children' WHEN 'series' THEN 'series' WHEN 'key' THEN 'keys'
         WHEN 'bus' THEN 'buses' WHEN 'axis' THEN 'axes' WHEN 'run' THEN 'runs' END AS plural, word AS back FROM w""",

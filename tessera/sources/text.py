@@ -156,7 +156,12 @@ def read_long(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     For the small tables of a dataset, whose columns differ from file to file; a file is read whole.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    return _cells(spark.read.text(path, wholetext=True))
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """path, row, name, value of the cells of whole files."""
+    whole = texts.select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     head = whole.select("path", F.split(F.get("lines", F.lit(0)), "\t").alias("names"), F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row", "line")).where("line != ''")
     cells = head.select("path", "row", F.posexplode(F.split("line", "\t")).alias("k", "value"), "names")
     return cells.select("path", "row", F.trim(F.get("names", F.col("k"))).alias("name"), F.trim("value").alias("value")).where("name IS NOT NULL AND value NOT IN ('', 'n/a')")
@@ -189,10 +194,7 @@ def load_variables(spark: SparkSession, root: str, *, kinds: list[str] | None =
 
 def read_long_under(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """read_long() of the files under root whose names fit a glob."""
-    from tessera.sources.files import listing
-
-    found = [r.path for r in listing(spark, root, pattern).select("path").collect()]
-    return read_long(spark, found) if found else spark.createDataFrame([], "path string, row int, name string, value string")
+    return _cells(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern))
 
 
 def read_asl_context(spark: SparkSession, path: str) -> DataFrame:
@@ -220,6 +222,12 @@ def read_genetic_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(d.alias("d")).select("d.*")
 
 
-def write_manifest(df: DataFrame, path: str, *, mode: str = "error") -> None:
-    """A manifest as CSV with a header; values with commas or quotes are quoted. A filtered manifest is written as it streams."""
+def write_manifest(df: DataFrame, path: str, *, mode: str = "error", form: str = "csv") -> None:
+    """A manifest as CSV with a header, values with commas or quotes quoted, or as Parquet (without run and extension).
+
+    A filtered manifest is written as it streams.
+    """
+    if form == "parquet":
+        df.drop("run", "extension").write.mode(mode).parquet(path)
+        return
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
