@@ -21,6 +21,31 @@ def entities(path: Column, *, derivatives: bool = False) -> dict[str, Column]:
     return {name: entity(path, p) for name, p in config.ENTITIES + (config.DERIVATIVE_ENTITIES if derivatives else [])}
 
 
+#: What an entity's pattern looks like that is a key after a separator, a hyphen and a value.
+_KEYED = re.compile(r"^\[_/\\\\\]\+([a-z]+)-\((.*)\)$")
+
+
+def tags(path: Column, *, derivatives: bool = False) -> Column:
+    """array<struct<entity, value>> of the entities that a path has, in one pass over it for all keys with values.
+
+    These stand after a separator, and no value holds one, so one expression finds them all; of equal keys the first counts.
+    The few entities of other kinds have a pattern each.
+    """
+    keyed = {m[1]: (name, m[2]) for name, p in config.ENTITIES if (m := _KEYED.match(p))}
+    pattern = r"[_/\\]+(?:" + "|".join(f"{k}-(?:{v})" for k, (_, v) in keyed.items()) + ")"
+    names = F.create_map(*[F.lit(x) for k, (name, _) in keyed.items() for x in (k, name)])
+    found = F.transform(F.regexp_extract_all(path, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"^[_/\\]+", ""))
+
+    def tag(x: Column) -> Column:
+        return F.struct(F.element_at(names, F.substring_index(x, "-", 1)).alias("entity"), F.substring_index(x, "-", -1).alias("value"))
+
+    #: Bound once as a lambda's argument, so that the path isn't searched again for each use.
+    pairs = F.flatten(F.transform(F.array(F.transform(found, tag)), lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, lambda y: y.entity), x.entity) == i + 1)))
+    others = [(n, p) for n, p in config.ENTITIES if not _KEYED.match(p)] + (config.DERIVATIVE_ENTITIES if derivatives else [])
+    single = F.array(*[F.struct(F.lit(n).alias("entity"), entity(path, p).alias("value")) for n, p in others])
+    return F.concat(pairs, F.filter(single, lambda x: x.value.isNotNull()))
+
+
 def filename(path: Column) -> Column:
     """The part after the last slash."""
     return F.element_at(F.split(path, "/"), -1)

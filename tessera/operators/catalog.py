@@ -32,13 +32,7 @@ def wide(df: DataFrame, *, derivatives: bool = False) -> DataFrame:
 
 def tags(df: DataFrame, *, derivatives: bool = False) -> DataFrame:
     """path, entity, value: a row for each entity that a path has."""
-    return df.select("path", F.explode(_tag_array(derivatives)).alias("t")).select("path", "t.entity", "t.value")
-
-
-def _tag_array(derivatives: bool) -> Column:
-    """The tags of a path as array<struct<entity, value>>."""
-    found = [F.struct(F.lit(n).alias("entity"), c.alias("value")) for n, c in paths.entities(F.col("path"), derivatives=derivatives).items()]
-    return F.filter(F.array(*found), lambda x: x.value.isNotNull())
+    return df.select("path", F.explode(paths.tags(F.col("path"), derivatives=derivatives)).alias("t")).select("path", "t.entity", "t.value")
 
 
 def entity_counts(tags_: DataFrame) -> DataFrame:
@@ -216,7 +210,7 @@ class CatalogQuery:
     def collect_maps(self) -> DataFrame:
         """The files found with their tags as a map."""
         if self.tags is None:
-            return self.paths().select("path", F.map_from_entries(F.array_sort(_tag_array(False))).alias("entities"))
+            return self.paths().select("path", F.map_from_entries(F.array_sort(paths.tags(F.col("path")))).alias("entities"))
         found = self.tags.join(self.paths().select("path"), "path", "left_semi")
         return found.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("entity", "value")))).alias("entities"))
 

@@ -133,3 +133,16 @@ def test_spatial_patterns_match_a_plain_solver(spark):
     assert names == [0, 1, 2, 3] and all(np.allclose(a, b, atol=1e-8) or np.allclose(a, -b, atol=1e-8) for a, b in zip(w, want.T, strict=True))
     got = {(r.rec, r.component): r.feature for r in signal.csp_transform(s, names, w).collect()}
     assert all(got[10 * g + e, k] == pytest.approx(np.log(np.var(want[:, k] @ x, ddof=1))) for (g, e), x in epochs.items() for k in range(2))
+
+
+@pytest.mark.parametrize("derivatives", [False, True])
+def test_tags_in_one_pass_are_those_of_each_pattern(spark, derivatives):
+    from tessera.functions import paths
+
+    draw = np.random.default_rng(5)
+    bits = ["sub-01", "ses-a+", "task-rest", "run-", "run-1a", "run-02", "run-x", "echo-3", "mt-on", "mt-online", "mt-off", "part-mag", "part-magx", "rec-1", "recording-2", "acq-x-y", "dir-AP", "chunk-07", "bold", "desc-x", "hemi-L", "x", "ce-", "T1w.nii.gz", "scans.tsv", "phasediff.nii", "eeg", "func", "-", "."]
+    rows = [("".join(str(draw.choice(bits)) + str(draw.choice(["_", "/", "\\", "", "__", "//", "."])) for _ in range(draw.integers(1, 9))),) for _ in range(1500)] + [("",), (None,), ("/",)]
+    df = spark.createDataFrame(rows, "path string")
+    want = df.select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("entity"), c.alias("value")) for n, c in paths.entities(F.col("path"), derivatives=derivatives).items()])).alias("t")).select("path", "t.*").where("value IS NOT NULL")
+    got = df.select("path", F.explode(paths.tags(F.col("path"), derivatives=derivatives)).alias("t")).select("path", "t.*")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
