@@ -97,6 +97,8 @@ def repetition_time(inherited):
     return found.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.raise_error(text).cast("double")).alias("tr"))
 
 
-def world(affine: list[list[float]], i: Column, j: Column, k: Column) -> list[Column]:
-    """x, y, z of a voxel by the three upper rows of a 4 x 4 matrix."""
+def world(affine: list[list[float]] | Column, i: Column, j: Column, k: Column) -> list[Column]:
+    """x, y, z of a voxel by the three upper rows of a 4 x 4 matrix, given as numbers or as a column of header tables."""
+    if isinstance(affine, Column):
+        affine = [[F.get(F.get(affine, r), c) for c in range(4)] for r in range(3)]
     return [(i * r[0] + j * r[1] + k * r[2] + r[3]).alias(n) for n, r in zip("xyz", affine, strict=False)]

@@ -164,7 +164,7 @@ def mean_scores(results: DataFrame, by: list[str], score: str) -> DataFrame:
 
 def write_split(df: DataFrame, path: str) -> None:
     """One folder of CSV files for each split; values are quoted where they must be."""
-    df.write.mode("error").partitionBy("split").option("header", True).csv(path)
+    df.write.mode("error").partitionBy("split").option("header", True).option("escape", '"').csv(path)
 
 
 # Columns of benchmark results.

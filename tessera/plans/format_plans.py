@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.plans import views
 from tessera.plans.signal_plans import _r, _rounded
 from tessera.plans.views import EVENTS_SQL
+from tessera.functions import metadata
 from tessera.operators import datasets
 from tessera.sources import files, headers, images, recordings, text
 
@@ -89,6 +90,19 @@ def nifti_volumes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(v.select(F.regexp_extract("path", r"(\d+)[.]\w+([.]gz)?$", 1).cast("long").alias("rec"), "t", F.posexplode("voxels").alias("voxel", "value")), "value")
 
 
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d, "nifti-headers", lambda rec, labels, x: recordings.nifti_files(str(rec), x.T.reshape(4, 4, 4, -1, order="F").astype("f4"), zooms=(1.0, 2.0, 0.5, 0.25 * (rec % 3)), two=rec % 2 == 1, packed=rec % 3 == 0, pair=rec % 4 == 0))
+    h = headers.read_images(files.listing(spark, root, "*.{nii,nii.gz,hdr,hdr.gz}"))
+    z = metadata.world(F.col("affine"), F.lit(1.0), F.lit(2.0), F.lit(3.0))[2]
+    return h.select(F.regexp_extract("path", r"(\d+)[.]\w+([.]gz)?$", 1).cast("long").alias("rec"), "version", "n_volumes", F.array_join("matrix", "x").alias("matrix"), F.get("voxel_size", 1).alias("size_y"), "repetition_time", "data_type", z)
+
+
+def edf_headers(spark: SparkSession, d: str) -> DataFrame:
+    root = _stored(spark, d, "edf-headers", _edf)
+    h = headers.read_edf_headers(files.listing(spark, root))
+    return h.select(F.regexp_extract("path", r"(\d+)[.]\w+$", 1).cast("long").alias("rec"), "n_channels", "records", "record_s", "duration", "bits", F.size("labels").alias("n_labels"), F.get("labels", 0).alias("first"), F.array_max("rates").alias("rate"), F.get("units", 0).alias("unit"))
+
+
 def _image(rec: int, labels: list[str], x: np.ndarray) -> dict[str, bytes]:
     """The channels as rows of pixels: floats, or whole numbers of two bytes in strips, tiles or packed."""
     how = ({}, {"rows": 5, "order": ">"}, {"tile": 16, "compression": 8, "predictor": 2}, {"rows": 3, "compression": 32773, "big": True})[rec % 4]
@@ -231,11 +245,107 @@ def copied_files(spark: SparkSession, d: str) -> DataFrame:
     return listed.groupBy(F.regexp_extract("path", r"/n(\d+)/", 1).cast("long").alias("nation")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
+def edf_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each user as the annotations of an EDF+ file, read back as timed marks."""
+    root = files.scratch(spark, "edf-marks")
+
+    def made(key, group):
+        import pandas as pd
+
+        marks = [(float(o), t) for o, t in zip(group["onset"], group["trial_type"], strict=True)]
+        return pd.DataFrame([(f"{key[0]}.edf", recordings.edf_annotation_bytes(marks, 0.5))], columns=["name", "content"])
+
+    e = views.events(spark, d).select("subject", (F.col("event_id") / 4).alias("onset"), "trial_type")
+    files.write_files(e.groupBy("subject").applyInPandas(made, "name string, content binary"), root).agg(F.sum("bytes")).collect()
+    marks = recordings.read_annotations(files.listing(spark, root, "*.edf"))
+    return marks.select(F.regexp_extract("path", r"(\d+)[.]edf$", 1).cast("long").alias("subject"), "onset", "duration", "description")
+
+
+def headerless_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A physiological recording without a header for each vector, numbered by lines."""
+    root = files.scratch(spark, "physio")
+    e = views.read(spark, d, "embeddings")
+    line = F.array_join(F.transform("embedding", lambda x, i: F.concat(i.cast("string"), F.lit("\t"), F.when(i % 7 == 3, "n/a").otherwise(F.round(x.cast("double") * 1000).cast("long").cast("string")))), "\n")
+    files.write_files(e.select(F.format_string("p%d_physio.tsv", "vec_id").alias("name"), line.cast("binary").alias("content")), root).agg(F.sum("bytes")).collect()
+    t = text.read_headerless_tsv(spark, root, ["sample", "cardiac"])
+    return t.select(F.regexp_extract("path", r"p(\d+)_physio", 1).cast("long").alias("rec"), "row", "sample", "cardiac")
+
+
+def channels_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers and customers as channels with types in several spellings."""
+    path = files.scratch(spark, "channels")
+    k = F.col("c_custkey")
+    c = views.read(spark, d, "customer").select(F.col("c_name").alias("name"), F.element_at(F.array(F.lit(" eeg"), F.lit("EKG"), F.lit("stim"), F.lit(None), F.lit("odd"), F.lit("HEOG")), (k % 6 + 1).cast("int")).alias("type"), F.when(k % 4 > 0, "uV").alias("units"), F.col("c_acctbal").cast("string").alias("low_cutoff"), F.when(k % 5 == 0, "bad").otherwise("good").alias("status"))
+    text.write_tsv(c, path)
+    return text.read_channels(spark, path).select("name", "type", "units", "status", "low_cutoff", "high_cutoff")
+
+
+def electrode_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "electrodes")
+    k = F.col("c_custkey")
+    c = views.read(spark, d, "customer").select(F.col("c_name").alias("name"), k.cast("string").alias("x"), F.when(k % 3 > 0, F.col("c_acctbal").cast("string")).alias("y"), F.when(k % 4 == 0, "unknown").otherwise("1e2").alias("z"), F.lit("ring").alias("type"))
+    text.write_tsv(c, path)
+    return text.read_positions(spark, path)
+
+
+def blood_readings(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "blood")
+    o = views.read(spark, d, "orders")
+    text.write_tsv(o.select(F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderkey").cast("string")).alias("time"), F.col("o_totalprice").cast("string").alias("plasma_radioactivity"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise("0.25").alias("metabolite_parent_fraction")), path)
+    b = text.read_blood(spark, path)
+    return b.groupBy("metabolite_parent_fraction").agg(F.count("*").alias("n"), F.sum("time").alias("time"), F.round(F.sum("plasma_radioactivity"), 2).alias("plasma"), F.count("whole_blood_radioactivity").alias("whole"))
+
+
+def asl_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a nation as the volumes of a perfusion series."""
+    root = files.scratch(spark, "asl")
+    kind = F.element_at(F.array(*map(F.lit, ("control", "label", "m0scan"))), (F.length("c_mktsegment") % 3 + 1).cast("int"))
+    c = views.read(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", kind.alias("kind")))).alias("a"))
+    content = F.concat(F.lit("volume_type\n"), F.array_join(F.transform("a", lambda x: x.kind), "\n"), F.lit("\n"))
+    files.write_files(c.select(F.format_string("sub-%d_aslcontext.tsv", "c_nationkey").alias("name"), content.cast("binary").alias("content")), root).agg(F.sum("bytes")).collect()
+    return text.read_asl_context(spark, root).select(F.regexp_extract("path", r"sub-(\d+)_", 1).cast("long").alias("nation"), "volume", "volume_type")
+
+
+def description_files(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset's description for each supplier, with its issues."""
+    root, k = files.scratch(spark, "descriptions"), F.col("s_suppkey")
+    made_by = F.when(k % 3 == 0, F.array(F.struct(F.col("s_name").alias("Name"), F.lit("1.0").alias("Version"))))
+    content = F.to_json(F.struct(F.when(k % 4 > 0, F.col("s_name")).alias("Name"), F.when(k % 5 > 0, F.lit("1.8.0")).otherwise(" ").alias("BIDSVersion"), F.when(k % 2 == 0, "derivative").otherwise("raw").alias("DatasetType"), F.array(F.lit("a"), F.col("s_name")).alias("Authors"), made_by.alias("GeneratedBy")))
+    files.write_files(views.read(spark, d, "supplier").select(F.format_string("d%d/dataset_description.json", "s_suppkey").alias("name"), content.cast("binary").alias("content")), root).agg(F.sum("bytes")).collect()
+    return text.description_issues(text.read_description(spark, f"{root}/*")).groupBy("field", "message").agg(F.count("*").alias("n"))
+
+
+def coordsystem_files(spark: SparkSession, d: str) -> DataFrame:
+    root, k = files.scratch(spark, "coordsystems"), F.col("s_suppkey")
+    content = F.to_json(F.struct(F.when(k % 2 == 0, "CapTrak").alias("EEGCoordinateSystem"), F.lit("mm").alias("EEGCoordinateUnits"), F.create_map(F.lit("NAS"), F.array(k.cast("double"), F.col("s_acctbal").cast("double"), F.lit(0.5))).alias("FiducialsCoordinates")))
+    files.write_files(views.read(spark, d, "supplier").select(F.format_string("s%d_coordsystem.json", "s_suppkey").alias("name"), content.cast("binary").alias("content")), root).agg(F.sum("bytes")).collect()
+    c = text.read_coordsystem(spark, root)
+    at = F.try_element_at("FiducialsCoordinates", F.lit("NAS"))
+    return c.select(F.regexp_extract("path", r"s(\d+)_coordsystem", 1).cast("long").alias("supplier"), F.col("EEGCoordinateSystem").alias("system"), F.col("EEGCoordinateUnits").alias("units"), *[F.get(at, k).alias(n) for k, n in enumerate("xyz")])
+
+
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest as CSV and as Parquet, and splits as folders of CSV, counted together."""
+    o = views.read(spark, d, "orders").select(F.format_string("sub-%d", "o_custkey").alias("subject"), F.lit('a "b", c').alias("task"), F.col("o_orderkey").alias("run"), F.lit(".edf").alias("extension"), F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("split"))
+    csv, parquet, split = (files.scratch(spark, n) for n in ("manifest-csv", "manifest-parquet", "manifest-split"))
+    text.write_manifest(o, csv)
+    text.write_manifest(o, parquet, form="parquet")
+    datasets.write_split(o, split)
+    read = lambda p: spark.read.option("header", True).option("escape", '"').csv(p)
+    forms = {"csv": read(csv), "parquet": spark.read.parquet(parquet), "split": read(split)}
+    out = None
+    for name, df in forms.items():
+        part = df.groupBy("split", "task").agg(F.countDistinct("subject").alias("subjects"), F.count("*").alias("n")).withColumn("form", F.lit(name)).withColumn("columns", F.lit(len(df.columns)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        edf_recordings, brainvision_recordings, eeglab_recordings, mixed_recordings, nifti_volumes, tiff_pixels, ome_pages, ctf_channels, cifti_models, gifti_surfaces,
-        events_tables, gradient_files, sidecar_files, results_files, head_shapes, copied_files,
+        edf_recordings, brainvision_recordings, eeglab_recordings, mixed_recordings, nifti_volumes, image_headers, edf_headers, tiff_pixels, ome_pages, ctf_channels, cifti_models, gifti_surfaces,
+        events_tables, gradient_files, sidecar_files, results_files, head_shapes, copied_files, edf_marks, headerless_tables, channels_tables, electrode_tables, blood_readings,
+        asl_contexts, description_files, coordsystem_files, manifest_files,
     )
 }
 
@@ -254,6 +364,10 @@ ORACLES = {
     "mixed_recordings": f"{_X} SELECT rec, label, idx, {_r(f'CASE rec % 3 WHEN 0 THEN {_EDF_VALUE} WHEN 1 THEN {_RAW_VALUE} ELSE x END')} AS value FROM v WHERE label NOT IN ('C3', 'C30')",
     "nifti_volumes": f"""{_X} SELECT rec, row_number() OVER (PARTITION BY rec, idx ORDER BY length(label), label)::INT - 1 AS t, idx::INT AS voxel,
       {_r("CASE WHEN rec % 5 = 4 THEN round_even((x::FLOAT * 1000::FLOAT)::DOUBLE, 0) * 0.001::FLOAT::DOUBLE + 0.5 ELSE x END")} AS value FROM v""",
+    "image_headers": f"""WITH r AS (SELECT vec_id // {CHANNELS} AS rec, count(*) AS n FROM embeddings GROUP BY ALL)
+      SELECT rec, CASE rec % 2 WHEN 1 THEN 2 ELSE 1 END AS version, n::INT AS n_volumes, '4x4x4' AS matrix, 2.0::DOUBLE AS size_y, CASE WHEN rec % 3 > 0 THEN 0.25 * (rec % 3) END::DOUBLE AS repetition_time, 'float32' AS data_type, 1.5::DOUBLE AS z FROM r""",
+    "edf_headers": f"""WITH r AS (SELECT vec_id // {CHANNELS} AS rec, count(*) AS n, min(vec_id % {CHANNELS}) AS c FROM embeddings GROUP BY ALL)
+      SELECT rec, n::INT AS n_channels, 4::BIGINT AS records, 1.0::DOUBLE AS record_s, 4.0::DOUBLE AS duration, CASE rec % 2 WHEN 1 THEN 24 ELSE 16 END AS bits, n::INT AS n_labels, 'C' || c AS first, {RATE}.0::DOUBLE AS rate, 'uV' AS unit FROM r""",
     "tiff_pixels": f"""{_X} SELECT rec, (row_number() OVER (PARTITION BY rec, idx ORDER BY length(label), label) - 1)::INT AS y, idx::INT AS x,
       {_r("CASE WHEN rec % 4 = 0 THEN x ELSE round_even((x + 4) * 8000, 0) / 65535 END")} AS value FROM v""",
     "ome_pages": f"""WITH r AS (SELECT vec_id // {CHANNELS} AS rec, count(*) AS n, 'C' || min(vec_id % {CHANNELS}) AS c FROM embeddings GROUP BY ALL),
@@ -280,4 +394,19 @@ ORACLES = {
     "head_shapes": """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'nasion' WHEN 1 THEN 'EEG7' WHEN 2 THEN 'hpi_2' ELSE '' END AS label, s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y, s_acctbal::DOUBLE AS z,
       CASE s_suppkey % 4 WHEN 0 THEN 'fiducial' WHEN 1 THEN 'eeg' WHEN 2 THEN 'hpi' ELSE 'extra' END AS kind FROM supplier WHERE s_suppkey % 9 > 0""",
     "copied_files": "SELECT c_nationkey::BIGINT AS nation, count(*) AS n, sum(length(c_name))::BIGINT AS bytes FROM customer GROUP BY c_nationkey",
+    "edf_marks": f"WITH {EVENTS_SQL} SELECT subject, event_id / 4.0::DOUBLE AS onset, 0.5::DOUBLE AS duration, trial_type AS description FROM e",
+    "headerless_tables": """SELECT vec_id AS rec, (i - 1)::BIGINT AS row, (i - 1)::DOUBLE AS sample, CASE WHEN (i - 1) % 7 <> 3 THEN round(embedding[i]::DOUBLE * 1000) + 0.0 END AS cardiac
+      FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)""",
+    "channels_tables": """SELECT c_name AS name, ['EEG', 'ECG', 'TRIG', 'MISC', 'OTHER', 'HEOG'][c_custkey % 6 + 1] AS type, CASE WHEN c_custkey % 4 > 0 THEN 'uV' ELSE 'n/a' END AS units,
+      CASE WHEN c_custkey % 5 = 0 THEN 'bad' ELSE 'good' END AS status, c_acctbal::DOUBLE AS low_cutoff, NULL::DOUBLE AS high_cutoff FROM customer""",
+    "electrode_tables": "SELECT c_name AS name, c_custkey::DOUBLE AS x, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END::DOUBLE AS y, CASE WHEN c_custkey % 4 > 0 THEN 100 END::DOUBLE AS z FROM customer",
+    "blood_readings": """SELECT CASE WHEN o_orderkey % 2 = 1 THEN 0.25 END::DOUBLE AS metabolite_parent_fraction, count(*) AS n, sum(CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey ELSE 0 END)::DOUBLE AS time,
+      round(sum(o_totalprice::DOUBLE), 2) AS plasma, 0::BIGINT AS whole FROM orders GROUP BY ALL""",
+    "asl_contexts": """SELECT c_nationkey::BIGINT AS nation, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS volume, ['control', 'label', 'm0scan'][length(c_mktsegment) % 3 + 1] AS volume_type FROM customer""",
+    "description_files": """SELECT 'Name' AS field, 'Name is missing' AS message, count(*) AS n FROM supplier WHERE s_suppkey % 4 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'BIDSVersion', 'BIDSVersion is missing', count(*) FROM supplier WHERE s_suppkey % 5 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'GeneratedBy', 'a derivative names what made it', count(*) FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 > 0 HAVING count(*) > 0""",
+    "coordsystem_files": "SELECT s_suppkey::BIGINT AS supplier, CASE WHEN s_suppkey % 2 = 0 THEN 'CapTrak' END AS system, 'mm' AS units, s_suppkey::DOUBLE AS x, s_acctbal::DOUBLE AS y, 0.5::DOUBLE AS z FROM supplier",
+    "manifest_files": """SELECT ['train', 'val', 'test'][o_orderkey % 3 + 1] AS split, 'a "b", c' AS task, count(DISTINCT o_custkey) AS subjects, count(*) AS n, form, CASE form WHEN 'parquet' THEN 3 ELSE 5 END AS columns
+      FROM orders, (VALUES ('csv'), ('parquet'), ('split')) f(form) GROUP BY ALL""",
 }

@@ -30,7 +30,8 @@ def _rows_of(files: DataFrame, read: Callable, schema: str) -> DataFrame:
                         rows += [(path, *r) for r in read(f, path)]
                     except (struct.error, IndexError) as e:
                         raise ValueError(f"{path}: its header is cut short") from e
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return files.select("path").mapInPandas(run, schema)
 
@@ -196,3 +197,54 @@ def read_gifti(files: DataFrame) -> DataFrame:
     rows = _rows_of(files, _gifti, GIFTI_SCHEMA)
     first = lambda intent: F.get(F.transform(F.filter("arrays", lambda a: a.intent == intent), lambda a: F.get(a.dims, 0)), 0)
     return rows.select("path", F.size("arrays").alias("n_arrays"), first(POINTS).alias("n_vertices"), first(TRIANGLES).alias("n_faces"), "arrays", "metadata")
+
+
+IMAGE_SCHEMA = "path string, version int, shape array<int>, zooms array<double>, data_type string, slope double, inter double, affine array<array<double>>"
+
+
+def _image(f, path: str):
+    import gzip
+
+    import numpy as np
+
+    from tessera.sources.recordings import VOXEL_TYPES, nifti_header
+
+    raw = (gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f).read(IMAGE_HEADER)
+    size = struct.unpack("<i", raw[:4])[0]
+    if size not in (348, IMAGE_HEADER):
+        raise ValueError(f"{path}: not a volume image")
+    h = nifti_header(raw)
+    kind = VOXEL_TYPES.get(h["code"])
+    yield 2 if size == IMAGE_HEADER else 1, h["shape"], h["zooms"], np.dtype(kind).name if kind else "other", h["slope"], h["inter"], h["affine"]
+
+
+def read_images(files: DataFrame) -> DataFrame:
+    """A row for each volume image (.nii, or the .hdr of a pair): its header, with n_volumes, matrix, voxel_size and repetition_time.
+
+    The repetition time is null where the header has none (0).
+    """
+    h = _rows_of(files, _image, IMAGE_SCHEMA)
+    time = F.get("zooms", 3)
+    derived = {"n_volumes": F.coalesce(F.get("shape", 3), F.lit(1)), "matrix": F.slice("shape", 1, 3), "voxel_size": F.slice("zooms", 1, 3), "repetition_time": F.when(time > 0, time)}
+    return h.withColumns(derived)
+
+
+EDF_SCHEMA = "path string, n_channels int, records long, record_s double, duration double, bits int, labels array<string>, units array<string>, rates array<double>, patient string, kind string"
+
+
+def _edf(f, path: str):
+    from tessera.sources.recordings import edf_header
+
+    raw = f.read(256)
+    if raw[:8].strip() not in (b"0", b"\xffBIOSEMI"):
+        raise ValueError(f"{path}: not an EDF or BDF file")
+    raw += f.read(256 * int(raw[252:256]))
+    f.seek(0, 2)
+    h = edf_header(raw, f.tell())
+    rates = [n / h["record_s"] if h["record_s"] else 0.0 for n in h["samples"]]
+    yield h["channels"], h["records"], h["record_s"], h["records"] * h["record_s"], 8 * h["sample_bytes"], h["label"], h["unit"], rates, h["patient"], h["kind"]
+
+
+def read_edf_headers(files: DataFrame) -> DataFrame:
+    """A row for each EDF or BDF file: channels, records, duration in seconds, bits, labels, units and rates."""
+    return _rows_of(files, _edf, EDF_SCHEMA)

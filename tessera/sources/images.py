@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.sources.files import opened
-from tessera.sources.recordings import PART_BYTES
+from tessera.sources.recordings import PART_BYTES, _batch
 
 # Bytes and struct codes of the field types.
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -256,7 +256,8 @@ def read_pages(files: DataFrame) -> DataFrame:
                     form = {1: "uint", 2: "int", 3: "float"}.get(_one(page, FORMAT, 1), "other")
                     blocks = len(page.get(TILES, page.get(STRIPS, [])))
                     rows.append((path, k, _one(page, WIDTH, 0), _one(page, HEIGHT, 0), _one(page, SAMPLES, 1), _one(page, BITS, 1), form, _one(page, COMPRESSION, 1), blocks, page.get(DESCRIPTION)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
 
     return files.select("path").mapInPandas(pages, PAGE_SCHEMA)
 
@@ -265,11 +266,12 @@ def read_blocks(files: DataFrame) -> DataFrame:
     """The blocks of all images of files (column path): tasks plan them, then each is read by the task it was dealt to."""
 
     def planned(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            found = [r for p in b["path"] for r in TiffReader({"path": p}).partitions() if r.path]
-            yield pd.DataFrame([(r.path, r.page, r.first, r.last) for r in found], columns=["path", "page", "first", "last"])
+            found = [(r.path, r.page, r.first, r.last) for p in b.column(0).to_pylist() for r in TiffReader({"path": p}).partitions() if r.path]
+            if found:
+                yield _batch(found, ["path", "page", "first", "last"], [pa.string(), *[pa.int32()] * 3])
 
     def read(batches):
         import pyarrow as pa
@@ -278,11 +280,10 @@ def read_blocks(files: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
         for b in batches:
             for r in b.to_pylist():
-                rows = list(TiffReader({"path": r["path"]}).read(Blocks(**r)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                if rows := list(TiffReader({"path": r["path"]}).read(Blocks(**r))):
+                    yield _batch(rows, names, kinds)
 
-    ranges = files.select("path").mapInPandas(planned, "path string, page int, first int, last int")
+    ranges = files.select("path").mapInArrow(planned, "path string, page int, first int, last int")
     return ranges.repartition(F.xxhash64("path", "page", "first")).mapInArrow(read, BLOCK_SCHEMA)
 
 

@@ -7,6 +7,7 @@ each of which seeks to its own bytes; channel and time options cut what is read.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,27 @@ def _chosen(labels: list[str], options) -> list[int]:
     return [k for k, n in enumerate(labels) if (not include or n in include) and n not in exclude]
 
 
+def planned_ranges(files: DataFrame, reader: Callable[[str], DataSourceReader]) -> DataFrame:
+    """path, first, last: the ranges that the reader of each file plans, worked out in tasks and dealt to tasks."""
+
+    def planned(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [r for p in b.column(0).to_pylist() for r in reader(p).partitions() if r.path]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r.path for r in found], pa.string()), pa.array([r.first for r in found], pa.int64()), pa.array([r.last for r in found], pa.int64())], names=["path", "first", "last"])
+
+    return files.select("path").mapInArrow(planned, "path string, first long, last long").repartition(F.xxhash64("path", "first"))
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list):
+    """An Arrow batch of rows."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
 def edf_header(raw: bytes, size: int | None = None) -> dict:
     """The header of an EDF or BDF file from its first bytes; an unknown number of records follows from the size."""
     text = lambda a, n: raw[a : a + n].decode("latin-1").strip()
@@ -180,6 +202,36 @@ def edf_bytes(labels: list[str], signals: np.ndarray, rate: int, *, bdf: bool =
     return head + (blocks.astype("<i2").tobytes() if not bdf else np.ascontiguousarray(blocks).view("u1").reshape(-1, 4)[:, :3].tobytes())
 
 
+def edf_annotation_bytes(marks: list[tuple[float, str]], duration: float, *, per_record: int = 8) -> bytes:
+    """An EDF+ file of annotations alone (onset, text), for round trips: records without a time of their own hold per_record marks."""
+    marks = sorted(marks)
+    lists = [b"".join(f"+{o:g}\x15{duration:g}\x14{t}\x14".encode() + b"\0" for o, t in marks[k : k + per_record]) for k in range(0, len(marks), per_record)]
+    starts = [f"+{k}\x14\x14".encode() + b"\0" for k in range(len(lists))]
+    size = max((len(s) + len(x) for s, x in zip(starts, lists, strict=True)), default=2)
+    size += size % 2
+    fixed = lambda x, w: str(x).ljust(w)[:w].encode("latin-1")
+    head = fixed("0", 8) + fixed("X", 80) + fixed("X", 80) + fixed("01.01.24", 8) + fixed("00.00.00", 8) + fixed(512, 8) + fixed("EDF+C", 44) + fixed(len(lists), 8) + fixed(0, 8) + fixed(1, 4)
+    for value, w in (("EDF Annotations", 16), ("", 80), ("", 8), (-1, 8), (1, 8), (-32768, 8), (32767, 8), ("", 80), (size // 2, 8), ("", 32)):
+        head += fixed(value, w)
+    return head + b"".join((s + x).ljust(size, b"\0") for s, x in zip(starts, lists, strict=True))
+
+
+def read_annotations(files: DataFrame) -> DataFrame:
+    """path, onset, duration, description of the timed annotations of all EDF+ and BDF+ files among files (column path)."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.string()]
+        for b in batches:
+            for r in b.to_pylist():
+                if rows := list(EdfReader({"path": r["path"]}, True).read(Range(**r))):
+                    yield _batch(rows, ["path", "onset", "duration", "description"], kinds)
+
+    known = files.where(F.lower("path").rlike("[.](edf|bdf)$"))
+    return planned_ranges(known, lambda p: EdfReader({"path": p}, True)).mapInArrow(read, "path string, onset double, duration double, description string")
+
+
 def vhdr(text: str) -> dict:
     """The header of a multiplexed raw recording: file, orientation, format, interval and channels with their resolutions."""
     section, values, channels = "", {}, []
@@ -420,27 +472,18 @@ def read_recordings(files: DataFrame, **options: str) -> DataFrame:
     than a driver should open.
     """
 
-    def planned(batches):
-        import pandas as pd
-
-        for b in batches:
-            found = [r for p in b["path"] for r in _reader(p, options).partitions() if r.path]
-            yield pd.DataFrame({"path": [r.path for r in found], "first": [r.first for r in found], "last": [r.last for r in found]})
-
     def chunks(batches):
         import pyarrow as pa
 
         names = ["path", "channel", "label", "rate", "start", "values"]
         kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
         for b in batches:
-            for row in b.to_pylist():
-                rows = list(_reader(row["path"], options).read(Range(row["path"], row["first"], row["last"])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for r in b.to_pylist():
+                if rows := list(_reader(r["path"], options).read(Range(**r))):
+                    yield _batch(rows, names, kinds)
 
-    known = files.where(F.lower("path").rlike("[.](edf|bdf|vhdr|set)$")).select("path")
-    ranges = known.mapInPandas(planned, "path string, first long, last long")
-    return ranges.repartition(F.xxhash64("path", "first")).mapInArrow(chunks, CHUNK_SCHEMA)
+    known = files.where(F.lower("path").rlike("[.](edf|bdf|vhdr|set)$"))
+    return planned_ranges(known, lambda p: _reader(p, options)).mapInArrow(chunks, CHUNK_SCHEMA)
 
 
 # Codes of the numeric types of volume images.
@@ -570,23 +613,16 @@ def nifti_files(name: str, data: np.ndarray, *, slope: float = 1.0, inter: float
 def read_volumes(files: DataFrame) -> DataFrame:
     """path, t, voxels of all images among files (column path): tasks plan the volumes, which are then dealt to tasks."""
 
-    def planned(batches):
-        import pandas as pd
-
-        for b in batches:
-            found = [r for p in b["path"] for r in NiftiReader({"path": p}).partitions() if r.path]
-            yield pd.DataFrame({"path": [r.path for r in found], "first": [r.first for r in found], "last": [r.last for r in found]})
-
     def read(batches):
         import pyarrow as pa
 
         for b in batches:
             for r in b.to_pylist():
-                for path, t, voxels in NiftiReader({"path": r["path"]}).read(Range(**r)):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([t], pa.int32()), pa.array([voxels], pa.list_(pa.float64()))], names=["path", "t", "voxels"])
+                for row in NiftiReader({"path": r["path"]}).read(Range(**r)):
+                    yield _batch([row], ["path", "t", "voxels"], [pa.string(), pa.int32(), pa.list_(pa.float64())])
 
-    known = files.where(F.col("path").rlike("[.](nii|hdr)([.]gz)?$")).select("path")
-    return known.mapInPandas(planned, "path string, first long, last long").repartition(F.xxhash64("path", "first")).mapInArrow(read, "path string, t int, voxels array<double>")
+    known = files.where(F.col("path").rlike("[.](nii|hdr)([.]gz)?$"))
+    return planned_ranges(known, lambda p: NiftiReader({"path": p})).mapInArrow(read, "path string, t int, voxels array<double>")
 
 
 def register(spark) -> None:

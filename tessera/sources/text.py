@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DESCRIPTION = (
@@ -19,10 +19,21 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_headerless_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, row, line of text files, rows from 0 on in each file.
+
+    A large file is read in blocks by many tasks: lines are numbered in their block, and blocks by the lines before them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lines.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(before, F.lit(0)).alias("start"))
+    within = lines.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
+    return within.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("k")).alias("row"), "line")
+
+
+def read_headerless_tsv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """Recordings without a header row, named by their sidecar's Columns, as numbers; row is the line's number in its file."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("row", "line"))
-    cells = lines.withColumn("c", F.split("line", "\t"))
+    cells = numbered_lines(spark, path).withColumn("c", F.split(F.regexp_replace("line", "\r$", ""), "\t"))
     return cells.select("path", "row", *[F.get("c", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(columns)])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources import files, headers, images, matlab, recordings
+from tessera.sources import files, headers, images, matlab, recordings, text
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -263,3 +263,58 @@ def test_gifti(spark, tmp_path):
     for bad in (b"not a gifti file", b"<html></html>", made["a.surf.gii"][:-8]):
         with pytest.raises(Exception, match="not a GIFTI"):
             headers.read_gifti(put_frame(spark, tmp_path, {"bad.gii": bad})).collect()
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    for name, n in (("a.tsv", 3000), ("b.tsv", 7), ("c.tsv", 1)):
+        (tmp_path / name).write_text("".join(f"{k}\t{'x' if k % 5 else 'n/a'}\t{k / 2}\n" for k in range(n)))
+    (tmp_path / "d.tsv").write_text("1\t2\t3\r\n\r\n4")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        t = text.read_headerless_tsv(spark, str(tmp_path), ["k", "odd", "half"])
+        assert spark.read.text(str(tmp_path)).select("_metadata.file_path", "_metadata.file_block_start").distinct().count() > 6
+        rows = {(r.path[-5:], r.row): (r.k, r.odd, r.half) for r in t.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {(name, k): (float(k), None, k / 2) for name, n in (("a.tsv", 3000), ("b.tsv", 7), ("c.tsv", 1)) for k in range(n)}
+    assert rows == want | {("d.tsv", 0): (1.0, 2.0, 3.0), ("d.tsv", 1): (None, None, None), ("d.tsv", 2): (4.0, None, None)}
+
+
+def test_header_tables(spark, tmp_path):
+    data = np.arange(2 * 3 * 4 * 5, dtype="i2").reshape(2, 3, 4, 5)
+    made = recordings.nifti_files("a", data, zooms=(1.0, 2.0, 3.0, 1.5)) | recordings.nifti_files("b", data[..., 0], pair=True, packed=True, two=True)
+    r = {x.path.rpartition("/")[2]: x for x in headers.read_images(put_frame(spark, tmp_path, {k: v for k, v in made.items() if "img" not in k})).collect()}
+    a, b = r["a.nii"], r["b.hdr.gz"]
+    assert (a.version, a.n_volumes, a.matrix, a.voxel_size, a.repetition_time, a.data_type) == (1, 5, [2, 3, 4], [1.0, 2.0, 3.0], 1.5, "int16")
+    assert (b.version, b.n_volumes, b.matrix, b.repetition_time) == (2, 1, [2, 3, 4], None)
+    put(tmp_path, made)
+    voxels = {(x.path.rpartition("/")[2], x.t): x.voxels for x in recordings.read_volumes(files.listing(spark, str(tmp_path), "*.{nii,hdr.gz}")).collect()}
+    assert voxels["a.nii", 3] == data[..., 3].ravel(order="F").tolist() and voxels["b.hdr.gz", 0] == data[..., 0].ravel(order="F").tolist()
+    e = headers.read_edf_headers(put_frame(spark, tmp_path, {"x.edf": recordings.edf_bytes(NAMES, X.astype("f8"), 100, limit=8.0), "y.bdf": recordings.edf_bytes(NAMES[:2], X[:2].astype("f8"), 50, limit=8.0, bdf=True)}))
+    assert [(x.n_channels, x.records, x.duration, x.bits, x.labels[-1], x.rates[0]) for x in e.orderBy("path").collect()] == [(5, 7, 7.0, 16, "O,2", 100.0), (2, 14, 14.0, 24, "Cz", 50.0)]
+    for bad, read in (({"bad.nii": b"nothing at all here"}, headers.read_images), ({"bad.edf": b"x" * 300}, headers.read_edf_headers), ({"cut.edf": recordings.edf_bytes(NAMES, X.astype("f8"), 100)[:300]}, headers.read_edf_headers)):
+        with pytest.raises(Exception, match="not a|cut short"):
+            read(put_frame(spark, tmp_path, bad)).collect()
+
+
+def test_annotations_of_many_files(spark, tmp_path):
+    marks = {"a.edf": [(k / 8, f"m{k % 3}") for k in range(50)], "b.edf": [], "c.edf": [(2.5, "é")]}
+    listed = put_frame(spark, tmp_path, {n: recordings.edf_annotation_bytes(m, 0.25) for n, m in marks.items()})
+    got = sorted((r.path.rpartition("/")[2], r.onset, r.duration, r.description) for r in recordings.read_annotations(listed).collect())
+    assert got == sorted((n, o, 0.25, t) for n, m in marks.items() for o, t in m)
+
+
+def test_written_files_and_splits(spark, tmp_path):
+    made = spark.createDataFrame([(f"d{k % 3}/f{k}.bin", bytes([k]) * k) for k in range(20)], "name string, content binary").repartition(4)
+    paths = {r.path: r.bytes for r in files.write_files(made, str(tmp_path / "out")).collect()}
+    assert len(paths) == 20 and all(open(p, "rb").read() == bytes([n]) * n for p, n in paths.items())
+    assert len(list((tmp_path / "out").rglob("*.bin*"))) == 20
+    from tessera.operators import datasets
+
+    rows = [("train", 'a "b", c'), ("val", "x,y"), ("train", "plain")]
+    datasets.write_split(spark.createDataFrame(rows, "split string, name string"), str(tmp_path / "s"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "s"))
+    assert sorted((r.split, r.name) for r in back.collect()) == sorted(rows)
