@@ -190,7 +190,12 @@ def derivatives(datasets: DataFrame) -> DataFrame:
 
 
 def harmonised_rates(s: DataFrame, rates: DataFrame, target: float, keys: list[str]) -> DataFrame:
-    """Samples at one rate: recordings whose rate differs by over 0.01 are resampled. rates: keys[0], rate; rates are few."""
+    """Samples at one rate: recordings whose rate differs by over 0.01 are resampled. rates: keys[0], rate.
+
+    All rates together in one pass over channels that fit in a block; longer ones take a pass for each rate, of which there are few.
+    """
+    if not signal._is_long(s):
+        return signal.resample_each(s.join(rates.select(keys[0], "rate"), keys[0]), target, keys)
     out = None
     for r in sorted(x.rate for x in rates.select("rate").distinct().collect()):
         part = s.join(rates.where(F.col("rate") == r).select(keys[0]), keys[0], "left_semi").select(*keys, "idx", "value")

@@ -338,6 +338,21 @@ def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = K
     return out.join(n, keys).where(F.col("idx") < F.col("_n")).select(*keys, F.col("idx").cast(kind).alias("idx"), "value")
 
 
+def resample_each(s: DataFrame, new_rate: float, keys: list[str] = KEYS) -> DataFrame:
+    """resample() of channels that have rates of their own (column rate), each held whole; those within 0.01 of the new rate stay."""
+    kind = s.schema["idx"].dataType
+    long = s.select(*keys, F.col("idx").cast("long").alias("idx"), "value", "rate")
+    #: A channel's rate stands before its samples, at a number that tells rates apart, so that channels of one rate go together.
+    heads = long.groupBy(*keys).agg(F.max("rate").alias("value")).withColumn("idx", -1 - F.pmod(F.xxhash64("value"), F.lit(1 << 62)))
+
+    def one(x, first):
+        rate, x = float(x[0, 0]), x[:, 1:]
+        return x if abs(rate - new_rate) <= 0.01 else filters.resample(x, rate, new_rate)
+
+    out = _per_channel(long.drop("rate").unionByName(heads.select(*keys, "idx", "value")), one, keys, places=True)
+    return out.withColumn("idx", F.col("idx").cast(kind))
+
+
 def welch(s: DataFrame, n_fft: int, keys: list[str] = KEYS) -> DataFrame:
     """bin and psd: the mean power of half-overlapping windows of n_fft samples under a symmetric Hann window.
 

@@ -67,8 +67,24 @@ def write_file(spark: SparkSession, path: str, content: bytes, conflict: str = "
     return path
 
 
-def copy_files(pairs: DataFrame) -> DataFrame:
-    """dst, bytes of files copied by tasks, as they are read. pairs: src, dst; a lost task copies its files again."""
+def copy_files(pairs: DataFrame, *, link: bool = False) -> DataFrame:
+    """dst, bytes of files copied by tasks, as they are read. pairs: src, dst; a lost task copies its files again.
+
+    link: symbolic links instead, for paths of a file system that all tasks share; one that stands there is replaced.
+    """
+
+    def linked(src: str, dst: str) -> int:
+        import os
+        import uuid
+
+        if any(urlparse(p).scheme not in ("", "file") for p in (src, dst)):
+            raise ValueError(f"no symbolic links in this store: {dst}")
+        source, target = (unquote(urlparse(p).path) for p in (src, dst))
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        own = f"{target}.{uuid.uuid4().hex}"
+        os.symlink(source, own)
+        os.replace(own, target)
+        return os.path.getsize(source)
 
     def copied(batches):
         import pandas as pd
@@ -77,6 +93,9 @@ def copy_files(pairs: DataFrame) -> DataFrame:
         for b in batches:
             sizes = []
             for src, dst in zip(b["src"], b["dst"], strict=True):
+                if link:
+                    sizes.append(linked(src, dst))
+                    continue
                 parsed = urlparse(dst)
                 store, inner = (pafs.LocalFileSystem(), unquote(parsed.path)) if parsed.scheme in ("", "file") else pafs.FileSystem.from_uri(dst)
                 store.create_dir(inner.rpartition("/")[0], recursive=True)

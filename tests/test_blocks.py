@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import filters
 from tessera.operators import signal
@@ -102,3 +103,27 @@ def test_a_long_channel_in_real_blocks(spark):
     got = signal.iir(s, b.tolist(), a.tolist()).toPandas().sort_values("idx")
     want = filters.filtfilt(b, a, x)
     assert got["idx"].tolist() == i.tolist() and np.abs(got["value"].to_numpy() - want).max() < 1e-8
+
+
+def test_channels_with_rates_of_their_own(spark, series):
+    from tessera.operators import recordings
+
+    rates = {r: (24.0, 64.0, 100.0, 64.005)[r % 4] for r, _ in series}
+    table = spark.createDataFrame(list(rates.items()), "rec int, rate double")
+    want = {k: x if abs(rates[k[0]] - 64) <= 0.01 else filters.resample(x, rates[k[0]], 64.0) for k, x in series.items()}
+    same(collected(recordings.harmonised_rates(frame(spark, series), table, 64.0, ["rec", "ch"])), want)
+
+
+def test_functions_of_the_user_in_labels_and_predicates(spark):
+    import pandas as pd
+
+    from tessera.operators import datasets
+
+    @F.pandas_udf("string")
+    def label(subject: pd.Series) -> pd.Series:
+        return subject.map(lambda s: "even" if int(s) % 2 == 0 else "odd")
+
+    files = spark.createDataFrame([(f"{k:02d}", f"/d/{k}") for k in range(9)], "subject string, path string")
+    m = datasets.manifest(files, F.lit("d")).withColumn("label", label("subject"))
+    assert {(r.label, r.n) for r in datasets.label_distribution(m, "label").collect()} == {("even", 5), ("odd", 4)}
+    assert m.where(label("subject") == "odd").count() == 4

@@ -318,3 +318,13 @@ def test_written_files_and_splits(spark, tmp_path):
     datasets.write_split(spark.createDataFrame(rows, "split string, name string"), str(tmp_path / "s"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "s"))
     assert sorted((r.split, r.name) for r in back.collect()) == sorted(rows)
+
+
+def test_linked_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"12345")
+    pairs = spark.createDataFrame([(str(tmp_path / "a.bin"), str(tmp_path / f"links/{k}/a.bin")) for k in range(3)], "src string, dst string")
+    for _ in range(2):
+        assert {r.bytes for r in files.copy_files(pairs, link=True).collect()} == {5}
+    assert all((tmp_path / f"links/{k}/a.bin").is_symlink() and (tmp_path / f"links/{k}/a.bin").read_bytes() == b"12345" for k in range(3))
+    with pytest.raises(Exception, match="no symbolic links"):
+        files.copy_files(spark.createDataFrame([("s3a://b/x", "s3a://b/y")], "src string, dst string"), link=True).collect()
