@@ -205,10 +205,10 @@ def _per_channel(s: DataFrame, f: Callable, keys: list[str], *, places: bool = F
     return dealt.mapInPandas(run, f"{names}, idx {whole}, value double{weight}")
 
 
-def _is_long(s: DataFrame) -> bool:
+def _is_long(s: DataFrame, block: int | None = None) -> bool:
     """Whether a channel may have more samples than a block: one aggregate of the samples' numbers."""
     low, high = s.agg(F.min("idx"), F.max("idx")).first()
-    return low is not None and high - low >= BLOCK
+    return low is not None and high - low >= (block or BLOCK)
 
 
 def _kept(s: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _kept(s: DataFrame) -> DataFrame:
     return s.sparkSession.read.schema(schema).parquet(path)
 
 
-def _filtered(s: DataFrame, stages: list, keys: list[str], zero_phase: bool = True) -> DataFrame:
+def _filtered(s: DataFrame, stages: list, keys: list[str], zero_phase: bool = True, block: int | None = None) -> DataFrame:
     """value after filters b, a in turn. Channels longer than a block are filtered block by block, with the same result."""
 
     def whole(x):
@@ -227,14 +227,14 @@ def _filtered(s: DataFrame, stages: list, keys: list[str], zero_phase: bool = Tr
             x = (filters.filtfilt if zero_phase else filters.lfilter)(b, a, x)
         return x
 
-    if not _is_long(s):
+    if not _is_long(s, block):
         return _per_channel(s, whole, keys)
     for k, (b, a) in enumerate(stages):
-        s = _by_blocks(_kept(s) if k else s, b, a, keys, zero_phase)
+        s = _by_blocks(_kept(s) if k else s, b, a, keys, zero_phase, block or BLOCK)
     return s
 
 
-def _by_blocks(s: DataFrame, b, a, keys: list[str], zero_phase: bool) -> DataFrame:
+def _by_blocks(s: DataFrame, b, a, keys: list[str], zero_phase: bool, block: int) -> DataFrame:
     """One filter, forward or forward and backward, with blocks as groups of their own.
 
     As the filter is linear, a block from rest tells how it changes any state: two small states a block, forward and
@@ -246,7 +246,7 @@ def _by_blocks(s: DataFrame, b, a, keys: list[str], zero_phase: bool) -> DataFra
     b, a = filters._even(b, a)
     order, edge = len(a) - 1, 3 * len(a) + 1
     width, prefix = 2 + 2 * order + 2 * edge, 1 + 2 * order
-    cut = s.select(*keys, F.floor(F.col("idx") / BLOCK).alias("_block"), F.col("idx").cast("long").alias("idx"), "value")
+    cut = s.select(*keys, F.floor(F.col("idx") / block).alias("_block"), F.col("idx").cast("long").alias("idx"), "value")
 
     def states(x):
         """n, both states after it from rest, and the samples at both ends (those at the right from the last on)."""
@@ -293,14 +293,14 @@ def _by_blocks(s: DataFrame, b, a, keys: list[str], zero_phase: bool) -> DataFra
     found = _per_channel(cut, states, [*keys, "_block"])
     found = found.select(*keys, (F.col("_block") * width + F.col("idx")).alias("idx"), F.when(F.col("idx") == 1, F.col("_block").cast("double")).otherwise(F.col("value")).alias("value"))
     begun = _per_channel(found, carried, keys)
-    begun = begun.select(*keys, F.floor(F.col("idx") / prefix).alias("_block"), (F.pmod("idx", F.lit(prefix)) + (F.floor(F.col("idx") / prefix) * BLOCK - prefix)).alias("idx"), "value")
+    begun = begun.select(*keys, F.floor(F.col("idx") / prefix).alias("_block"), (F.pmod("idx", F.lit(prefix)) + (F.floor(F.col("idx") / prefix) * block - prefix)).alias("idx"), "value")
     out = _per_channel(cut.unionByName(begun), final, [*keys, "_block"])
     return out.select(*keys, F.col("idx").cast(s.schema["idx"].dataType).alias("idx"), "value")
 
 
-def iir(s: DataFrame, b: list[float], a: list[float], keys: list[str] = KEYS, *, zero_phase: bool = True) -> DataFrame:
-    """value filtered forward, or forward and backward."""
-    return _filtered(s, [(b, a)], keys, zero_phase)
+def iir(s: DataFrame, b: list[float], a: list[float], keys: list[str] = KEYS, *, zero_phase: bool = True, block: int | None = None) -> DataFrame:
+    """value filtered forward, or forward and backward; block: the samples of a channel that a task holds (BLOCK)."""
+    return _filtered(s, [(b, a)], keys, zero_phase, block)
 
 
 def notch(s: DataFrame, hertz: float, rate: float, quality: float = 30.0, keys: list[str] = KEYS) -> DataFrame:
@@ -309,19 +309,20 @@ def notch(s: DataFrame, hertz: float, rate: float, quality: float = 30.0, keys:
     return _filtered(s, [filters.notch(h, rate, quality) for h in harmonics], keys) if harmonics else s.select(*keys, "idx", "value")
 
 
-def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = KEYS) -> DataFrame:
+def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = KEYS, *, block: int | None = None) -> DataFrame:
     """The signal at another rate: low-passed if that is lower, interpolated linearly. Samples are numbered from 0 on."""
-    if not _is_long(s) or old_rate <= 0 or new_rate <= 0 or abs(old_rate - new_rate) < 1e-10:
+    held = block or BLOCK
+    if not _is_long(s, held) or old_rate <= 0 or new_rate <= 0 or abs(old_rate - new_rate) < 1e-10:
         return _per_channel(s, lambda x: filters.resample(x, old_rate, new_rate), keys)
     ratio, kind = new_rate / old_rate, s.schema["idx"].dataType
     if ratio < 1:
-        s = _kept(_by_blocks(s, *filters.butter_lowpass(8, min(0.99, ratio)), keys, True))
+        s = _kept(_by_blocks(s, *filters.butter_lowpass(8, min(0.99, ratio)), keys, True, held))
 
     def between(x, first):
         """The new samples from the first sample of a block to the one before the next block's first."""
         import numpy as np
 
-        n = min(x.shape[1], BLOCK)
+        n = min(x.shape[1], held)
         i = np.arange(max(0, int(first * ratio) - 1), int((first + n) * ratio) + 2)
         at = i / ratio
         own = (at.astype("i8") >= first) & (at.astype("i8") < first + n)
@@ -330,9 +331,9 @@ def resample(s: DataFrame, old_rate: float, new_rate: float, keys: list[str] = K
         high, part = np.minimum(low + 1, x.shape[1] - 1), at - low
         return {"idx": np.tile(i, (len(x), 1)), "value": x[:, low] * (1 - part) + x[:, high] * part}
 
-    block = F.floor(F.col("idx") / BLOCK)
+    own = F.floor(F.col("idx") / held)
     #: A block's first sample is the end of the one before, too.
-    shared = F.when((F.col("idx") % BLOCK == 0) & (F.col("idx") > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    shared = F.when((F.col("idx") % held == 0) & (F.col("idx") > 0), F.array(own, own - 1)).otherwise(F.array(own))
     out = _per_channel(s.select(*keys, F.col("idx").cast("long").alias("idx"), "value", F.explode(shared).alias("_block")), between, [*keys, "_block"], places=True).drop("_block")
     n = s.groupBy(*keys).agg(F.floor((F.max("idx") + 1) * ratio + 0.5).alias("_n"))
     return out.join(n, keys).where(F.col("idx") < F.col("_n")).select(*keys, F.col("idx").cast(kind).alias("idx"), "value")
@@ -353,13 +354,13 @@ def resample_each(s: DataFrame, new_rate: float, keys: list[str] = KEYS) -> Data
     return out.withColumn("idx", F.col("idx").cast(kind))
 
 
-def welch(s: DataFrame, n_fft: int, keys: list[str] = KEYS) -> DataFrame:
+def welch(s: DataFrame, n_fft: int, keys: list[str] = KEYS, *, block: int | None = None) -> DataFrame:
     """bin and psd: the mean power of half-overlapping windows of n_fft samples under a symmetric Hann window.
 
     Blocks hold the windows that begin in them; samples are numbered from 0 on. A channel shorter than a window is one.
     """
     step = max(1, n_fft // 2)
-    block = max(3, BLOCK // step) * step
+    block = max(3, (block or BLOCK) // step) * step
 
     def power(x, first):
         import numpy as np

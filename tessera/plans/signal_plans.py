@@ -122,6 +122,25 @@ def harmonize_union(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(signal.harmonise(s, plan, ["subject", "run"]), "value")
 
 
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    """ch, idx, value: channels of all vectors with the same remainder by 16, one after the other."""
+    e = views.read(spark, d, "embeddings")
+    return e.select((F.col("vec_id") % 16).alias("ch"), F.expr("vec_id div 16").alias("k"), F.posexplode("embedding").alias("i", "value")).select("ch", (F.col("k") * 64 + F.col("i")).alias("idx"), F.col("value").cast("double").alias("value"))
+
+
+def long_filter(spark: SparkSession, d: str) -> DataFrame:
+    b, a = filters.butter_lowpass(2, 0.2)
+    return _rounded(signal.iir(_long(spark, d), b.tolist(), a.tolist(), ["ch"], block=256), "value")
+
+
+def long_spectra(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(signal.welch(_long(spark, d), 48, ["ch"], block=256), "psd")
+
+
+def long_resample(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(signal.resample(_long(spark, d), 64.0, 100.0, ["ch"], block=256), "value")
+
+
 def iir_filter(spark: SparkSession, d: str) -> DataFrame:
     b, a = filters.butter_bandpass(2, 0.1, 0.6)
     return _rounded(signal.iir(views.signal(spark, d), b.tolist(), a.tolist(), ["rec"]), "value")
@@ -144,7 +163,7 @@ def csp_features(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     channel_stats, zscore, zscore_pop, minmax, time_window, tumbling_epochs, sliding_epochs, avg_ref, chan_ref, baseline, covariance, evoked, unit_conversion,
     resample_linear, convolution, welch_psd, epoch_extract, annotation_reject, harmonize_intersect, harmonize_union, iir_filter, notch_filter, resample_signal,
-    csp_features,
+    csp_features, long_filter, long_spectra, long_resample,
 )}
 
 _SETS = f"{_S}, r AS (SELECT *, rec // 8 AS set FROM s)"
@@ -177,6 +196,26 @@ _LISTS = f"{_S}, p AS (SELECT rec, list(value ORDER BY idx) AS v FROM s GROUP BY
 _OUT = f"SELECT rec, (unnest(range(1, len(v) + 1)) - 1)::INT AS idx, {_r('unnest(v)')} AS value FROM"
 
 
+_LONG = "x AS (SELECT vec_id % 16 AS ch, (vec_id // 16) * 64 + i - 1 AS idx, embedding[i]::DOUBLE AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i))"
+
+
+def _long_filter_sql() -> str:
+    """Both passes as recursions over all channels, on the signals continued at both ends by nine reflected samples."""
+    (b0, b1, b2), (_, a1, a2) = ([repr(float(v)) for v in c] for c in filters.butter_lowpass(2, 0.2))
+
+    def steps(source: str, name: str) -> str:
+        out = f"{b0}::DOUBLE * v + z1"
+        return f"""{name} AS (
+          SELECT ch, j, {b0}::DOUBLE * v AS y, {b1}::DOUBLE * v - {a1}::DOUBLE * ({b0}::DOUBLE * v) AS z1, {b2}::DOUBLE * v - {a2}::DOUBLE * ({b0}::DOUBLE * v) AS z2 FROM {source} WHERE j = 0
+          UNION ALL SELECT s.ch, s.j, {out}, {b1}::DOUBLE * v - {a1}::DOUBLE * ({out}) + z2, {b2}::DOUBLE * v - {a2}::DOUBLE * ({out}) FROM {name} r JOIN {source} s ON s.ch = r.ch AND s.j = r.j + 1)"""
+
+    return f"""WITH RECURSIVE {_LONG}, n AS (SELECT ch, max(idx) + 1 AS n, arg_min(value, idx) AS f, arg_max(value, idx) AS l FROM x GROUP BY ch),
+      e AS MATERIALIZED (SELECT ch, idx + 9 AS j, value AS v FROM x UNION ALL SELECT x.ch, 9 - idx, 2 * f - value FROM x JOIN n ON n.ch = x.ch WHERE idx BETWEEN 1 AND 9
+        UNION ALL SELECT x.ch, 9 + n + (n - 2 - idx), 2 * l - value FROM x JOIN n ON n.ch = x.ch WHERE idx BETWEEN n - 10 AND n - 2),
+      {steps('e', 'fw')}, back AS MATERIALIZED (SELECT fw.ch, n + 17 - j AS j, y AS v FROM fw JOIN n ON n.ch = fw.ch), {steps('back', 'bw')}
+      SELECT bw.ch, n + 17 - j - 9 AS idx, {_r('y')} AS value FROM bw JOIN n ON n.ch = bw.ch WHERE n + 17 - j BETWEEN 9 AND n + 8"""
+
+
 def _notch_sql() -> str:
     steps = [_filtfilt_sql("p" if k == 1 else f"n{k - 1}", f"n{k}", *filters.notch(10.0 * k, 64.0, 30.0), 64) for k in (1, 2, 3)]
     return f"{_LISTS}, {', '.join(steps)} {_OUT} n3"
@@ -189,6 +228,15 @@ def _resample_sql() -> str:
 
 ORACLES = {
     "iir_filter": f"{_LISTS}, {_filtfilt_sql('p', 'q', *filters.butter_bandpass(2, 0.1, 0.6), 64)} {_OUT} q",
+    "long_filter": _long_filter_sql(),
+    "long_spectra": f"""WITH {_LONG}, n AS (SELECT ch, max(idx) + 1 AS n FROM x GROUP BY ch), k AS (SELECT ch, unnest(range(0, (n - 48) // 24 + 1)) AS k FROM n),
+      h AS (SELECT i, 0.5 - 0.5 * cos(2 * pi() * i / 47) AS w FROM range(0, 48) g(i)), f AS (SELECT b FROM range(0, 25) g(b)),
+      c AS (SELECT ch, k, b, sum(value * w * cos(2 * pi() * b * i / 48)) AS re, sum(value * w * sin(2 * pi() * b * i / 48)) AS im FROM k JOIN h ON true JOIN x USING (ch) JOIN f ON true WHERE x.idx = 24 * k + i GROUP BY ch, k, b)
+      SELECT ch, b AS bin, {_r('avg(re * re + im * im) / (SELECT sum(w * w) FROM h)')} AS psd FROM c GROUP BY ch, b""",
+    "long_resample": f"""WITH {_LONG}, n AS (SELECT ch, max(idx) + 1 AS n FROM x GROUP BY ch), o AS (SELECT ch, n, unnest(range(0, floor(n * 1.5625 + 0.5)::BIGINT)) AS i FROM n),
+      p AS (SELECT ch, i, n, i / 1.5625::DOUBLE AS t FROM o WHERE i / 1.5625::DOUBLE < n)
+      SELECT p.ch, i AS idx, {_r('a.value * (1 - (t - floor(t))) + b.value * (t - floor(t))')} AS value
+      FROM p JOIN x a ON a.ch = p.ch AND a.idx = floor(t)::BIGINT JOIN x b ON b.ch = p.ch AND b.idx = least(floor(t)::BIGINT + 1, n - 1)""",
     "notch_filter": _notch_sql(),
     "resample_signal": _resample_sql(),
     "channel_stats": f"""{_S} SELECT rec, ch, {_r('avg(value)')} AS mean, {_r('coalesce(stddev_samp(value), 0)')} AS std,
