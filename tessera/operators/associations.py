@@ -93,7 +93,10 @@ def field_maps(files: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def expand_missing(rows: DataFrame, key: str) -> DataFrame:
-    """Rows without a key stand for every observed value of it; the values are aggregated to one array row."""
+    """Rows without a key stand for every observed value of it; the values are aggregated to one array row.
+
+    The key is an entity with few values, as sessions or runs are: the result has a row for each of them and each row without.
+    """
     values = rows.where(F.col(key).isNotNull()).agg(F.array_sort(F.collect_set(key)).alias("_values"))
     filled = rows.crossJoin(values).withColumn(key, F.explode(F.when(F.col(key).isNotNull(), F.array(key)).otherwise(F.col("_values"))))
     return filled.drop("_values")
