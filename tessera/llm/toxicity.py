@@ -56,7 +56,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str):
-    """at, x (the buckets of a document and their parts, as bytes), toxic and weight of the documents to learn from, as pandas."""
+    """at, x (the buckets of a document and their parts, packed), toxic and weight of the documents to learn from, as pandas."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -71,7 +71,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
         for b in batches:
             for k in range(b.num_rows):
                 one, x = bag(b.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([one.tobytes()]), pa.array([x.tobytes()])], names=["_id", "toxic", "at", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([_packed(one)]), pa.array([zlib.compress(x.tobytes(), 1)])], names=["_id", "toxic", "at", "x"])
 
     kind = texts.schema["_id"].dataType.simpleString()
     picked = texts.mapInArrow(counted, f"_id {kind}, toxic int, at binary, x binary").toPandas().sort_values("_id", ignore_index=True)
@@ -104,6 +104,20 @@ def bag(text: str):
     return one, parts.astype("f4")
 
 
+def _packed(buckets) -> bytes:
+    """Ascending buckets as deflated differences."""
+    import numpy as np
+
+    return zlib.compress(np.diff(buckets, prepend=np.int32(0)).astype("i4").tobytes(), 1)
+
+
+def _unpacked(at: bytes, x: bytes):
+    """The buckets of a document and their parts."""
+    import numpy as np
+
+    return np.cumsum(np.frombuffer(zlib.decompress(at), "i4"), dtype="i4"), np.frombuffer(zlib.decompress(x), "f4")
+
+
 def train(texts: list[str], toxic, weight):
     """learn() from texts."""
     bags = [bag(t) for t in texts]
@@ -113,7 +127,7 @@ def train(texts: list[str], toxic, weight):
 def learn(columns: list, values: list, toxic, weight):
     """The trained number of each bucket (float32) and the bias; a score is the logistic function of their sum.
 
-    columns, values: the buckets of each document and their parts, as bag() gives them.
+    columns, values: the buckets of each document and their parts, as bag() gives them; rare buckets are taken out of both.
     """
     import numpy as np
 
@@ -123,8 +137,9 @@ def learn(columns: list, values: list, toxic, weight):
     for c in columns:
         often[c] += 1
     often = often >= LEAST_DOCS
-    values = [x[often[c]] for c, x in zip(columns, values, strict=True)]
-    columns = [c[often[c]] for c in columns]
+    for k, c in enumerate(columns):
+        kept = often[c]
+        columns[k], values[k] = c[kept], values[k][kept]
     draw = np.random.default_rng(7)
     vectors = np.zeros((BUCKETS, WIDTH), "f4")
     softmax = draw.uniform(-0.5, 0.5, (WIDTH, 2)).astype("f4")
@@ -193,9 +208,9 @@ def _classified(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     if picked["toxic"].nunique() < 2:
         value = F.lit(totals.get(1, 0) / max(1, sum(totals.values())))
     else:
-        import numpy as np
-
-        numbers, bias = learn([np.frombuffer(b, "i4") for b in picked["at"]], [np.frombuffer(b, "f4") for b in picked["x"]], picked["toxic"], picked["weight"])
+        columns, values = map(list, zip(*map(_unpacked, picked.pop("at"), picked.pop("x")), strict=True))
+        numbers, bias = learn(columns, values, picked["toxic"], picked["weight"])
+        del columns, values
 
         @F.arrow_udf("double")
         def scored(texts):
