@@ -18,7 +18,7 @@ DESCRIPTION = "dataset_description.json"
 
 @dataclass(frozen=True)
 class Rule:
-    """code, severity (error or warning), message, rows (dataset, file or json), and the SQL condition of what breaks it."""
+    """code (fixed values of the standard's checks), severity (error or warning), message, rows (dataset, file or json), and the SQL condition of what breaks it."""
 
     code: str
     severity: str
@@ -31,16 +31,16 @@ class Rule:
 #: Facts of datasets: has_description, parsed, name, version, has_readme, n_subjects; of files: path, file, valid, folder_subject,
 #: folder_session, file_subject, file_session; of JSON files: path, parsed.
 RULES = (
-    Rule("MISSING_DATASET_DESCRIPTION", "error", "dataset_description.json is required at the root", "dataset", "NOT has_description"),
-    Rule("INVALID_DATASET_DESCRIPTION", "error", "dataset_description.json cannot be parsed", "dataset", "has_description AND NOT parsed", DESCRIPTION),
-    Rule("MISSING_NAME", "error", "Name field is required in dataset_description.json", "dataset", "parsed AND name = ''", DESCRIPTION),
-    Rule("MISSING_BIDS_VERSION", "error", "BIDSVersion field is required in dataset_description.json", "dataset", "parsed AND version = ''", DESCRIPTION),
-    Rule("MISSING_README", "warning", "A README file is recommended at the dataset root", "dataset", "NOT has_readme"),
-    Rule("NO_SUBJECTS", "error", "No subject directories (sub-*) found", "dataset", "n_subjects = 0"),
-    Rule("INVALID_FILENAME", "warning", "File does not match any naming pattern", "file", "folder_subject != '' AND NOT valid AND file NOT LIKE '.%' AND file NOT LIKE '%.json'"),
-    Rule("SUBJECT_MISMATCH", "error", "File names another subject than its folder", "file", "folder_subject != '' AND file_subject != '' AND file_subject != folder_subject"),
-    Rule("SESSION_MISMATCH", "error", "File names another session than its folder", "file", "folder_session != '' AND file_session != '' AND file_session != folder_session"),
-    Rule("INVALID_JSON", "error", "JSON file cannot be parsed", "json", f"NOT parsed AND path != '{DESCRIPTION}'"),
+    Rule("MISSING_DATASET_DESCRIPTION", "error", "the dataset has no dataset_description.json", "dataset", "NOT has_description"),
+    Rule("INVALID_DATASET_DESCRIPTION", "error", "the description is no JSON object", "dataset", "has_description AND NOT parsed", DESCRIPTION),
+    Rule("MISSING_NAME", "error", "the description has no Name", "dataset", "parsed AND name = ''", DESCRIPTION),
+    Rule("MISSING_BIDS_VERSION", "error", "the description names no version of the standard", "dataset", "parsed AND version = ''", DESCRIPTION),
+    Rule("MISSING_README", "warning", "the dataset has no README", "dataset", "NOT has_readme"),
+    Rule("NO_SUBJECTS", "error", "the dataset has no folder of a subject", "dataset", "n_subjects = 0"),
+    Rule("INVALID_FILENAME", "warning", "the path fits none of the standard's patterns", "file", "folder_subject != '' AND NOT valid AND file NOT LIKE '.%' AND file NOT LIKE '%.json'"),
+    Rule("SUBJECT_MISMATCH", "error", "the file names another subject than its folder", "file", "folder_subject != '' AND file_subject != '' AND file_subject != folder_subject"),
+    Rule("SESSION_MISMATCH", "error", "the file names another session than its folder", "file", "folder_session != '' AND file_session != '' AND file_session != folder_session"),
+    Rule("INVALID_JSON", "error", "the file is no JSON object", "json", f"NOT parsed AND path != '{DESCRIPTION}'"),
 )
 
 
