@@ -81,6 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
 
 
 _grams: dict[str, array] = {}
+_grams_of: list = [None]
 
 
 def bag(text: str):
@@ -90,8 +91,9 @@ def bag(text: str):
     counts = Counter(text.lower().split())
     total = sum(counts.values())
     at, x, sizes = array("i"), [], []
-    if len(_grams) > REMEMBERED:
+    if len(_grams) > REMEMBERED or _grams_of[0] != (BUCKETS, LENGTHS):
         _grams.clear()
+        _grams_of[0] = BUCKETS, LENGTHS
     for w, c in counts.items():
         f = _grams.get(w)
         if f is None:

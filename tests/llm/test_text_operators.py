@@ -369,3 +369,13 @@ def test_bpe_remembers_in_two_generations(monkeypatch, rows):
     small = bpe.Bpe(tokenizer())
     assert [small.encode([t])[0] for t in texts] == want
     assert small.older and small.held < 5_000 + max(map(len, texts)) * 250
+
+
+def test_toxicity_buckets_remembered_for_another_number_of_buckets_are_not_used(monkeypatch):
+    text = "grumbletoad and snarkfiend"
+    wide = toxicity.bag(text)[0].tolist()
+    monkeypatch.setattr(toxicity, "BUCKETS", 257)
+    narrow = toxicity.bag(text)[0].tolist()
+    assert max(narrow) < 257 and set(narrow) == {b % 257 for w in text.split() for b in toxicity.features(w)}
+    monkeypatch.undo()
+    assert toxicity.bag(text)[0].tolist() == wide
