@@ -7,8 +7,9 @@ that were. A score is linear in the document's mean before the softmax, so what
 number for each bucket; tasks score whole texts, with a bounded memory of words.
 
 The sample: POSITIVES toxic and NEGATIVES other labelled documents at most, the first in the order of a hash of
-their ids, weighted back to the classes' shares. Their n-grams are counted in the tasks, from whole texts; the
-driver gets a number for each bucket of a document, BUCKETS at most, never a text. Of the ids only the hash decides
+their ids, weighted back to the classes' shares. Their n-grams are counted in the tasks, from whole texts: a number for each
+bucket of a document, BUCKETS at most. One task learns from these numbers, which it keeps in an unnamed file and reads a
+step at a time; the driver gets the BUCKETS numbers that are learned. Of the ids only the hash decides
 what is learned from; of several texts of an id the one with the least hash is taken.
 
 Defined results: a null or empty text gets the softmax of its bias alone. Null ids keep a row each, are held
@@ -20,6 +21,7 @@ aren't read by score() and are passed on by keep_clean().
 from __future__ import annotations
 
 import math
+import tempfile
 import zlib
 from array import array
 from collections import Counter
@@ -56,7 +58,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str):
-    """at, x (the buckets of a document and their parts, packed), toxic and weight of the documents to learn from, as pandas."""
+    """_id, toxic, at, x (the buckets of a document and their parts, packed) of the documents to learn from, and the labelled ones of each class."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -74,10 +76,41 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, la
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([_packed(one)]), pa.array([zlib.compress(x.tobytes(), 1)])], names=["_id", "toxic", "at", "x"])
 
     kind = texts.schema["_id"].dataType.simpleString()
-    picked = texts.mapInArrow(counted, f"_id {kind}, toxic int, at binary, x binary").toPandas().sort_values("_id", ignore_index=True)
-    chosen_of = picked["toxic"].value_counts().to_dict()
-    picked["weight"] = [totals[c] / chosen_of[c] for c in picked["toxic"].tolist()]
-    return picked, totals
+    return texts.mapInArrow(counted, f"_id {kind}, toxic int, at binary, x binary"), totals
+
+
+def learned(picked: DataFrame, totals: dict[int, int]):
+    """learn() from what sample() gives, by one task; None without documents of both classes."""
+
+    def fit(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        toxic, sizes = [], []
+        with tempfile.TemporaryFile() as file:
+            for b in batches:
+                for k in range(b.num_rows):
+                    toxic.append(b.column(1)[k].as_py())
+                    at, x = _unpacked(b.column(2)[k].as_py(), b.column(3)[k].as_py())
+                    sizes.append(len(at))
+                    file.write(at.tobytes() + x.tobytes())
+            if len(set(toxic)) < 2:
+                return
+            file.flush()
+            ends = np.cumsum([0, *sizes]).tolist()
+            both = np.memmap(file, "i4", "r", shape=(2 * ends[-1],)).view(np.ndarray) if ends[-1] else np.empty(0, "i4")
+            columns = [both[2 * e : 2 * e + n] for e, n in zip(ends, sizes)]
+            values = [both[2 * e + n : 2 * e + 2 * n].view("f4") for e, n in zip(ends, sizes)]
+            of = Counter(toxic)
+            numbers, bias = learn(columns, values, toxic, [totals[c] / of[c] for c in toxic])
+        yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()]), pa.array([bias])], names=["numbers", "bias"])
+
+    found = picked.repartition(1).sortWithinPartitions("_id").mapInArrow(fit, "numbers binary, bias double").collect()
+    if not found:
+        return None
+    import numpy as np
+
+    return np.frombuffer(found[0].numbers, "f4"), found[0].bias
 
 
 _grams: dict[str, array] = {}
@@ -129,7 +162,7 @@ def train(texts: list[str], toxic, weight):
 def learn(columns: list, values: list, toxic, weight):
     """The trained number of each bucket (float32) and the bias; a score is the logistic function of their sum.
 
-    columns, values: the buckets of each document and their parts, as bag() gives them; rare buckets are taken out of both.
+    columns, values: the buckets of each document and their parts, as bag() gives them, in memory or mapped from a file.
     """
     import numpy as np
 
@@ -139,21 +172,20 @@ def learn(columns: list, values: list, toxic, weight):
     for c in columns:
         often[c] += 1
     often = often >= LEAST_DOCS
-    for k, c in enumerate(columns):
-        kept = often[c]
-        columns[k], values[k] = c[kept], values[k][kept]
     draw = np.random.default_rng(7)
     vectors = np.zeros((BUCKETS, WIDTH), "f4")
     softmax = draw.uniform(-0.5, 0.5, (WIDTH, 2)).astype("f4")
     bias = np.zeros(2, "f4")
     seen = [np.full_like(x, 1e-6) for x in (vectors, softmax, bias)]
-    for k in range(PASSES):
-        rate = RATE * (1 - k / PASSES)
+    for turn in range(PASSES):
+        rate = RATE * (1 - turn / PASSES)
         order = draw.permutation(len(columns))
         for start in range(0, len(order), STEP):
             docs = order[start : start + STEP]
-            at, x = np.concatenate([columns[d] for d in docs]), np.concatenate([values[d] for d in docs]) * np.float32(SCALE)
-            sizes = np.array([len(columns[d]) for d in docs])
+            kept = [often[columns[d]] for d in docs]
+            at = np.concatenate([columns[d][k] for d, k in zip(docs, kept)])
+            x = np.concatenate([values[d][k] for d, k in zip(docs, kept)]) * np.float32(SCALE)
+            sizes = np.array([np.count_nonzero(k) for k in kept])
             row = np.repeat(np.arange(len(docs)), sizes)
             found, where = np.unique(at, return_inverse=True)
             part = vectors[found]
@@ -207,12 +239,11 @@ def _classified(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: st
     """docs with its columns renamed to c0, c1 ... and a score, and the columns of the id and the score."""
     picked, totals = sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     d = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
-    if picked["toxic"].nunique() < 2:
+    found = learned(picked, totals)
+    if found is None:
         value = F.lit(totals.get(1, 0) / max(1, sum(totals.values())))
     else:
-        columns, values = map(list, zip(*map(_unpacked, picked.pop("at"), picked.pop("x")), strict=True))
-        numbers, bias = learn(columns, values, picked["toxic"], picked["weight"])
-        del columns, values
+        numbers, bias = found
 
         @F.arrow_udf("double")
         def scored(texts):

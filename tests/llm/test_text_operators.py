@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and their defined results on odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -371,6 +372,28 @@ def test_bpe_remembers_in_two_generations(monkeypatch, rows):
     assert small.older and small.held < 5_000 + max(map(len, texts)) * 250
 
 
+def test_toxicity_learns_in_a_task_not_in_the_driver(spark, monkeypatch):
+    draw = random.Random(14)
+    rows = [(i, " ".join(draw.choice(["ab", "cde", "fgh", "grumbletoad" if i % 3 == 0 else "ij"]) for _ in range(25)) if i else "", int(i % 3 == 0)) for i in range(300)]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    numbers, bias = toxicity.train([t for _, t, _ in known], [y for *_, y in known], [1.0] * len(known))
+    want = toxicity.logits([t for _, t, _ in rows], numbers, bias)
+
+    driver = os.getpid()
+
+    def elsewhere(*given):
+        from tessera.llm import toxicity
+
+        if os.getpid() == driver:
+            raise AssertionError("learned in the driver")
+        return toxicity.learn(*given)
+
+    monkeypatch.setattr(toxicity, "learn", elsewhere)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs.repartition(5), labels).collect()}
+    assert [got[i] for i, *_ in rows] == pytest.approx([1 / (1 + 2.718281828459045**-z) for z in want], abs=1e-9)
+
+
 def test_toxicity_buckets_remembered_for_another_number_of_buckets_are_not_used(monkeypatch):
     text = "grumbletoad and snarkfiend"
     wide = toxicity.bag(text)[0].tolist()
