@@ -76,8 +76,8 @@ def apply_contrast(design: DataFrame, conditions: list[str], weights: list[float
 def regressors(events: DataFrame, keys: list[str], *, frames: int, tr: float, model: str = "spm", oversampling: int = 50, delays: list[int] = ()) -> DataFrame:
     """keys, frame and a column for each kernel: the events' boxcars on a fine grid, convolved, taken at the frames.
 
-    A boxcar's steps are convolved with the running sum of the kernel, so an event costs a row for each frame
-    that its response reaches, not one for each fine sample.
+    A boxcar is convolved as the difference of the kernel's running sum at its two ends, so an event costs a row for each
+    frame from its start on, not one for each fine sample. Frames that only events of amplitude 0 reach are there too.
     """
     dt, n = tr / oversampling, frames * oversampling
     ks = hrf.kernels(model, tr, oversampling, delays)
@@ -85,10 +85,10 @@ def regressors(events: DataFrame, keys: list[str], *, frames: int, tr: float, mo
     end = F.least(F.round((F.col("onset") + F.col("duration")) / dt), F.lit(n - 1)).cast("int")
     #: Events without length are impulses of one fine sample.
     e = events.select(*keys, start.alias("_a"), F.greatest(end, start + 1).alias("_b"), F.col("amplitude").cast("double").alias("_x"))
-    steps = e.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("at"), F.col("_x").alias("d")), F.struct(F.col("_b").alias("at"), (-F.col("_x")).alias("d")))).alias("_step"))
-    steps = steps.groupBy(*keys, "_step.at").agg(F.sum("_step.d").alias("d")).where("d != 0")
-    rows = steps.where(F.col("at") <= (frames - 1) * oversampling).withColumn("frame", F.explode(F.sequence(F.ceil(F.col("at") / oversampling).cast("int"), F.lit(frames - 1))))
-    lag = F.col("frame") * oversampling - F.col("at")
+    #: The two ends stay together: past the response their sums are one number, whose difference is 0 without any remainder.
+    boxes = e.groupBy(*keys, "_a", "_b").agg(F.sum("_x").alias("_x"))
+    rows = boxes.where(F.col("_a") <= (frames - 1) * oversampling).withColumn("frame", F.explode(F.sequence(F.greatest(F.ceil(F.col("_a") / oversampling).cast("int"), F.lit(0)), F.lit(frames - 1))))
+    at = F.col("frame") * oversampling
     out = []
     for i, k in enumerate(ks):
         sums, total = [], 0.0
@@ -96,7 +96,8 @@ def regressors(events: DataFrame, keys: list[str], *, frames: int, tr: float, mo
             total += x
             sums.append(total)
         table = F.lit(sums)
-        out.append(F.sum(F.col("d") * F.get(table, F.least(lag, F.lit(len(sums) - 1)))).alias(f"regressor_{i}"))
+        upto = lambda lag: F.when(lag < 0, 0.0).otherwise(F.get(table, F.least(lag, F.lit(len(sums) - 1))))  # noqa: B023, E731
+        out.append(F.sum(F.col("_x") * (upto(at - F.col("_a")) - upto(at - F.col("_b")))).alias(f"regressor_{i}"))
     return rows.groupBy(*keys, "frame").agg(*out)
 
 

@@ -54,6 +54,19 @@ def test_regressors_match_direct_convolution(spark):
     assert all(abs(got.get(i, 0.0) - want[i]) < 1e-12 for i in range(40))
 
 
+def test_regressors_keep_the_frames_of_events_without_amplitude(spark):
+    rows = [(1, 2.0, 1.0, 0.0), (1, 12.0, 1.0, 2.0), (2, 0.0, 1.0, 0.0), (3, 4.0, 1.0, 1e9), (3, 38.0, 1.0, 5.0), (4, -3.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s int, onset double, duration double, amplitude double")
+    got = {(r.s, r.frame): r.regressor_0 for r in models.regressors(df, ["s"], frames=80, tr=0.5, oversampling=10).collect()}
+    assert sorted(got) == [(s, f) for s, first in ((1, 4), (2, 0), (3, 8), (4, 0)) for f in range(first, 80)]
+    assert all(got[2, f] == 0 for f in range(80)) and all(got[1, f] == 0 for f in range(4, 24))
+    fine = np.zeros(800)
+    fine[760:780] = 5.0
+    want = np.convolve(fine, hrf.kernel(hrf.SPM, 0.5, 10))[:800][::10]
+    #: Past its response, a large event leaves nothing behind.
+    assert all(abs(got[3, f] - want[f]) < 1e-12 for f in range(76, 80))
+
+
 def test_formula():
     f = models.parse_formula("y ~ a + b*c + d:e - 1")
     assert f == models.Formula("y", (("a",), ("b",), ("c",), ("b", "c"), ("d", "e")), False)
