@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import filters
 from tessera.operators import models, nodes, signal, store, validation, variables
 from tessera.operators.collections import Collection
 
@@ -101,6 +102,33 @@ def test_planner_follows_kinds(spark):
     assert Collection(["run"], sparse).run([{"Name": "ToDense", "SamplingRate": 2}]).dense.columns == ["run", "bin", "a", "b"]
 
 
+def _leaves(df):
+    """The tables that a plan reads, as often as it reads them."""
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_conversions_read_each_table_once(spark):
+    events = [(1, 2.0, 1.0, 7, 2.0, None), (1, 2.0, 0.5, 8, 3.0, 1.0), (1, 3.0, 0.0, 9, None, 5.0), (2, -4.0, 1.0, 1, 1.0, 1.0), (None, 1.0, 0.5, 2, 9.0, 9.0), (3, 0.0, float("nan"), 3, 1.0, 1.0)]
+    sparse = spark.createDataFrame(events, "run int, onset double, duration double, event_id int, a double, b double")
+    dense = spark.createDataFrame([(1, k, float(k)) for k in range(4)] + [(3, 2, 5.0)], "run int, bin long, w double")
+    c = Collection(["run"], sparse.selectExpr("*", "a as a0", "a as a1"), dense, 2.0)
+    out = c.run([{"Name": "ToDense", "Input": [x]} for x in ("a", "b", "a0", "a1")])
+    assert _leaves(out.table()) <= 1 + 4
+    got = {(r.run, r.bin): (r.w, r.a, r.b) for r in out.dense.collect()}
+    zero = (0.0, 0.0, 0.0)
+    one = {(1, k): (float(k), 0.0, 0.0) for k in range(4)} | {(1, 4): (0.0, 3.0, 1.0), (1, 5): (0.0, 2.0, 0.0), (1, 6): (0.0, 0.0, 5.0)}
+    assert got == one | {(3, 0): zero, (3, 1): zero, (3, 2): (5.0, 0.0, 0.0)} | {(None, k): zero for k in range(3)}
+    filled = spark.createDataFrame([(*k, *v) for k, v in got.items() if k[0]], "run int, bin long, w double, a double, b double")
+    for rate in (3.0, 7.3, 1.5):
+        rows = Collection(["run"], None, filled, 2.0).resampled(rate).dense.orderBy("bin").collect()
+        for run, n in ((1, 7), (3, 3)):
+            mine = [r for r in rows if r.run == run]
+            assert [r.bin for r in mine] == list(range(len(mine)))
+            for i, v in enumerate("wab"):
+                assert [r[v] for r in mine] == pytest.approx(filters.resample([got[run, k][i] for k in range(n)], 2.0, rate).tolist())
+    assert _leaves(out.resampled(3.0).table()) <= 1 + 4
+
+
 def test_instructions_that_look_at_other_rows_need_keys(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0)], "s int, k int, x double")
     for name, more in (("Lag", {"n": 1}), ("Convolve", {"Kernel": [1.0, 0.5]})):
