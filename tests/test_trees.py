@@ -129,6 +129,25 @@ def test_conversions_read_each_table_once(spark):
     assert _leaves(out.resampled(3.0).table()) <= 1 + 4
 
 
+def test_models_of_collections_read_each_table_once(spark):
+    sparse = spark.createDataFrame([(1, 1, 0.0, 0.5, 7, 2.0, 3.0), (1, 2, 1.0, 0.5, 8, 4.0, 1.0)], "subject int, run int, onset double, duration double, event_id int, a double, b double")
+    dense = spark.createDataFrame([(1, r, k, float(k)) for r in (1, 2) for k in range(2)], "subject int, run int, bin long, w double")
+    people = spark.createDataFrame([(1, 30.0)], "subject int, age double")
+    spec = {
+        "Nodes": [
+            {"Name": "runs", "Level": "Run", "GroupBy": ["subject", "run"], "Transformations": {"Instructions": [{"Name": "ToDense", "Input": ["a"]}, {"Name": "Sum", "Input": ["b", "w"], "Output": "s"}, {"Name": "Resample", "SamplingRate": 4}]}, "Model": {"X": [1, "a", "s"]}, "Contrasts": [{"Name": "gap", "ConditionList": ["a", "s"], "Weights": [1, -1]}]},
+            {"Name": "people", "Level": "Subject", "GroupBy": ["subject"], "Model": {"X": ["gap", "age"]}},
+        ]
+    }
+    out = models.Graph.from_json(spec).run({"run": Collection(["subject", "run"], sparse, dense, 2.0), "subject": people}, ["subject", "run", "bin"])["people"]
+    #: The dense variables, the sparse ones for each of two conversions, the people.
+    assert _leaves(out) <= 4
+    got = {(r.run, r.bin): (r.gap, r.age) for r in out.collect()}
+    one = {(1, 0): 2.0 - 3.0, (1, 1): 1.0 - 2.0, (1, 2): -1.0, (1, 3): -1.0}
+    two = {(2, 0): 0.0, (2, 1): -0.5, (2, 2): -1.0, (2, 3): 2.0 - 1.0 / 2 - 0.5, (2, 4): 4.0 - 1.0, (2, 5): 4.0 - 1.0}
+    assert got == {k: (v, 30.0) for k, v in (one | two).items()}
+
+
 def test_instructions_that_look_at_other_rows_need_keys(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0)], "s int, k int, x double")
     for name, more in (("Lag", {"n": 1}), ("Convolve", {"Kernel": [1.0, 0.5]})):
