@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans import views
@@ -126,17 +126,35 @@ def ome_pages(spark: SparkSession, d: str) -> DataFrame:
     return meta.select("rec", "page", "width", "height", "bits", "format", "name", "size_x", "size_y", "physical_size_x", "pixel_type", F.get("channel_names", 0).alias("channel"))
 
 
-def _by_nation(spark: SparkSession, d: str, name: str, build: Callable) -> str:
-    """The folder with the file that build(nation, customers) makes of each nation's customers."""
+#: Keys of customers that are counted together.
+RANGE = 65_536
+
+
+def _dealt(c: DataFrame, limit: int) -> DataFrame:
+    """Customers with part, from 0: their nation's, in the order of their keys, by limit in each.
+
+    Ranges of keys are counted, and places within a range start where the ranges before it end, so no task has a whole nation.
+    """
+    c = c.withColumn("_range", F.coalesce(F.expr(f"c_custkey div {RANGE}"), F.lit(-1)))
+    counts = c.groupBy(F.col("c_nationkey").alias("_n"), F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_n").orderBy("_r")) - F.col("_c"))
+    placed = c.withColumn("_i", F.row_number().over(Window.partitionBy("c_nationkey", "_range").orderBy("c_custkey")))
+    placed = placed.join(counts, F.col("c_nationkey").eqNullSafe(F.col("_n")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn("part", F.expr(f"(_before + _i - 1) div {limit}")).drop("_range", "_i", "_n", "_r", "_c", "_before")
+
+
+def _by_nation(spark: SparkSession, d: str, name: str, build: Callable, limit: int | None = None) -> str:
+    """The folder with the file that build(nation, customers) makes of each nation's customers; with a limit build(nation, part, customers), for each part of so many."""
     root = files.scratch(spark, name)
 
     def made(key, group):
         import pandas as pd
 
-        return pd.DataFrame([build(int(key[0]), group.sort_values("c_custkey"))], columns=["name", "content"])
+        return pd.DataFrame([build(*map(int, key), group.sort_values("c_custkey"))], columns=["name", "content"])
 
     c = views.read(spark, d, "customer").select("c_nationkey", "c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
-    files.write_files(c.groupBy("c_nationkey").applyInPandas(made, "name string, content binary"), root).agg(F.sum("bytes")).collect()
+    grouped = _dealt(c, limit).groupBy("c_nationkey", "part") if limit else c.groupBy("c_nationkey")
+    files.write_files(grouped.applyInPandas(made, "name string, content binary"), root).agg(F.sum("bytes")).collect()
     return root
 
 
@@ -145,12 +163,18 @@ def _nation() -> Column:
 
 
 def ctf_channels(spark: SparkSession, d: str) -> DataFrame:
-    def build(nation, c):
-        channels = [(f"M{k}-1706", (5, 9, 11, 0)[k % 4], bal) for k, bal in zip(c["c_custkey"], c["c_acctbal"], strict=True)]
-        return f"{nation}.res4", headers.ctf_bytes(channels, samples=100 + nation, trials=nation + 1, rate=600.0, run="run " * nation, filters=nation % 3)
+    """A nation's channels, in as many files as they need; numbered and counted across them."""
 
-    h = headers.read_ctf(files.listing(spark, _by_nation(spark, d, "ctf", build)))
-    return h.select(_nation(), "n_channels", "n_samples", "n_trials", "rate", "channel", "name", "kind", F.col("q_gain").alias("gain"))
+    def build(nation, part, c):
+        channels = [(f"M{k}-1706", (5, 9, 11, 0)[k % 4], bal) for k, bal in zip(c["c_custkey"], c["c_acctbal"], strict=True)]
+        return f"{nation}.{part}.res4", headers.ctf_bytes(channels, samples=100 + nation, trials=nation + 1, rate=600.0, run="run " * nation, filters=nation % 3)
+
+    h = headers.read_ctf(files.listing(spark, _by_nation(spark, d, "ctf", build, headers.CTF_CHANNELS)))
+    h = h.withColumn("nation", _nation()).withColumn("part", F.regexp_extract("path", r"[.](\d+)[.]res4$", 1).cast("int"))
+    #: A row for each nation.
+    counts = h.where("channel = 0").groupBy("nation").agg(F.sum("n_channels").cast("int").alias("n_channels"))
+    channel = (F.col("part") * headers.CTF_CHANNELS + F.col("channel")).alias("channel")
+    return h.drop("n_channels").join(counts, "nation").select("nation", "n_channels", "n_samples", "n_trials", "rate", channel, "name", "kind", F.col("q_gain").alias("gain"))
 
 
 def cifti_models(spark: SparkSession, d: str) -> DataFrame:

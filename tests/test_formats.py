@@ -2,10 +2,12 @@
 
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.plans import registry
 from tessera.sources import files, headers, images, matlab, recordings, text
 
 
@@ -213,6 +215,19 @@ def put_frame(spark, folder, made):
     return spark.createDataFrame([(str(folder / n),) for n in made], "path string")
 
 
+def test_ctf_channels_of_a_nation_fill_several_files(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"copy (select k as c_custkey, (k % 15 // 14)::INT as c_nationkey, k / 4 as c_acctbal, 'm' as c_mktsegment from range(0, 36000) g(k)) to '{tmp_path}/customer.parquet' (format parquet)")
+    c.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet')")
+    got = registry.queries()["ctf_channels"](spark, str(tmp_path))
+    want = c.sql(registry.oracle_sql()["ctf_channels"])
+    assert got.columns == want.columns
+    rows = sorted(tuple(r) for r in got.collect())
+    assert len(rows) == 36000 and rows == sorted(want.fetchall())
+    with pytest.raises(ValueError, match="at most, not 32768"):
+        headers.ctf_bytes([("a", 5, 1.0)] * 32768, samples=1, trials=1, rate=1.0)
+
+
 def test_ctf(spark, tmp_path):
     channels = [("MLC11-1706", 5, 1e9), ("STIM", 11, 1.0), ("EEG001", 9, 0.5), ("X" * 32, 77, 2.0)]
     made = {f"{k}.res4": headers.ctf_bytes(channels, samples=1200, trials=3, rate=600.0, run="run of " + "x" * 40 * k, filters=k) for k in range(3)}
