@@ -79,6 +79,24 @@ def test_nodes_and_searches(spark, wide):
     assert nodes.nearest_node(wanted, tree.limit(0)).where("level IS NOT NULL").isEmpty()
 
 
+def test_broad_searches_for_the_same_are_answered_once(spark):
+    rows = [("run", f"{s:03}", v, t, r, 1, f"{s}{v}{t}{r}") for s in (*range(8), 123, 124, 999) for v in (None, "1", "2") for t in "ab" for r in (None, "01")] + [("run", None, None, "a", None, 3, "x"), ("run", "", "1", "b", None, 2, "y")]
+    tree = spark.createDataFrame(rows, "level string, subject string, session string, task string, run string, n_files long, image string")
+    #: Many ids for few searches; an id in several rows is one search of all of them.
+    searches = [(k, None, None, (None, "a")[k % 2], None) for k in range(20)] + [(k, "123", (None, "1")[k % 2], None, "01") for k in range(20, 30)] + [(0, None, None, None, None), (21, "002", None, "b", None), (None, "005", None, None, None)]
+    wanted = spark.createDataFrame(searches, "id long, subject string, session string, task string, run string")
+    out = nodes.find_nodes(wanted, tree, level="run")
+    assert "windowspecdefinition(id#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.id, []).append((r["rank"], r.image))
+    fits = lambda q, n: all(a is None or b is None or a == b for a, b in zip(q, n, strict=True))
+    place = lambda n: [(x is not None, x or "") for x in n[1:5]]
+    for i in {q[0] for q in searches}:
+        found = sorted((n for q in searches if q[0] == i for n in rows if fits(q[1:], n[1:5])), key=place)
+        assert sorted(got[i]) == [(k, n[6]) for k, n in enumerate(found, 1)]
+
+
 def test_planner_follows_kinds(spark):
     sparse = spark.createDataFrame([(1, 0.0, 0.5, 7, 2.0, 3.0)], "run int, onset double, duration double, event_id int, a double, b double")
     dense = spark.createDataFrame([(1, k, float(k)) for k in range(4)], "run int, bin long, w double")
